@@ -36,7 +36,8 @@ def looks_like_video(url: Column) -> Column:
 
 
 def video_extension(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, VIDEO_SUFFIX, 1)), F.lit(""))
+    ext = F.regexp_extract(url, VIDEO_SUFFIX, 1)
+    return F.when(ext != "", F.lower(ext))
 
 
 def file_name_from_url(url: Column, ordinal: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import PLATFORM_DOMAINS, VTURB_CDN_HOSTS, VTURB_SCRIPT_HOSTS
+from weblode.functions.text import built_once, settle
 from weblode.functions.urls import bare_host, path_of, query_param, segments_of
 
 INFO = (
@@ -32,6 +33,10 @@ def _info(platform: str, video_id: Column, canonical: Column, kind: str, confide
     )
 
 
+def _found(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
 def _text(template: str, *cols: Column) -> Column:
     """'a{}b' with columns in place of the braces."""
     parts = template.split("{}")
@@ -50,8 +55,8 @@ def _rules(strict: bool) -> dict[str, list[tuple[Column, Column]]]:
     yt_thumb = lambda x: _text("https://img.youtube.com/vi/{}/mqdefault.jpg", x)
     watch = "https://www.youtube.com/watch?v={}"
     trimmed = F.regexp_replace(path, "/+$", "")
-    digits = lambda word: F.nullif(F.regexp_extract(path, f"/{word}/([0-9]+)", 1), F.lit(""))
-    gram = F.nullif(F.regexp_extract(path, "/(?:reel|p)/([A-Za-z0-9_-]+)", 1), F.lit(""))
+    digits = lambda word: _found(F.regexp_extract(path, f"/{word}/([0-9]+)", 1))
+    gram = _found(F.regexp_extract(path, "/(?:reel|p)/([A-Za-z0-9_-]+)", 1))
     dm_id = F.substring_index(second, "_", 1)
     dm_thumb = "https://www.dailymotion.com/thumbnail/video/{}"
 
@@ -142,6 +147,17 @@ def _rules(strict: bool) -> dict[str, list[tuple[Column, Column]]]:
     }
 
 
+@built_once
+def _branches(strict: bool) -> list[Column]:
+    rules, found = _rules(strict), []
+    for name in ORDER:
+        branch = None
+        for test, result in rules[name]:
+            branch = F.when(test, result) if branch is None else branch.when(test, result)
+        found.append(branch)
+    return found
+
+
 def with_platform(df: DataFrame, url: str, out: str, mode: str = "compat") -> DataFrame:
     """Add ``out``: what video a URL points at, null for none; the first platform in the fixed order wins.
 
@@ -152,12 +168,6 @@ def with_platform(df: DataFrame, url: str, out: str, mode: str = "compat") -> Da
     full = F.when(F.col(url).startswith("//"), F.concat(F.lit("https:"), F.col(url))).otherwise(F.col(url))
     df = df.withColumn("_pu", full)
     df = df.withColumns({"_ph": bare_host(F.col("_pu")), "_pp": path_of(F.col("_pu")), "_ps": segments_of(F.col("_pu"))})
-    rules = _rules(mode == "strict")
-    found = []
-    for name in ORDER:
-        branch = None
-        for test, result in rules[name]:
-            branch = F.when(test, result) if branch is None else branch.when(test, result)
-        found.append(branch)
-    df = df.withColumn(out, F.when(F.col("_ph") != "", F.coalesce(*found)))
+    found = _branches(mode == "strict")
+    df = settle(df, **{out: F.when(F.col("_ph") != "", F.coalesce(*found))})
     return df.drop("_pu", "_ph", "_pp", "_ps")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import JS_SPACE
@@ -16,6 +18,30 @@ ATTRIBUTE = (
 )
 
 
+def built_once(make):
+    """Cache the Column expressions a function builds; they are unbound, so any frame can use them."""
+    made: dict = {}
+
+    @functools.wraps(make)
+    def get(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return get
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters and later projections then read the values; without it the optimizer copies a long
+    expression into every filter above it and computes it again there.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body`` (a one-element transform); used only inside row-local array work."""
     return F.transform(F.array(value), body)[0]
@@ -118,4 +144,4 @@ def attr(name: str, names: str = "names", values: str = "values") -> Column:
 
 def present(value: Column) -> Column:
     """Null for a missing or empty attribute."""
-    return F.nullif(value, F.lit(""))
+    return F.when(value != "", value)

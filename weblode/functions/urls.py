@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weblode.functions.text import settle
 from weblode.functions.fixed import (
     AUTH_SEGMENTS, MAX_URL_CHARS, MEDIA_EXTENSIONS, PRIVATE_HOSTS, STATIC_EXTENSIONS, TRACKING_PARAMS,
 )
@@ -106,7 +107,7 @@ def with_resolved(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
         percent_encode(c("_query"), QUERY_KEEP),
         percent_encode(c("_f"), FRAGMENT_KEEP),
     )
-    df = df.withColumn(out, F.when(c("_opaque"), c("_h")).when(good, url))
+    df = settle(df, **{out: F.when(c("_opaque"), c("_h")).when(good, url)})
     return df.drop("_h", "_hs", "_bs", "_ba", "_bp", "_bq", "_opaque", "_r", "_s", "_a", "_own", "_rest", "_p", "_q",
                    "_f", "_path", "_query", "_user", "_host", "_port")
 
@@ -140,7 +141,7 @@ def query_param(url: Column, name: str) -> Column:
     """First value of a query parameter, decoded; null when absent or empty."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     raw = F.regexp_extract(query, f"(?:^|&){name}=([^&]*)", 1)
-    return F.nullif(F.coalesce(F.try_url_decode(raw), raw), F.lit(""))
+    return F.when(raw != "", F.coalesce(F.try_url_decode(raw), raw))
 
 
 def canonical_url(url: Column) -> Column:
@@ -177,7 +178,8 @@ def is_subdomain(url: Column, base: Column) -> Column:
 
 def url_extension(url: Column) -> Column:
     """Lower-case text after the last dot of the last path segment; null when there is none."""
-    return F.nullif(F.lower(F.regexp_extract(path_of(url), r"\.([^./]+)$", 1)), F.lit(""))
+    ext = F.regexp_extract(url, r"^[a-zA-Z][^:/?#]*://[^/?#]*[^?#]*\.([^./?#]+)(?=$|[?#])", 1)
+    return F.when(ext != "", F.lower(ext))
 
 
 def is_media_extension(ext: Column) -> Column:

@@ -15,33 +15,33 @@ from weblode.functions.files import (
     extension_from_mime, file_name_from_url, looks_like_video, media_type, sanitize_file_name, video_extension,
 )
 from weblode.functions.fixed import (
-    CSS_BACKGROUND, JS_SPACE, PLAYER_AB_PATH, PLAYER_CDN, PLAYER_CONTENT_TYPES, PLAYER_COVER,
+    CSS_BACKGROUND, JS_SPACE, META_VIDEO_PROPS, PLAYER_AB_PATH, PLAYER_CDN, PLAYER_CONTENT_TYPES, PLAYER_COVER,
     PLAYER_INLINE_HINT, PLAYER_INLINE_SRC, PLAYER_LEGACY, PLAYER_LEGACY_STATIC, PLAYER_LEGACY_VIDEO, PLAYER_OID,
     PLAYER_PATH, PLAYER_SCRIPT_SRC, PLAYER_VIDEO, SCRIPT_FILE, SCRIPT_JSON_KEY, SCRIPT_SOURCE, SCRIPT_SRC, SRC_ATTRS,
     SRCSET_ATTRS, VIDEO_DATA_ATTRS, VIDEO_URL,
 )
 from weblode.functions.jsonld import video_nodes
-from weblode.functions.text import attr, attr_names, attr_tokens, attr_values, present, trim_space, utf16_length
+from weblode.functions.text import (
+    attr, attr_names, attr_tokens, attr_values, built_once, present, settle, trim_space, utf16_length,
+)
 from weblode.functions.urls import (
     bare_host, is_http, is_media_extension, path_of, query_param, strip_fragment, url_extension, with_resolved,
 )
-from weblode.operators.tokens import elements, raw_body, tokens_of
+from weblode.operators.tokens import elements, raw_body, tokens_of, with_attributes
 
 # order of the sources; the first reference to a URL in this order wins
 RANK = {name: i for i, name in enumerate([
     "img", "video", "source", "a", "noscript", "picture", "style", "style block", "iframe", "embed", "object",
     "meta", "og:image", "json-ld", "script", "data", "player",
 ])}
-REF = "struct<rank:int,a:int,b:int,c:int,url:string,tag:string,ext:string>"
+REFS = "array<struct<rank:int,b:int,c:int,url:string,tag:string,ext:string>>"
 
 
-def _ref(rank: str, url: Column, tag, ext: Column | None = None, a: Column | None = None, b=0, c=0) -> Column:
+def _ref(rank, url: Column, tag, ext: Column | None = None, b=0, c=0) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
-        F.lit(RANK[rank]).alias("rank"), (F.col("pos") if a is None else a).cast("int").alias("a"),
-        as_col(b).cast("int").alias("b"), as_col(c).cast("int").alias("c"), url.alias("url"), as_col(tag).alias("tag"),
-        (F.lit(None) if ext is None else ext).cast("string").alias("ext"),
-    ).cast(REF)
+        as_col(rank).alias("rank"), as_col(b).alias("b"), as_col(c).alias("c"), url.alias("url"),
+        as_col(tag).alias("tag"), (F.lit(None).cast("string") if ext is None else ext).alias("ext"))
 
 
 def _srcset(value: Column) -> Column:
@@ -50,37 +50,26 @@ def _srcset(value: Column) -> Column:
     return F.filter(entry, lambda u: u != "")
 
 
-def _src_refs(rank: str, label: str, ext=None, a=None, start: int = 0) -> list[Column]:
-    return [F.array(_ref(rank, present(attr(n)), f"{label}[{n}]", ext, a, start + i)) for i, n in enumerate(SRC_ATTRS)]
-
-
-def _srcset_refs(rank: str, label: str, ext=None, a=None, start: int = 10) -> list[Column]:
-    def expand(name: str, i: int) -> Column:
-        return F.transform(
-            _srcset(present(attr(name))), lambda u, k: _ref(rank, u, f"{label}[{name}]", ext, a, start + i, k))
-
-    return [F.coalesce(expand(n, i), F.array().cast(f"array<{REF}>")) for i, n in enumerate(SRCSET_ATTRS)]
-
-
 def _many(rank: str, urls: Column, tag, b: int, ext=None) -> Column:
-    return F.coalesce(F.transform(urls, lambda u, k: _ref(
-        rank, u, tag, None if ext is None else ext(u), b=b, c=k)), F.array().cast(f"array<{REF}>"))
+    return F.transform(urls, lambda u, k: _ref(RANK[rank], u, tag, None if ext is None else ext(u), b, k))
 
 
 def youtube_id(url: Column) -> Column:
     host, path = bare_host(url), path_of(url)
-    return F.nullif(
+    found = (
         F.when(host.isin("youtube.com", "youtube-nocookie.com") & path.startswith("/embed/"),
                F.regexp_extract(path, "^/embed/([^/]*)", 1))
         .when((host == "youtube.com") & url.rlike(r"^[^?#]*\?(?:[^#]*&)?v="), F.coalesce(query_param(url, "v"), F.lit("")))
-        .when(host == "youtu.be", F.regexp_extract(path, "^/([^/]*)", 1)), F.lit(""))
+        .when(host == "youtu.be", F.regexp_extract(path, "^/([^/]*)", 1)))
+    return F.when(found != "", found)
 
 
 def vimeo_id(url: Column) -> Column:
     host, path = bare_host(url), path_of(url)
-    return F.nullif(
+    found = (
         F.when((host == "player.vimeo.com") & path.startswith("/video/"), F.regexp_extract(path, "^/video/([^/]*)", 1))
-        .when(host == "vimeo.com", F.regexp_extract(path, "^/([0-9]+)", 1)), F.lit(""))
+        .when(host == "vimeo.com", F.regexp_extract(path, "^/([0-9]+)", 1)))
+    return F.when(found != "", found)
 
 
 def _full(url: Column) -> Column:
@@ -100,7 +89,7 @@ def _pairs(rank: str, text: Column, pattern: str, tag, b: int, url_group: int, e
         F.regexp_extract_all(text, F.lit(pattern), F.lit(key_group)).alias("k"),
     )
     return F.transform(parts, lambda m, i: _ref(
-        rank, m.u, F.concat(F.lit("script["), m.k, F.lit("]")) if key_group else tag, F.lower(m.e), b=b, c=i))
+        RANK[rank], m.u, F.concat(F.lit("script["), m.k, F.lit("]")) if key_group else tag, F.lower(m.e), b, i))
 
 
 def _script_refs(text: Column) -> Column:
@@ -117,20 +106,18 @@ def _script_refs(text: Column) -> Column:
 
 
 def _json_ld_refs(text: Column) -> Column:
-    none = F.array().cast(f"array<{REF}>")
-
+    """Members of each video node in order; pages of the two player hosts are no files."""
     def of(node: Column, k: Column) -> Column:
-        def web(value: Column) -> Column:
-            return F.when(value.startswith("http"), value)
-
-        videos = [
-            F.array(_ref("json-ld", F.when(~hosted_elsewhere(node[p]), web(node[p])), f"json-ld[{t}]",
-                         F.coalesce(video_extension(node[p]), F.lit("mp4")), b=k, c=i))
-            for i, (p, t) in enumerate((("content_url", "contentUrl"), ("embed_url", "embedUrl"), ("url", "url")))
-        ]
-        return F.concat(*videos, F.array(_ref("json-ld", web(node["thumbnail"]), "json-ld[thumbnailUrl]", b=k, c=3)))
+        members = F.array(*[
+            F.struct(F.lit(t).alias("t"), node[p].alias("u")) for p, t in (
+                ("content_url", "contentUrl"), ("embed_url", "embedUrl"), ("url", "url"), ("thumbnail", "thumbnailUrl"))
+        ])
+        web = F.filter(members, lambda m: m.u.startswith("http") & ((m.t == "thumbnailUrl") | ~hosted_elsewhere(m.u)))
+        return F.transform(web, lambda m, i: _ref(
+            RANK["json-ld"], m.u, F.concat(F.lit("json-ld["), m.t, F.lit("]")),
+            F.when(m.t != "thumbnailUrl", F.coalesce(video_extension(m.u), F.lit("mp4"))), k, i))
 
-    return F.coalesce(F.flatten(F.transform(video_nodes(text), of)), none)
+    return F.flatten(F.transform(video_nodes(text), of))
 
 
 def _noscript_images(body: Column) -> Column:
@@ -143,79 +130,106 @@ def _noscript_images(body: Column) -> Column:
     return F.filter(F.transform(images, src), lambda u: u != "")
 
 
-def _meta_refs() -> Column:
-    def one(m: Column, i: Column) -> Column:
-        image = m.prop == "og:image"
-        rank = F.when(image, RANK["og:image"]).otherwise(RANK["meta"])
-        url = F.when(image | ~hosted_elsewhere(m.by_property), F.nullif(m.by_property, F.lit("")))
-        return F.struct(
-            rank.alias("rank"), F.lit(0).alias("a"), i.alias("b"), F.lit(0).alias("c"), url.alias("url"),
-            F.concat(F.lit("meta["), m.prop, F.lit("]")).alias("tag"), F.when(~image, F.lit("mp4")).alias("ext")).cast(REF)
-
-    return F.transform(F.col("meta"), one)
-
-
-def raw_refs(els: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Unresolved media references of every element: one row each, in no particular order. Narrow."""
-    name, body = F.col("name"), F.col("body")
-    els = els.withColumn("body", F.when(name.isin("script", "style", "noscript"), raw_body(F.col("tag"))))
-    mime = extension_from_mime(F.coalesce(attr("type"), F.lit("")))
-    loose = ~F.col("in_picture")
-    inside = F.col("picture").isNotNull()
-    inline = attr("src").isNull() & (utf16_length(body) <= limits.max_script_chars)
-    frame = F.coalesce(attr("src"), attr("data-src"))
-    yt, vm = youtube_id(_full(frame)), vimeo_id(_full(frame))
+def _position(values: list[str], name: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(v) for v in values]), name).cast("int")
+
+
+@built_once
+def _attribute_refs(max_script: int) -> Column:
+    """References carried by one attribute (or one raw-text body) of an element."""
+    el, name, value = F.col("name"), F.col("an"), F.col("av")
+    none = F.array().cast(REFS)
+    in_src, in_set = _position(SRC_ATTRS, name), _position(SRCSET_ATTRS, name)
+    label = F.concat(F.lit("["), name, F.lit("]"))
+    mime = extension_from_mime(F.coalesce(F.col("type"), F.lit("")))
+
+    def main(rank: str, ext=None) -> Column:
+        """Lazy source attributes, then source-set attributes."""
+        tag = F.concat(F.lit(rank), label)
+        return F.when(in_src > 0, F.array(_ref(RANK[rank], value, tag, ext, in_src))).when(
+            in_set > 0, F.transform(_srcset(value), lambda u, k: _ref(RANK[rank], u, tag, None, in_set + 10, k))
+        ).otherwise(none)
+
+    pic = RANK["picture"]
+    source_in_picture = F.when(in_set > 0, F.transform(_srcset(value), lambda u, k: _ref(
+        pic, u, F.concat(F.lit("picture source"), label), mime, in_set, k))).when(
+        in_src > 0, F.array(_ref(pic, value, F.concat(F.lit("picture source"), label), mime, in_src + 10))).otherwise(none)
+    img_tag = F.concat(F.lit("picture img"), label)
+    img_in_picture = F.when(in_src > 0, F.array(_ref(pic, value, img_tag, None, in_src))).when(
+        in_set > 0, F.transform(_srcset(value), lambda u, k: _ref(pic, u, img_tag, None, in_set + 10, k))).otherwise(none)
+    css = F.filter(F.transform(F.regexp_extract_all(value, F.lit(CSS_BACKGROUND), F.lit(1)), trim_space),
+                   lambda u: (u != "") & ~u.startswith("data:"))
+    yt, vm = youtube_id(_full(value)), vimeo_id(_full(value))
     thumb = F.when(yt.isNotNull(), F.concat(F.lit("https://img.youtube.com/vi/"), yt, F.lit("/maxresdefault.jpg"))).when(
         vm.isNotNull(), F.concat(F.lit("https://vumbnail.com/"), vm, F.lit(".jpg")))
-    css = lambda text: F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(CSS_BACKGROUND), F.lit(1)), trim_space),
-        lambda u: (u != "") & ~u.startswith("data:"))
-    pic, at = F.col("picture"), F.col("pos")
-    src_in_pic = [F.array(_ref("picture", present(attr(n)), f"picture source[{n}]", mime, pic, 0, at * 100 + 50 + i))
-                  for i, n in enumerate(SRC_ATTRS)]
-
-    def set_in_pic(n: str, i: int, label: str, group: int, ext) -> Column:
-        return F.coalesce(F.transform(_srcset(present(attr(n))), lambda u, k: _ref(
-            "picture", u, f"{label}[{n}]", ext, pic, group, F.lit(0) if group else at * 100 + i * 16 + F.least(k, F.lit(15)))),
-            F.array().cast(f"array<{REF}>"))
-
-    data = [
-        F.array(_ref("data", F.when(looks_like_video(attr(n)) | attr(n).startswith("http"), present(attr(n))), f"[{n}]",
-                     video_extension(attr(n)), b=i))
-        for i, n in enumerate(VIDEO_DATA_ATTRS)
-    ]
-    none = F.array().cast(f"array<{REF}>")
-    picture_img = F.concat(*_src_refs("picture", "picture img", a=pic, start=1),
-                           *_srcset_refs("picture", "picture img", a=pic, start=10))
-    per_tag = (
-        F.when(name == "img", F.concat(
-            F.when(loose, F.concat(*_src_refs("img", "img"), *_srcset_refs("img", "img"))).otherwise(none),
-            F.when(F.col("lead_image"), picture_img).otherwise(none)))
-        .when(name == "video", F.concat(
-            *_src_refs("video", "video"), F.array(_ref("video", present(attr("poster")), "video[poster]", b=9))))
-        .when(name == "source", F.concat(
-            F.when(loose, F.concat(*_src_refs("source", "source", mime), *_srcset_refs("source", "source"))).otherwise(none),
-            F.when(inside, F.concat(*[set_in_pic(n, i, "picture source", 0, mime) for i, n in enumerate(SRCSET_ATTRS)],
-                                    *src_in_pic)).otherwise(none)))
-        .when(name == "a", F.array(_ref("a", present(attr("href")), "a[href]")))
-        .when(name == "noscript", _many("noscript", _noscript_images(body), "noscript img[src]", 0))
-        .when(name == "style", _many("style block", css(body), "css[background-image]", 0))
-        .when(name == "iframe", F.array(_ref("iframe", F.when(frame != "", thumb), "iframe[src]", F.lit("jpg"))))
-        .when(name == "embed", F.array(_ref("embed", present(attr("src")), "embed[src]", mime)))
-        .when(name == "object", F.array(_ref("object", present(attr("data")), "object[data]", mime)))
-        .when(name == "#meta", _meta_refs())
-        .when(name == "script", F.concat(
-            F.when(attr("type") == "application/ld+json", _json_ld_refs(body)).otherwise(none),
-            F.when(inline, _script_refs(body)).otherwise(none)))
+    frame = (name == "src") | ((name == "data-src") & ~F.col("has_src"))
+    image = name == "og:image"
+    body = name == BODY
+    loose, inside = ~F.col("in_picture"), F.col("picture").isNotNull()
+    element = (
+        F.when(el == "img", F.concat(F.when(loose, main("img")).otherwise(none),
+                                     F.when(F.col("lead_image"), img_in_picture).otherwise(none)))
+        .when((el == "video") & (name == "poster"), F.array(_ref(RANK["video"], value, "video[poster]", None, 9)))
+        .when(el == "video", F.filter(main("video"), lambda r: r.b < 9))
+        .when(el == "source", F.concat(F.when(loose, main("source", mime)).otherwise(none),
+                                       F.when(inside, source_in_picture).otherwise(none)))
+        .when((el == "a") & (name == "href"), F.array(_ref(RANK["a"], value, "a[href]")))
+        .when((el == "noscript") & body, _many("noscript", _noscript_images(value), "noscript img[src]", 0))
+        .when((el == "style") & body, _many("style block", css, "css[background-image]", 0))
+        .when((el == "iframe") & frame, F.array(_ref(RANK["iframe"], thumb, "iframe[src]", F.lit("jpg"))))
+        .when((el == "embed") & (name == "src"), F.array(_ref(RANK["embed"], value, "embed[src]", mime)))
+        .when((el == "object") & (name == "data"), F.array(_ref(RANK["object"], value, "object[data]", mime)))
+        .when((el == "#meta") & (image | ~hosted_elsewhere(value)), F.array(_ref(
+            F.when(image, RANK["og:image"]).otherwise(RANK["meta"]), value, F.concat(F.lit("meta"), label),
+            F.when(~image, "mp4"), _position(META_VIDEO_PROPS, name))))
+        .when((el == "script") & body, F.concat(
+            F.when(F.col("type") == "application/ld+json", _json_ld_refs(value)).otherwise(none),
+            F.when(~F.col("has_src") & (utf16_length(value) <= max_script), _script_refs(value)).otherwise(none)))
         .otherwise(none)
     )
-    refs = F.concat(
-        per_tag,
-        F.when(present(attr("style")).isNotNull(), _many("style", css(attr("style")), "css[background-image]", 0)).otherwise(none),
-        F.when(F.exists("names", lambda n: n.startswith("data-")), F.concat(*data)).otherwise(none),
+    shared = (
+        F.when((name == "style") & ~body, _many("style", css, "css[background-image]", 0))
+        .when(name.isin(VIDEO_DATA_ATTRS) & (looks_like_video(value) | value.startswith("http")), F.array(_ref(
+            RANK["data"], value, label, video_extension(value), _position(VIDEO_DATA_ATTRS, name))))
+        .otherwise(none)
     )
-    kept = F.filter(refs, lambda r: r.url.isNotNull())
-    return els.select("page_id", "page_url", F.inline_outer(kept)).filter(F.col("url").isNotNull())
+    return F.concat(element, shared)
+
+
+BODY = "#body"
+
+
+def attribute_rows(els: DataFrame) -> DataFrame:
+    """One row per attribute of an element; a raw-text body and the page's meta values come as attributes too."""
+    pair = "array<struct<an:string,av:string>>"
+    pairs = F.filter(
+        F.transform("names", lambda n, i: F.struct(
+            F.when(F.array_position("names", n) == i + 1, n).alias("an"), F.get("values", i).alias("av"))),
+        lambda p: p.an.isNotNull() & (p.av != ""))
+    raw = F.col("name").isin("script", "style", "noscript")
+    rows = (
+        F.when(F.col("name") == "#meta", F.filter(
+            F.transform("meta", lambda m: F.struct(m.prop.alias("an"), m.by_property.alias("av"))), lambda p: p.av != ""))
+        .when(raw, F.array_append(pairs, F.struct(F.lit(BODY).alias("an"), raw_body(F.col("tag")).alias("av"))))
+        .otherwise(pairs)
+    ).cast(pair)
+    return els.select(
+        "page_id", "page_url", "pos", "name", "in_picture", "picture", "lead_image", attr("type").alias("type"),
+        F.array_contains("names", "src").alias("has_src"), F.inline_outer(rows)).filter(F.col("av").isNotNull())
+
+
+def raw_refs(els: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Unresolved media references of every element: one row each, in no particular order. Narrow.
+
+    (rank, a, a2, b, c) is the order the sources are read in: source, element, part, list position.
+    """
+    rows = attribute_rows(els).select(
+        "page_id", "page_url", "pos", "name", "picture", F.inline_outer(_attribute_refs(limits.max_script_chars)))
+    of_picture = F.col("rank") == RANK["picture"]
+    image = of_picture & (F.col("name") == "img")
+    return rows.filter(F.col("url").isNotNull()).select(
+        "page_id", "page_url", "rank", F.when(of_picture, F.col("picture")).otherwise(F.col("pos")).alias("a"),
+        F.when(image, 2_000_000_000).when(of_picture, F.col("pos")).otherwise(0).alias("a2"), "b", "c", "url", "tag", "ext")
 
 
 def resolve_refs(refs: DataFrame) -> DataFrame:
@@ -231,17 +245,17 @@ def dedup_assets(refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     All windows are keyed by page, so one exchange by ``page_id`` serves them; a page is bounded by its
     admitted size, and the cap is the asset limit of the analysis itself.
     """
-    order = ["rank", "a", "b", "c"]
+    order = ["rank", "a", "a2", "b", "c"]
     first = W.partitionBy("page_id", "key").orderBy(*order)
     # placed by page before the (page, url) window so that both windows share this one exchange
     placed = refs.select("page_id", *order, "full", "tag", "ext", strip_fragment(F.col("full")).alias("key"))
     placed = placed.repartition("page_id")
     unique = placed.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    own = url_extension(F.col("full"))
-    fitting = unique.withColumn("own_ext", own)
-    fitting = fitting.withColumn("inferred", ~is_media_extension(F.col("own_ext")) & F.col("ext").isNotNull())
-    fitting = fitting.withColumn("extension", F.when(F.col("inferred"), F.col("ext")).otherwise(F.col("own_ext")))
-    fitting = fitting.filter(is_media_extension(F.col("extension")))
+    own = F.col("own_ext")
+    fitting = settle(unique, own_ext=url_extension(F.col("full")))
+    fitting = fitting.withColumn("inferred", ~is_media_extension(own) & F.col("ext").isNotNull())
+    fitting = fitting.filter(is_media_extension(own) | is_media_extension(F.col("ext")))
+    fitting = fitting.withColumn("extension", F.when(F.col("inferred"), F.col("ext")).otherwise(own))
     ranked = fitting.withColumn("ord", F.row_number().over(W.partitionBy("page_id").orderBy(*order)))
     ranked = ranked.filter(F.col("ord") <= limits.max_assets)
     numbered = F.concat(F.lit("media-"), F.col("ord").cast("string"), F.lit("."), F.col("extension"))
@@ -258,7 +272,7 @@ def extract_media(pages: DataFrame, player_scripts: DataFrame | None = None, lim
     if player_scripts is not None:
         videos = player_videos(pages, player_scripts, limits, els)
         refs = refs.unionByName(videos.select(
-            "page_id", "page_url", F.lit(RANK["player"]).alias("rank"), F.col("ref_order").alias("a"),
+            "page_id", "page_url", F.lit(RANK["player"]).alias("rank"), F.col("ref_order").alias("a"), F.lit(0).alias("a2"),
             F.col("video_order").alias("b"), F.lit(0).alias("c"), F.col("video_url").alias("url"),
             F.concat(F.lit("vturb["), F.col("player_id"), F.lit("]")).alias("tag"),
             video_extension(F.col("video_url")).alias("ext")))
@@ -276,8 +290,6 @@ def elements_named(pages: DataFrame, name: str) -> DataFrame:
     """Start tags of one name with their attributes, for jobs that need no ancestry. Narrow."""
     tags = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(
         tokens_of(F.col("html"))).alias("pos", "tag"))
-    from weblode.operators.tokens import with_attributes
-
     return with_attributes(tags.filter(F.col("tag").rlike(rf"(?i)^<{name}[\s/>]")), "tag")
 
 
@@ -328,7 +340,7 @@ def parse_player_scripts(scripts: DataFrame, limits: Limits = Limits()) -> DataF
         & (utf16_length(body) <= limits.max_player_script_chars)
     )
     cdn, oid, vid = (F.regexp_extract(body, p, 1) for p in (PLAYER_CDN, PLAYER_OID, PLAYER_VIDEO))
-    cover = F.nullif(F.regexp_extract(body, PLAYER_COVER, 1), F.lit(""))
+    cover = present(F.regexp_extract(body, PLAYER_COVER, 1))
     video = "array<struct<url:string,thumbnail:string>>"
     built = F.array(F.struct(
         F.concat(F.lit("https://"), cdn, F.lit("/"), oid, F.lit("/"), vid, F.lit("/main.m3u8")).alias("url"),

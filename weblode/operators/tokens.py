@@ -20,8 +20,8 @@ from weblode.functions.fixed import (
     AD_WORDS, CLOSES_P, META_VIDEO_PROPS, RAW_ELEMENTS, SVG_LEAVES, VOID_ELEMENTS,
 )
 from weblode.functions.text import (
-    START_TAG, START_TAG_BODY, attr_names, attr_tokens, attr_values, collapse_space, decode_entities, has_word, let,
-    trim_space, utf16_length,
+    START_TAG, START_TAG_BODY, attr_names, attr_tokens, attr_values, built_once, collapse_space, decode_entities,
+    has_word, let, trim_space, utf16_length,
 )
 
 TOKEN = (
@@ -81,10 +81,15 @@ def tag_table(pages: DataFrame) -> DataFrame:
         "page_id", "pos", F.get(kinds, F.col("kind")).alias("kind"), "name", "token")
 
 
+@built_once
+def _attribute_columns(tag: str) -> tuple[Column, Column, Column]:
+    return attr_tokens(F.col(tag)), attr_names(F.col("_at")), attr_values(F.col("_at"))
+
+
 def with_attributes(df: DataFrame, tag: str) -> DataFrame:
     """Add aligned ``names`` / ``values`` arrays parsed once from a start tag."""
-    df = df.withColumn("_at", attr_tokens(F.col(tag)))
-    return df.withColumns({"names": attr_names(F.col("_at")), "values": attr_values(F.col("_at"))}).drop("_at")
+    parts, names, values = _attribute_columns(tag)
+    return df.withColumn("_at", parts).withColumns({"names": names, "values": values}).drop("_at")
 
 
 def with_inside(tags: DataFrame, *names: str, out: str = "inside") -> DataFrame:
@@ -281,7 +286,16 @@ def elements(pages: DataFrame, text: bool = False) -> DataFrame:
     text one extra row per page, named ``#meta``, carries the page's meta values.
     """
     base = pages.select("page_id", F.col("url").alias("page_url"), tokens_of(F.col("html")).alias("toks"))
-    base = base.withColumn("cls", _classified(F.col("toks"), text))
+    for step in _steps(text):
+        base = base.withColumns(step)
+    out = base.select("page_id", "page_url", F.inline_outer("rows"))
+    return with_attributes(out.filter(F.col("pos").isNotNull()), "tag")
+
+
+@built_once
+def _steps(text: bool) -> list[dict[str, Column]]:
+    """The row-local columns of ``elements`` in the order they depend on each other."""
+    first = {"cls": _classified(F.col("toks"), text)}
     fold = _fold(F.col("cls"))
     if not text:
         # without a picture or video there is no ancestry to know: skip the fold
@@ -289,12 +303,15 @@ def elements(pages: DataFrame, text: bool = False) -> DataFrame:
             F.lit(0).alias("t"), F.transform(F.filter("cls", lambda x: x.w), _rootless).cast(_OUT).alias("out"),
             F.array().cast(_ENDS).alias("ends"))
         fold = F.when(F.exists("cls", lambda x: x.n.isin("picture", "video")), fold).otherwise(flat)
-    base = base.withColumns({"fold": fold, "metas": _meta_values(F.col("toks"))})
     toks = F.col("toks")
+    second = {"fold": fold}
+    third: dict[str, Column] = {}
     if text:
-        base = base.withColumn("texts", F.transform(
-            F.filter(toks, _is_text), lambda t: F.substring(collapse_space(_text_of(t)), 1, CONTEXT_CHARS)))
-        base = base.withColumn("endp", F.transform(F.col("fold.ends"), lambda e: e.p))
+        second["texts"] = F.transform(
+            F.filter(toks, _is_text), lambda t: F.substring(collapse_space(_text_of(t)), 1, CONTEXT_CHARS))
+        third["endp"] = F.transform(F.col("fold.ends"), lambda e: e.p)
+    else:
+        second["metas"] = _meta_values(toks)
 
     def joined(start: Column, stop: Column) -> Column:
         def cut(count) -> Column:
@@ -339,9 +356,7 @@ def elements(pages: DataFrame, text: bool = False) -> DataFrame:
                                  "array<struct<prop:string,by_property:string,by_name:string>>"]))
         pseudo = F.struct(*[(meta_fields.get(n, F.lit(None)).cast(types[n])).alias(n) for n in plain])
         rows = F.when(F.col("metas").isNotNull(), F.array_append(rows, pseudo)).otherwise(rows)
-    out = base.select("page_id", "page_url", rows.alias("rows")).select(
-        "page_id", "page_url", F.inline_outer("rows"))
-    return with_attributes(out.filter(F.col("pos").isNotNull()), "tag")
+    return [step for step in (first, second, third, {"rows": rows}) if step]
 
 
 # ---- page facts ----------------------------------------------------------------------------------
