@@ -45,3 +45,44 @@ def video_nodes(text: Column) -> Column:
         _text(it.v, "contentUrl").alias("content_url"), _text(it.v, "embedUrl").alias("embed_url"),
         _text(it.v, "url").alias("url"), _text(it.v, "thumbnailUrl").alias("thumbnail")))
     return F.filter(nodes, lambda n: n.type.isin("videoobject", "video"))
+
+
+SETTINGS_DEPTH = 5
+
+
+def settings_urls(text: Column, key_pattern: str) -> Column:
+    """String leaves at most five levels deep whose path ends in a URL-like key: array of (path, value).
+
+    Members are visited in document order as far as the parsed form keeps it; arrays by index.
+    """
+    item = "array<struct<path:string,v:variant,ord:array<int>>>"
+    leaf_t = "array<struct<path:string,value:string,ord:array<int>>>"
+
+    def child(path: Column, v: Column, ord_: Column) -> Column:
+        return F.struct(path.alias("path"), v.alias("v"), ord_.alias("ord"))
+
+    def children(it: Column) -> Column:
+        listed = F.try_variant_get(it.v, "$", "array<variant>")
+        members = F.map_entries(F.try_variant_get(it.v, "$", "map<string,variant>"))
+        return (
+            F.when(listed.isNotNull(), F.transform(listed, lambda v, i: child(
+                F.concat(it.path, F.lit("["), i.cast("string"), F.lit("]")), v, F.array_append(it.ord, i))))
+            .when(members.isNotNull(), F.transform(members, lambda m, i: child(
+                F.when(it.path == "", m.key).otherwise(F.concat(it.path, F.lit("."), m.key)), m.value,
+                F.array_append(it.ord, i))))
+            .otherwise(F.array().cast(item))
+        )
+
+    level = F.array(child(F.lit(""), F.try_parse_json(text), F.array().cast("array<int>")))
+    leaves = []
+    for depth in range(SETTINGS_DEPTH + 1):
+        strings = F.filter(level, lambda it: F.schema_of_variant(it.v) == "STRING")
+        leaves.append(F.transform(strings, lambda it: F.struct(
+            it.path.alias("path"), F.trim(F.try_variant_get(it.v, "$", "string")).alias("value"),
+            it.ord.alias("ord"))).cast(leaf_t))
+        if depth < SETTINGS_DEPTH:
+            level = F.flatten(F.transform(level, children))
+    found = F.filter(F.concat(*leaves), lambda x: (x.value != "") & x.path.rlike(key_pattern))
+    return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(
+        x.ord.alias("ord"), x.path.alias("path"), x.value.alias("value")))), lambda x: F.struct(
+            x.path.alias("path"), x.value.alias("value")))
