@@ -80,9 +80,9 @@ def link_candidates(pages: DataFrame) -> DataFrame:
     """Every link target of every page with its label and context, unresolved. Narrow."""
     els = elements(pages, text=True).filter(F.col("own_text").isNotNull())
     els = els.withColumns({"label": _label(), "found": _found()})
-    context = F.substring(F.trim(F.regexp_replace(F.concat_ws(
+    context = F.substring(F.concat_ws(
         " ", *[present(c) for c in (F.col("label"), attr("class"), attr("data-widget_type"), attr("data-element_type"),
-                                    F.col("parent_text"))]), "^ +", "")), 1, 350)
+                                    F.col("parent_text"))]), 1, 350)
     rows = els.select(
         "page_id", "page_url", "pos", F.col("label").alias("anchor_text"), context.alias("context"),
         (F.col("nav") | F.col("near_ad")).alias("is_navigation"), F.inline_outer("found"))
