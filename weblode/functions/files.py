@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weblode.functions.fixed import (
     ALLOWED_CONTENT_TYPES, IMAGE_EXTENSIONS, JS_SPACE, MIME_TO_EXTENSION, VIDEO_EXTENSIONS, VIDEO_SUFFIX,
@@ -49,7 +50,7 @@ def file_name_from_url(url: Column, ordinal: Column) -> Column:
     return F.when(F.contains(base, F.lit(".")), readable).otherwise(numbered)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Arrow-batched compatibility normalisation, for captures whose names are not already composed."""
     return names.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))

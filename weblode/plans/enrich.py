@@ -58,12 +58,12 @@ def enriched(pages: DataFrame) -> DataFrame:
 
 def linked(pages: DataFrame) -> DataFrame:
     """Enriched pages that also link to pages ``id + 1`` and ``2 id`` of the same table."""
-    total = pages.agg(F.max("page_id").alias("last"))
-    # a one-row aggregate: its size is known to be a single row
-    ids = pages.select("page_id", "url", "html").join(F.broadcast(total), F.lit(True))
+    total = pages.agg(F.max("page_id") + 1).scalar()
+    ids = pages.select("page_id", "url", "html", ((F.col("page_id") + 1) % total).alias("near_id"),
+                       ((F.col("page_id") * 2) % total).alias("far_id"))
     targets = pages.select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"))
-    near = ids.join(targets, F.expr("(page_id + 1) % (last + 1)") == F.col("t_id")).withColumnRenamed(
+    near = ids.join(targets, F.col("near_id") == F.col("t_id")).withColumnRenamed(
         "t_url", "near_url").drop("t_id")
-    both = near.join(targets, F.expr("(2 * page_id) % (last + 1)") == F.col("t_id")).withColumnRenamed("t_url", "far_url")
+    both = near.join(targets, F.col("far_id") == F.col("t_id")).withColumnRenamed("t_url", "far_url")
     extra = ("'<p><a href=\"' || near_url || '\">video page</a> <a href=\"' || far_url || '\">more</a></p>'")
     return both.select("page_id", "url", F.expr(markup_sql(extra)).alias("html"))
