@@ -128,7 +128,7 @@ def page_entries(page_results: DataFrame, visible: DataFrame, f: MediaFilter = M
 def gallery_page(assets: DataFrame, group: str, page: int = 1, size: int = 24, type_: str = "all") -> DataFrame:
     """The first ``page`` screens of ``size`` assets per group."""
     rows = assets if type_ == "all" else assets.filter(F.col("type") == type_)
-    shown = rows.withColumn("shown", F.row_number().over(W.partitionBy(group).orderBy("ord")))
+    shown = rows.withColumn("shown", F.row_number().over(W.partitionBy(group).orderBy("ord", "url")))
     return shown.filter(F.col("shown") <= page * size)
 
 

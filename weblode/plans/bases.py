@@ -102,8 +102,8 @@ BASES: dict[str, str] = {
                  {_case('o_orderkey % 6', "'.jpg'", "'.mp4'", "'.php'", "''", other="'.png'")} AS url,
                CAST(CASE WHEN o_orderkey % 19 = 3 THEN 404 ELSE 200 END AS INT) AS status,
                {_case('o_orderkey % 7', "'image/jpeg'", "'video/mp4'", "'text/html'", other="'application/octet-stream'")} AS content_type,
-               CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_totalprice * 1000 AS BIGINT) END AS content_length,
-               CASE WHEN o_orderkey % 23 = 4 THEN NULL ELSE CAST(o_totalprice * 400 AS BIGINT) END AS bytes,
+               CASE WHEN o_orderkey % 5 = 0 THEN CAST(floor(o_totalprice * 1000) AS BIGINT) END AS content_length,
+               CASE WHEN o_orderkey % 23 = 4 THEN NULL ELSE CAST(floor(o_totalprice * 400) AS BIGINT) END AS bytes,
                CASE WHEN o_orderkey % 8 = 1 THEN 'attachment; filename="clip ' || CAST(o_orderkey % 30 AS STRING) || '.mp4"' END
                  AS disposition
         FROM {{orders}}""",

@@ -204,6 +204,12 @@ def emit_crawl_events(spark, sf_dir):
                       F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), F.col("seq.c").alias("c"), "event", "data")
 
 
+def crawl_event_counts(spark, sf_dir):
+    crawled, page_results, kept = _results(spark, sf_dir)
+    log = crawl.emit_crawl_events(crawled, page_results, kept, CRAWL)
+    return log.groupBy("crawl_id", "event").agg(F.count("*").alias("n"))
+
+
 def crawl_report(spark, sf_dir):
     _, page_results, kept = _results(spark, sf_dir)
     flat = results.flatten_media(crawl.crawl_report(page_results, kept))
@@ -245,7 +251,7 @@ def search_media(spark, sf_dir):
 
 def filter_media(spark, sf_dir):
     pages, rows = _shown(spark, sf_dir)
-    f = results.MediaFilter(availability="link_only", type="video", platform="none", confidence="medium", page_kind="media")
+    f = results.MediaFilter(availability="link_only", type="video", platform="peertube", confidence="medium", page_kind="hub")
     return results.filter_media(pages, rows, f).select("crawl_id", "claim", "ord", "url", "confidence")
 
 
@@ -362,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, media_by_source, player_videos,
         discover_links, link_priorities, possible_spa, discover_embeds, classify_platform, classify_platform_strict,
         file_names, content_dispositions, deep_crawl, discovery_edges, merge_page_media, dedup_media_across_pages,
-        classify_pages, crawl_summary, emit_crawl_events, crawl_report, shallow_crawl, media_counts, media_facets,
+        classify_pages, crawl_summary, emit_crawl_events, crawl_event_counts, crawl_report, shallow_crawl, media_counts, media_facets,
         page_kind_facet, search_media, filter_media, page_entries, selection_ops, assets_for_bundle, display_fields,
         gallery_page, admit_pages_analyse, admit_pages_crawl, resolve_retries, resolve_redirects, host_safety,
         validate_seeds, admit_assets, bundle_entries, bundle_status, parse_events, crawl_progress, crawl_status,
