@@ -199,7 +199,7 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
             shutil.copy(f, feed / f"{k}-{os.path.basename(f)}")
             os.utime(feed / f"{k}-{os.path.basename(f)}", (1_700_000_000 + k, 1_700_000_000 + k))
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).json(str(feed))
-    query = (limiter.rate_limit_stream(stream, 5_000, 4).writeStream.format("memory").queryName("verdicts").outputMode("append")
+    query = (limiter.rate_limit_stream(stream, 5_000, 4, evict=False).writeStream.format("memory").queryName("verdicts").outputMode("append")
              .trigger(availableNow=True).start())
     query.awaitTermination()
     got = {r.request_id: (r.limited, r.remaining, r.reset_ms) for r in spark.table("verdicts").collect()}

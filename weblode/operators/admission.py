@@ -96,10 +96,13 @@ def resolve_redirects(requests: DataFrame, responses: DataFrame, limits: Limits
             .when(~is_http(F.col("next")), "invalid_url")
             .when(is_private_host(host_of(F.col("next"))), "private_host")
         )
-        moved = more & error.isNull()
-        rows = step.select(
-            "url", F.when(moved, F.col("next")).otherwise(F.col("current")).alias("current"),
-            (F.col("hops") + F.when(moved, 1).otherwise(0)).alias("hops"), error.alias("error_code"), moved.alias("live"))
+        # behind a barrier, or every hop would copy the expressions of the hops before it
+        step = settle(step, failure=error, more=more)
+        moved = F.col("more") & F.col("failure").isNull()
+        rows = settle(step.select("url", F.struct(
+            F.when(moved, F.col("next")).otherwise(F.col("current")).alias("current"),
+            (F.col("hops") + F.when(moved, 1).otherwise(0)).alias("hops"), F.col("failure").alias("error_code"),
+            moved.alias("live")).alias("s")), t=F.col("s")).select("url", "t.*")
     return rows.select("url", F.when(F.col("error_code").isNull(), F.col("current")).alias("resolved_url"), "hops",
                        "error_code")
 

@@ -103,10 +103,11 @@ def _verdict(client, at, ids, counts, resets, limit: int) -> pd.DataFrame:
     })
 
 
-def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS) -> DataFrame:
+def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, evict: bool = True) -> DataFrame:
     """The same verdicts on a stream, one (count, reset) state per client.
 
     Rows of a micro-batch are judged by time; a bucket idle past its window is dropped by a processing-time timeout.
+    Timeouts keep a query running batches without data, so a run that has to end by itself passes ``evict=False``.
     """
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -117,8 +118,10 @@ def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = M
         at = pdf["at_ms"].to_numpy()
         counts, resets, count, reset = _walk(at, int(count), int(reset), window_ms)
         state.update((int(count), int(reset)))
-        state.setTimeoutDuration(max(window_ms, IDLE_SWEEP_MS))
+        if evict:
+            state.setTimeoutDuration(max(window_ms, IDLE_SWEEP_MS))
         yield _verdict(pdf["client"].to_numpy(), at, pdf["request_id"].to_numpy(), counts, resets, limit)
 
     return log.groupBy("client").applyInPandasWithState(
-        judge, OUTPUT, "count bigint, reset_ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        judge, OUTPUT, "count bigint, reset_ms bigint", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
