@@ -15,6 +15,8 @@ def stage_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="weblode-stages-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
