@@ -357,8 +357,10 @@ def activity_tail(spark, sf_dir):
 
 
 def rate_limit(spark, sf_dir):
+    # the stored times carry no zone; read as UTC whatever the session's zone is
+    utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("user_id").cast("string").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"),
+        F.col("user_id").cast("string").alias("client"), F.unix_millis(utc).alias("at_ms"),
         F.col("event_id").alias("request_id"))
     return limiter.rate_limit(log, DAY_MS, 2)
 
