@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weblode.llm.ship import ship
 from weblode.sources.stages import written
@@ -152,10 +153,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every row comes back with its other columns unchanged. Of equal chunks the one in the smallest doc_id, and there the earliest,
     stays. Single-line chunks and blank ones always stay. A null text stays null, an empty one empty; a text all of whose chunks
-    repeat becomes empty. Rows with a null doc_id are neither counted nor changed; rows that share a doc_id are one document
+    repeat becomes empty. Columns of the names used here (_chunks_removed, _lines_removed, _drop, _gone_id) are replaced. Rows with a null doc_id are neither counted nor changed; rows that share a doc_id are one document
     whose equal places are one chunk, and lose the same places. An empty table gives no rows.
     """
+    docs = docs.drop("_chunks_removed", "_lines_removed", "_drop", "_gone_id")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     gone = repeated_chunks(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("chunk").alias("_drop"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left").drop("_gone_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_removed(joined.columns), f"{schema}, _chunks_removed int, _lines_removed int")
+    counts = [T.StructField("_chunks_removed", T.IntegerType()), T.StructField("_lines_removed", T.IntegerType())]
+    return joined.mapInArrow(_removed(joined.columns), T.StructType(docs.schema.fields + counts))

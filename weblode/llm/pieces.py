@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from weblode.llm.blocks import _powers, mix
@@ -272,16 +273,17 @@ def encode(docs: DataFrame, keep: list[str] | None = None, check: bool = False,
     broadcast. A word outside it is rare, and folded where it stands by the same merges: shuffling every rare word to a table
     and back would move more than the texts. Whole texts are encoded, nothing is shuffled but distinct words.
 
-    A null text has null pieces, an empty one none. Other columns pass through, also a column called n_pieces if it is not kept. Repeated
+    A null text has null pieces, an empty one none. Other columns pass through, but for any called as those added. Repeated
     rows get equal pieces; an empty table gives no rows. With ``check`` a column round_trip says whether decoding gives the text back
     (it does not where the text has U+2581 itself, which the model reads as a space).
     """
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+    added = [T.StructField("n_pieces", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))]
+    added += [T.StructField("round_trip", T.BooleanType())] if check else []
+    names = {"text", *(f.name for f in added)}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(encoder_for(docs, model, dictionary))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    tail = "n_pieces int, pieces array<int>" + (", round_trip boolean" if check else "")
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
-        _encoded(shared, len(keep), check), f"{schema}, {tail}" if keep else tail)
+    schema = T.StructType(docs.select(*keep).schema.fields + added)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_encoded(shared, len(keep), check), schema)
 
 
 def decode(encoded: DataFrame, pieces: str = "pieces", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -301,5 +303,5 @@ def decode(encoded: DataFrame, pieces: str = "pieces", text: str = "text", model
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.record_batch([*columns, pa.array(out, pa.string())], names=[*names, text])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != text)
-    return encoded.mapInArrow(run, f"{schema}, `{text}` string")
+    fields = [f for f in encoded.schema.fields if f.name != text]
+    return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType())]))

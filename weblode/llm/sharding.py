@@ -55,12 +55,12 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     """``df`` with _slot and _shard added: every row by its key, in the scan, from a broadcast table of ``slots`` rows.
 
     Equal keys meet in one shard; a null key is placed as the empty text. Nothing is shuffled, whatever the keys; an empty table
-    gives no rows; all other columns stay.
+    gives no rows; all other columns stay, but for any called _slot, _shard or _at.
     """
     table = lookup_table(shards, slots)
     schema = T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_shard", T.StringType())])
     rows = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], schema)
-    return df.withColumn("_slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), F.col("_slot") == F.col("_at")).drop("_at")
+    return df.drop("_slot", "_shard", "_at").withColumn("_slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), F.col("_slot") == F.col("_at")).drop("_at")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, files: int = 1) -> None:
