@@ -18,9 +18,10 @@ WINDOW = 5
 LEVEL = 3
 CHUNK = 4096
 #: (bytes, least ratio, most ratio) of raw to compressed bytes of a whole document, drawn straight in between over log2(bytes).
-#: The most is a few hundredths above what prose reaches at that length; the least is what encoded or random text stays below.
+#: The most is a few hundredths above what prose reaches at that length, more where chunks tell better; the least is what encoded or
+#: random text stays below.
 BANDS = ((64, 0.0, 1.4), (128, 0.0, 1.6), (256, 1.1, 1.76), (512, 1.2, 1.97), (1024, 1.3, 2.12), (2048, 1.4, 2.25), (4096, 1.45, 2.34),
-         (8192, 1.45, 2.46), (16384, 1.5, 2.57), (32768, 1.5, 2.67), (131072, 1.5, 2.85))
+         (8192, 1.45, 2.5), (16384, 1.5, 2.75), (32768, 1.5, 2.95), (131072, 1.5, 3.3))
 #: The same for every full chunk of ``CHUNK`` bytes. A document fails by its chunks when more than this share is outside.
 CHUNK_BAND = (1.45, 2.34)
 CHUNK_SHARE = 0.25
