@@ -4,6 +4,8 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from weblode.config import INTERACTIVE
+from weblode.functions.urls import url_extension
 from weblode.operators.embeds import discover_embeds
 from weblode.operators.links import discover_links, possible_spa
 from weblode.operators.media import extract_media, page_links, player_videos
@@ -52,12 +54,42 @@ def test_media_sources(page):
                       ("/g.m3u8?t", "script[player]", "g.m3u8")]
 
 
-def test_asset_cap(page):
-    many = "".join(f'<img src="/{i}.jpg">' for i in range(230))
-    got = extract_media(page(many))
+def test_assets_are_bounded_only_on_request(page):
+    many = "".join(f'<img src="/{i}.jpg">' for i in range(230)) + f"<script>{'x' * 600_000} file:'/late.mp4'</script>"
+    assert extract_media(page(many)).count() == 231
+    got = extract_media(page(many), limits=INTERACTIVE)
     assert got.count() == 200 and got.agg(F.max("ord")).first()[0] == 200
 
 
+def test_json_ld_nested_deeply(page):
+    def nest(levels):
+        node = '{"@type":"VideoObject","contentUrl":"https://m.example/deep.mp4"}'
+        for i in range(levels):
+            node = f"[{node}]" if i % 2 else f'{{"@graph":[{node}]}}'
+        return f'<script type="application/ld+json">{node}</script>'
+
+    assert extract_media(page(*[nest(n) for n in (0, 1, 4, 5, 9, 30)])).count() == 6
+
+
+def test_broken_markup(page):
+    """Nothing is read twice, nothing fails: unclosed openers take the rest of the page, bad references become U+FFFD."""
+    pages = page(
+        '<a href="/a&#9999999;b&#xD800;&#0;&#128;&comma;&ampc">x</a>', '<a href="/ok">x</a><!-- <a href="/no">y</a>',
+        '<a href="/ok">x</a><script>var a = "<a href=/no>"', '<a href="/ok">x</a><a href="/no>z</a>', '<title>t</title ><a href="/ok">x</a>')
+    got = {}
+    for r in page_links(pages).collect():
+        got.setdefault(r.page_id, []).append(r.url.replace(BASE, ""))
+    assert got == {0: ["/a%EF%BF%BDb%EF%BF%BD%EF%BF%BD%E2%82%AC,&ampc"], 1: ["/ok"], 2: ["/ok"], 3: ["/ok"], 4: ["/ok"]}
+    for part in ("<!--", '<a "', "<script>", "<p x='"):
+        assert tag_table(page(part * 200_000)).count() <= 1
+
+
+def test_extension_needs_a_path(spark):
+    urls = ["https://cdn.example.com", "https://cdn.example.com/", "https://cdn.example.com/a.mp4?x", "https://cdn.example.com?a.mp4"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_extension(F.col("u")).alias("e")).collect()
+    assert [r.e for r in got] == [None, None, "mp4", None]
+
+
 def test_player_scripts(spark, page):
     html = ('<script src="//scripts.converteai.net/aa-1/players/bb-2/v4/player.js"></script>'
             '<iframe src="https://scripts.converteai.net/aa-1/players/cc-3/embed.html"></iframe>'

@@ -60,6 +60,8 @@ OG_EMBED_PROPS = ["og:video", "og:video:url", "og:video:secure_url", "og:image"]
 TWITTER_EMBED_PROPS = ["twitter:player", "twitter:player:stream"]
 
 # ---- fixed values: patterns over scripts and styles --------------------------
+# the characters that the HTML standard gives numeric references 128 to 159
+C1_CHARACTERS = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
 JS_SPACE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _URL_VIDEO_EXTS = "mp4|webm|mov|m4v|ogg|avi|mkv|flv|wmv|3gp|ts|f4v|mpg|mpeg|m3u8|mpd"
 _URL_CHAR = "[^" + JS_SPACE + r"\"'<>\])]"

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEVELS = 4  # array / graph nesting unfolded; deeper nesting is left out
-
 
 def _text(node: Column, key: str) -> Column:
     """A string member; null for any other JSON type."""
@@ -15,7 +13,7 @@ def _text(node: Column, key: str) -> Column:
 
 
 def video_nodes(text: Column) -> Column:
-    """Video objects of a JSON-LD text, in document order, as an array of structs."""
+    """Video objects of a JSON-LD text, in document order, as an array of structs; arrays and graphs nest at will."""
     item = "array<struct<v:variant,done:boolean>>"
 
     def todo(v: Column) -> Column:
@@ -35,9 +33,12 @@ def video_nodes(text: Column) -> Column:
 
         return F.flatten(F.transform(items, one))
 
-    items = F.array(todo(F.try_parse_json(text)))
-    for _ in range(LEVELS):
-        items = unfold(items)
+    # no array or graph lies deeper than brackets do, so this many steps unfold everything
+    depth = F.aggregate(
+        F.regexp_extract_all(text, F.lit(r"[\[\]]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, b: F.when(b == "[", F.struct((a.now + 1).alias("now"), F.greatest(a.most, a.now + 1).alias("most"))).otherwise(
+            F.struct((a.now - 1).alias("now"), a.most.alias("most"))), lambda a: a.most)
+    items = F.aggregate(F.sequence(F.lit(0), F.coalesce(depth, F.lit(0))), F.array(todo(F.try_parse_json(text))), lambda a, _: unfold(a))
     nodes = F.transform(F.filter(items, lambda it: it.done), lambda it: F.struct(
         F.lower(F.coalesce(
             _text(it.v, "@type"),

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import functools
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblode.functions.fixed import JS_SPACE
+from weblode.functions.fixed import C1_CHARACTERS, JS_SPACE
 
-START_TAG_BODY = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
+START_TAG_BODY = r"[^>\"']*+(?:(?:\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))[^>\"']*+)*+"
 START_TAG = rf"^<[a-zA-Z]{START_TAG_BODY}>"
 ATTRIBUTE = (
     r"[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+"
@@ -60,30 +60,45 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def _codepoint(hex_digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
+def _character(digits: Column, base: int) -> Column:
+    """The character of a numeric reference of any length, as the HTML standard reads it.
 
+    Zero, surrogates and numbers beyond Unicode are the replacement character; 128 to 159 are read as windows-1252.
+    """
+    short = F.regexp_replace(digits, "^0+", "")
+    number = F.conv(F.when((short == "") | (F.length(short) > 7), "0").otherwise(short), base, 10).cast("int")
+    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    control = F.get(F.array(*[F.lit(ord(c)) for c in C1_CHARACTERS]), number - 128)
+    safe = F.when(bad, 0xFFFD).when(number.between(128, 159), control).otherwise(number)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references: numeric ones and all names of HTML 5, the table coming from the standard library.
 
-def decode_entities(text: Column) -> Column:
-    """Character references: numeric ones and the HTML 4 names, the table coming from the standard library."""
-    # one foldable call instead of some 500 literals: the optimizer turns it into a single map constant
-    table = "\n".join(f"{name}\t{chr(cp)}" for name, cp in sorted(name2codepoint.items()))
-    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
+    Names that may stand without a semicolon are read so too, in an attribute only where no ``=`` or alphanumeric follows.
+    """
+    # one foldable call instead of some 2,000 literals: the optimizer turns it into a single map constant
+    table = "\x1f".join(f"{name[:-1]}\x1e{value}" for name, value in sorted(html5.items()) if name.endswith(";"))
+    names = F.str_to_map(F.lit(table), F.lit("\x1f"), F.lit("\x1e"))
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    short = f"^({bare})" + ("(?![=A-Za-z0-9])" if attribute else "")
 
     def one(piece: Column, i: Column) -> Column:
         name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
-        dec = F.regexp_extract(piece, "^#([0-9]{1,7})", 1)
-        hexa = F.regexp_extract(piece, "^#[xX]([0-9A-Fa-f]{1,6})", 1)
-        plain = F.concat(F.lit("&"), piece)
+        legacy = F.regexp_extract(piece, short, 1)
+        dec = F.regexp_extract(piece, "^#([0-9]+)", 1)
+        hexa = F.regexp_extract(piece, "^#[xX]([0-9A-Fa-f]+)", 1)
         common = F.when(piece.startswith("amp;"), "&").when(piece.startswith("lt;"), "<").when(
             piece.startswith("gt;"), ">").when(piece.startswith("quot;"), '"').when(piece.startswith("apos;"), "'")
         named = F.coalesce(common, F.try_element_at(names, name))
         return (
             F.when(i == 0, piece)
             .when(named.isNotNull(), F.concat(named, F.regexp_replace(piece, "^[A-Za-z0-9]+;", "")))
-            .when(dec != "", F.concat(_codepoint(F.conv(dec, 10, 16)), F.regexp_replace(piece, "^#[0-9]+;?", "")))
-            .when(hexa != "", F.concat(_codepoint(hexa), F.regexp_replace(piece, "^#[xX][0-9A-Fa-f]+;?", "")))
-            .otherwise(plain)
+            .when(legacy != "", F.concat(F.try_element_at(names, legacy), F.substr(piece, F.length(legacy) + 1)))
+            .when(dec != "", F.concat(_character(dec, 10), F.regexp_replace(piece, "^#[0-9]+;?", "")))
+            .when(hexa != "", F.concat(_character(hexa, 16), F.regexp_replace(piece, "^#[xX][0-9A-Fa-f]+;?", "")))
+            .otherwise(F.concat(F.lit("&"), piece))
         )
 
     return F.when(
@@ -132,7 +147,7 @@ def attr_values(tokens: Column) -> Column:
     return F.transform(
         tokens,
         lambda t: decode_entities(
-            F.regexp_replace(F.regexp_replace(t, r"^[^\s=]+\s*=?\s*", ""), r"^\"(?s:(.*))\"$|^'(?s:(.*))'$", "$1$2")
+            F.regexp_replace(F.regexp_replace(t, r"^[^\s=]+\s*=?\s*", ""), r"^\"(?s:(.*))\"$|^'(?s:(.*))'$", "$1$2"), attribute=True
         ),
     )
 
@@ -142,6 +157,11 @@ def attr(name: str, names: str = "names", values: str = "values") -> Column:
     return F.get(F.col(values), F.array_position(F.col(names), name).cast("int") - 1)
 
 
+def at_most(size: Column, most: int | None) -> Column:
+    """``size <= most`` where a caller has set a bound."""
+    return F.lit(True) if most is None else size <= most
+
+
 def present(value: Column) -> Column:
     """Null for a missing or empty attribute."""
     return F.when(value != "", value)

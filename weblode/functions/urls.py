@@ -178,7 +178,7 @@ def is_subdomain(url: Column, base: Column) -> Column:
 
 def url_extension(url: Column) -> Column:
     """Lower-case text after the last dot of the last path segment; null when there is none."""
-    ext = F.regexp_extract(url, r"^[a-zA-Z][^:/?#]*://[^/?#]*[^?#]*\.([^./?#]+)(?=$|[?#])", 1)
+    ext = F.regexp_extract(url, r"^[a-zA-Z][^:/?#]*://[^/?#]*/[^?#]*\.([^./?#]+)(?=$|[?#])", 1)
     return F.when(ext != "", F.lower(ext))
 
 

@@ -165,7 +165,7 @@ def bundle_manifest(assets: DataFrame, fetches: DataFrame, limits: Limits = Limi
     naming step never sees a group larger than the limit.
     """
     sizes = assets.groupBy("bundle_id").agg(F.count("*").alias("asked"))
-    fitting = assets.join(sizes.filter(F.col("asked") <= limits.max_assets), "bundle_id", "left_semi")
+    fitting = assets.join(sizes.filter(F.col("asked") <= limits.max_bundle_assets), "bundle_id", "left_semi")
     complete = fitting.filter((F.col("url") != "") & (F.col("extension") != "") & (F.col("file_name") != "")
                               & is_media_extension(F.col("extension")))
     ok = (
@@ -187,7 +187,7 @@ def bundle_manifest(assets: DataFrame, fetches: DataFrame, limits: Limits = Limi
         F.count("*").alias("entries"), F.sum("bytes").alias("total_bytes"), F.max("bytes").alias("largest"))
     bundles = sizes.join(totals, "bundle_id", "left").fillna(0, ["entries", "total_bytes", "largest"]).withColumn(
         "error_code",
-        F.when(F.col("asked") > limits.max_assets, "TOO_MANY_ASSETS")
+        F.when(F.col("asked") > limits.max_bundle_assets, "TOO_MANY_ASSETS")
         .when(F.col("entries") == 0, "DOWNLOAD_FAILED")
         .when(F.col("largest") > limits.max_file_bytes, "FILE_TOO_LARGE")
         .when(F.col("total_bytes") > limits.max_bundle_bytes, "ZIP_TOO_LARGE")).drop("largest")

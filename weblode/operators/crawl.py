@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblode.config import CrawlConfig, ShallowConfig
+from weblode.functions.text import at_most
 from weblode.functions.platforms import is_platform_domain, with_platform
 from weblode.functions.urls import canonical_url, host_of, strip_fragment, with_resolved
 from weblode.sources.stages import written
@@ -285,7 +286,7 @@ def shallow_crawl(seeds: DataFrame, pages: DataFrame, page_links: DataFrame, ass
     rows = scanned.drop("url").filter("page_id IS NOT NULL").join(assets, "page_id")
     unique = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     placed = unique.withColumn("asset_ord", F.row_number().over(W.partitionBy("crawl_id").orderBy("claim", "ord")))
-    return scanned, placed.filter(F.col("asset_ord") <= config.max_assets)
+    return scanned, placed.filter(at_most(F.col("asset_ord"), config.max_assets))
 
 
 def _open_batches(claimed: DataFrame, levels: list[DataFrame], assets: DataFrame, config: ShallowConfig) -> DataFrame:
@@ -299,6 +300,6 @@ def _open_batches(claimed: DataFrame, levels: list[DataFrame], assets: DataFrame
     gains = new.filter("_n = 1").groupBy("crawl_id", "batch").agg(F.count("*").alias("gain"))
     batches = every.select("crawl_id", "batch").distinct().join(gains, ["crawl_id", "batch"], "left")
     so_far = W.partitionBy("crawl_id").orderBy("batch").rowsBetween(W.unboundedPreceding, -1)
-    return batches.withColumn("open", F.coalesce(F.sum("gain").over(so_far), F.lit(0)) < config.max_assets).filter(
+    return batches.withColumn("open", at_most(F.coalesce(F.sum("gain").over(so_far), F.lit(0)) + 1, config.max_assets)).filter(
         "batch >= 0").select("crawl_id", "batch", "open")
 

@@ -15,7 +15,7 @@ from weblode.functions.fixed import (
 from weblode.functions.jsonld import settings_urls, video_nodes
 from weblode.functions.platforms import with_platform
 from weblode.functions.text import (
-    attr, attr_names, attr_tokens, attr_values, built_once, present, settle, unescape_settings, utf16_length,
+    at_most, attr, attr_names, attr_tokens, attr_values, built_once, present, settle, unescape_settings, utf16_length,
 )
 from weblode.functions.urls import is_http, with_resolved
 from weblode.operators.tokens import elements, raw_body
@@ -41,7 +41,7 @@ def _watch(video_id: Column) -> Column:
 
 
 @built_once
-def _embed_rows(max_script: int) -> Column:
+def _embed_rows(max_script: int | None) -> Column:
     name, tag = F.col("name"), F.col("tag")
     none = F.array().cast(ROW)
     body = F.when(name == "script", raw_body(tag))
@@ -69,7 +69,7 @@ def _embed_rows(max_script: int) -> Column:
                 for i, p in enumerate(("content_url", "embed_url", "url"))]
         return F.array(*rows, _row(9, node["thumbnail"], IMAGE, "json_ld", "json-ld-thumbnail", b=k, c=3, absolute=True))
 
-    inline = attr("src").isNull() & (utf16_length(body) <= max_script)
+    inline = attr("src").isNull() & at_most(utf16_length(body), max_script)
     clean = lambda u: F.regexp_replace(u, SCRIPT_URL_TAIL, "")
     states = F.transform(F.regexp_extract_all(body, F.lit(PLATFORM_URL), F.lit(0)), lambda u, k: _row(
         10, clean(u), PLATFORM_CANONICAL, "inline_script", "structured-player-state", floor=0.82, c=k, absolute=True))

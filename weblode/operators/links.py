@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weblode.config import Limits
 from weblode.functions.fixed import (
     BUTTON_URL_ATTRS, CTA_WORDS, HUB_WORDS, LEGAL_WORDS, ONCLICK_URLS, SETTINGS_LINK_KEY, SHARE_DOMAINS, SHARE_PATHS,
     SHARE_WORDS,
@@ -16,17 +17,14 @@ from weblode.functions.fixed import (
 from weblode.functions.jsonld import settings_urls
 from weblode.functions.platforms import with_platform
 from weblode.functions.text import (
-    attr, attr_names, attr_tokens, attr_values, built_once, has_word, present, settle, trim_space, unescape_settings,
-    utf16_length,
+    at_most, attr, attr_names, attr_tokens, attr_values, built_once, has_word, present, settle, trim_space,
+    unescape_settings, utf16_length,
 )
 from weblode.functions.urls import (
     bare_host, canonical_url, is_filtered_url, is_subdomain, same_domain, with_resolved,
 )
 from weblode.operators.tokens import elements, page_facts
 
-MAX_ONCLICK = 4000
-MAX_SETTINGS = 20_000
-MAX_SETTING_VALUE = 500
 INTERACTIVE = ["button", "data_settings", "onclick"]
 FOUND = "array<struct<collector:int,b:int,c:int,raw:string,source:string,path:string>>"
 
@@ -45,7 +43,7 @@ def _label() -> Column:
 
 
 @built_once
-def _found() -> Column:
+def _found(limits: Limits) -> Column:
     """Targets named by one element, per collector."""
     def row(collector: int, raw: Column, source, b=0, c=0, path=None) -> Column:
         as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -60,13 +58,13 @@ def _found() -> Column:
     data = F.filter(F.array(*[row(1, attr(n), kind, i) for i, n in enumerate(BUTTON_URL_ATTRS)]), lambda r: r.raw != "")
     click = attr("onclick")
     calls = [_calls(click, p, i, row) for i, p in enumerate(ONCLICK_URLS)]
-    clicks = F.when((click != "") & (utf16_length(click) <= MAX_ONCLICK),
+    clicks = F.when((click != "") & at_most(utf16_length(click), limits.max_onclick_chars),
                     F.filter(F.concat(*calls), lambda r: r.raw != "")).otherwise(none)
     raw = attr("data-settings")
     leaf = F.filter(
         settings_urls(unescape_settings(raw), SETTINGS_LINK_KEY),
-        lambda s: (F.length(s.value) <= MAX_SETTING_VALUE) & s.value.rlike("^(?:https?://|/)"))
-    settings = F.when((raw != "") & (utf16_length(raw) <= MAX_SETTINGS), F.transform(
+        lambda s: at_most(F.length(s.value), limits.max_setting_value_chars) & s.value.rlike("^(?:https?://|/)"))
+    settings = F.when((raw != "") & at_most(utf16_length(raw), limits.max_settings_chars), F.transform(
         leaf, lambda s, k: row(3, s.value, "data_settings", 0, k, s.path))).otherwise(none)
     return F.concat(anchor, data, clicks, settings)
 
@@ -76,10 +74,10 @@ def _calls(click: Column, pattern: str, i: int, row) -> Column:
         F.regexp_extract_all(click, F.lit(pattern), F.lit(1)), lambda u, k: row(2, trim_space(u), "onclick", i, k))
 
 
-def link_candidates(pages: DataFrame) -> DataFrame:
+def link_candidates(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Every link target of every page with its label and context, unresolved. Narrow."""
     els = elements(pages, text=True).filter(F.col("own_text").isNotNull())
-    els = els.withColumns({"label": _label(), "found": _found()})
+    els = els.withColumns({"label": _label(), "found": _found(limits)})
     context = F.substring(F.concat_ws(
         " ", *[present(c) for c in (F.col("label"), attr("class"), attr("data-widget_type"), attr("data-element_type"),
                                     F.col("parent_text"))]), 1, 350)
@@ -163,9 +161,9 @@ def best_links(scored: DataFrame) -> DataFrame:
         "interactive", "discovery_reason", "priority")
 
 
-def discover_links(pages: DataFrame, mode: str = "compat") -> DataFrame:
+def discover_links(pages: DataFrame, mode: str = "compat", limits: Limits = Limits()) -> DataFrame:
     """Ranked links of every page; ``page_url`` is where each was discovered."""
-    return best_links(score_links(link_candidates(pages), mode))
+    return best_links(score_links(link_candidates(pages, limits), mode))
 
 
 def possible_spa(pages: DataFrame, links: DataFrame) -> DataFrame:

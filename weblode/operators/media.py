@@ -22,7 +22,7 @@ from weblode.functions.fixed import (
 )
 from weblode.functions.jsonld import video_nodes
 from weblode.functions.text import (
-    attr, attr_names, attr_tokens, attr_values, built_once, present, settle, trim_space, utf16_length,
+    at_most, attr, attr_names, attr_tokens, attr_values, built_once, present, settle, trim_space, utf16_length,
 )
 from weblode.functions.urls import (
     bare_host, is_http, is_media_extension, path_of, query_param, strip_fragment, url_extension, with_resolved,
@@ -135,7 +135,7 @@ def _position(values: list[str], name: Column) -> Column:
 
 
 @built_once
-def _attribute_refs(max_script: int) -> Column:
+def _attribute_refs(max_script: int | None) -> Column:
     """References carried by one attribute (or one raw-text body) of an element."""
     el, name, value = F.col("name"), F.col("an"), F.col("av")
     none = F.array().cast(REFS)
@@ -184,7 +184,7 @@ def _attribute_refs(max_script: int) -> Column:
             F.when(~image, "mp4"), _position(META_VIDEO_PROPS, name))))
         .when((el == "script") & body, F.concat(
             F.when(F.col("type") == "application/ld+json", _json_ld_refs(value)).otherwise(none),
-            F.when(~F.col("has_src") & (utf16_length(value) <= max_script), _script_refs(value)).otherwise(none)))
+            F.when(~F.col("has_src") & at_most(utf16_length(value), max_script), _script_refs(value)).otherwise(none)))
         .otherwise(none)
     )
     shared = (
@@ -240,10 +240,10 @@ def resolve_refs(refs: DataFrame) -> DataFrame:
 
 
 def dedup_assets(refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """First reference per URL, then the extension rule, then names and the per-page cap.
+    """First reference per URL, then the extension rule, then names; a per-page bound only if ``limits`` has one.
 
     All windows are keyed by page, so one exchange by ``page_id`` serves them; a page is bounded by its
-    admitted size, and the cap is the asset limit of the analysis itself.
+    admitted size.
     """
     order = ["rank", "a", "a2", "b", "c"]
     first = W.partitionBy("page_id", "key").orderBy(*order)
@@ -257,7 +257,7 @@ def dedup_assets(refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     fitting = fitting.filter(is_media_extension(own) | is_media_extension(F.col("ext")))
     fitting = fitting.withColumn("extension", F.when(F.col("inferred"), F.col("ext")).otherwise(own))
     ranked = fitting.withColumn("ord", F.row_number().over(W.partitionBy("page_id").orderBy(*order)))
-    ranked = ranked.filter(F.col("ord") <= limits.max_assets)
+    ranked = ranked.filter(at_most(F.col("ord"), limits.max_assets))
     numbered = F.concat(F.lit("media-"), F.col("ord").cast("string"), F.lit("."), F.col("extension"))
     raw_name = F.when(F.col("inferred"), numbered).otherwise(file_name_from_url(F.col("full"), F.col("ord")))
     return ranked.select(
@@ -299,7 +299,7 @@ def elements_named(pages: DataFrame, name: str) -> DataFrame:
 def script_refs(els: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Player-script references of each page: tag src, the two scripts an iframe implies, inline strings."""
     name = F.col("name")
-    text = F.when(attr("src").isNull() & (utf16_length(raw_body(F.col("tag"))) <= limits.max_script_chars),
+    text = F.when(attr("src").isNull() & at_most(utf16_length(raw_body(F.col("tag"))), limits.max_script_chars),
                   raw_body(F.col("tag")))
     strings = F.when(text.rlike(PLAYER_INLINE_HINT), F.regexp_extract_all(text, F.lit(PLAYER_INLINE_SRC), F.lit(1)))
     frame = F.coalesce(attr("src"), attr("data-src"))
@@ -337,7 +337,7 @@ def parse_player_scripts(scripts: DataFrame, limits: Limits = Limits()) -> DataF
     body = F.col("body")
     ok = (
         F.lower("content_type").rlike(PLAYER_CONTENT_TYPES) & (body != "")
-        & (utf16_length(body) <= limits.max_player_script_chars)
+        & at_most(utf16_length(body), limits.max_player_script_chars)
     )
     cdn, oid, vid = (F.regexp_extract(body, p, 1) for p in (PLAYER_CDN, PLAYER_OID, PLAYER_VIDEO))
     cover = present(F.regexp_extract(body, PLAYER_COVER, 1))

@@ -192,7 +192,7 @@ def _label(value: Column, table: dict[str, str], other: Column) -> Column:
 
 def platform_label(platform: Column) -> Column:
     first = F.upper(F.substring(platform, 1, 1))
-    return _label(platform, PLATFORM_LABELS, F.concat(first, F.substring(platform, 2, 1_000_000)))
+    return _label(platform, PLATFORM_LABELS, F.concat(first, F.substr(platform, F.lit(2))))
 
 
 def kind_label(kind: Column) -> Column:

@@ -24,11 +24,12 @@ from weblode.functions.text import (
     has_word, let, trim_space, utf16_length,
 )
 
+# an opener without its end takes the rest of the page, so no part of a page is read twice
 TOKEN = (
-    "(?is)<!--.*?-->"
-    rf"|<({'|'.join(RAW_ELEMENTS)})(?=[\s/>]){START_TAG_BODY}>.*?</\1\s*+>"
-    rf"|</?[a-z]{START_TAG_BODY}>"
-    r"|<[!?][^>]*+>"
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<({'|'.join(RAW_ELEMENTS)})(?=[\s/>]){START_TAG_BODY}(?:>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\z)|.*+)|\z)"
+    rf"|</?[a-z]{START_TAG_BODY}(?:>|\z)"
+    r"|<[!?][^>]*+(?:>|\z)"
     r"|[^<]++|<"
 )
 TEXT, OPEN, CLOSE, VOID, RAW, SKIP = range(6)
@@ -57,17 +58,17 @@ def token_name(tok: Column) -> Column:
 def token_kind(tok: Column, name: Column) -> Column:
     return (
         F.when(~tok.startswith("<") | (tok == "<"), TEXT)
-        .when(name == "", SKIP)
+        .when((name == "") | ~F.endswith(tok, F.lit(">")) & ~tok.rlike(rf"{START_TAG}"), SKIP)
         .when(tok.startswith("</"), CLOSE)
         .when(name.isin(VOID_ELEMENTS) | (name.isin(SVG_LEAVES) & F.endswith(tok, F.lit("/>"))), VOID)
-        .when(name.isin(RAW_ELEMENTS) & tok.rlike(r"(?s)</[^>]*>$"), RAW)
+        .when(name.isin(RAW_ELEMENTS), RAW)
         .otherwise(OPEN)
     )
 
 
 def raw_body(tok: Column) -> Column:
     """Contents of a raw-text element."""
-    return F.regexp_replace(F.regexp_replace(tok, START_TAG, ""), r"</[a-zA-Z]+\s*>$", "")
+    return F.regexp_replace(F.regexp_replace(tok, START_TAG, ""), r"</[a-zA-Z]+[^<>]*>$", "")
 
 
 def tag_table(pages: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def parse_frames(frames: DataFrame, text: str = "frame") -> DataFrame:
     joined = F.array_join(F.transform(data, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
     safe = F.when(F.exists(lines, lambda x: x.startswith("event: ")), name)
     return frames.withColumns({
-        "event": F.trim(F.substring(safe, 8, 1_000_000)), "data": F.when(F.size(data) > 0, joined),
+        "event": F.trim(F.substr(safe, F.lit(8))), "data": F.when(F.size(data) > 0, joined),
     }).filter("event <> '' AND data IS NOT NULL")
 
 
