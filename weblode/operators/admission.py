@@ -13,6 +13,7 @@ from weblode.functions.text import settle, utf16_length
 from weblode.functions.urls import (
     host_of, is_http, is_media_extension, is_private_host, public_url_error, url_extension, with_resolved, with_scheme,
 )
+from weblode.sources.stages import written
 
 
 def _ok(status: Column) -> Column:
@@ -77,32 +78,30 @@ def resolve_retries(fetches: DataFrame) -> DataFrame:
 def resolve_redirects(requests: DataFrame, responses: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Follow redirects of requests(url) over responses(url, status, location): resolved_url, hops, error_code.
 
-    At most ``max_redirects`` hops, so a loop ends in ``too_many_redirects``. Finished rows get a key of their own
-    and do not meet in one partition.
+    A redirect's target and its fault depend on the response alone, so both are worked out once per response and written as a
+    stage table; the hops are then joins on bare addresses. At most ``max_redirects`` hops, so a loop ends in
+    ``too_many_redirects``. Finished rows get a key of their own and do not meet in one partition.
     """
     table = responses.filter(F.col("status").isin(REDIRECT_STATUS)).groupBy(F.col("url").alias("at")).agg(
-        F.min(F.struct("status", "location")).alias("r"))
+        F.min(F.struct("status", "location")).alias("r")).select("at", F.col("r.location").alias("location"))
+    targets = with_resolved(table, "location", "at", "next")
+    fault = (
+        F.when(F.coalesce("location", F.lit("")) == "", "missing_location")
+        .when(~is_http(F.col("next")), "invalid_url")
+        .when(is_private_host(host_of(F.col("next"))), "private_host"))
+    steps = written(targets.select("at", "next", fault.alias("fault")), "redirects").withColumn("found", F.lit(True))
     rows = requests.select("url", F.col("url").alias("current"), F.lit(0).alias("hops"),
                            F.lit(None).cast("string").alias("error_code"), F.lit(True).alias("live"))
     for hop in range(limits.max_redirects + 1):
         key = F.when(F.col("live"), F.col("current")).otherwise(F.concat(F.lit(" "), F.col("url")))
-        step = rows.withColumn("at", key).join(table, "at", "left").withColumn("location", F.col("r.location"))
-        step = with_resolved(step, "location", "current", "next")
-        more, last = F.col("live") & F.col("r").isNotNull(), hop == limits.max_redirects
-        error = (
-            F.when(~more, F.col("error_code"))
-            .when(F.lit(last), "too_many_redirects")
-            .when(F.coalesce("location", F.lit("")) == "", "missing_location")
-            .when(~is_http(F.col("next")), "invalid_url")
-            .when(is_private_host(host_of(F.col("next"))), "private_host")
-        )
-        # behind a barrier, or every hop would copy the expressions of the hops before it
-        step = settle(step, failure=error, more=more)
-        moved = F.col("more") & F.col("failure").isNull()
-        rows = settle(step.select("url", F.struct(
-            F.when(moved, F.col("next")).otherwise(F.col("current")).alias("current"),
-            (F.col("hops") + F.when(moved, 1).otherwise(0)).alias("hops"), F.col("failure").alias("error_code"),
-            moved.alias("live")).alias("s")), t=F.col("s")).select("url", "t.*")
+        step = rows.withColumn("at", key).join(steps, "at", "left")
+        more = F.coalesce("found", F.lit(False))
+        fault = F.lit("too_many_redirects") if hop == limits.max_redirects else F.col("fault")
+        moved = more & fault.isNull()
+        rows = step.select(
+            "url", F.when(moved, F.col("next")).otherwise(F.col("current")).alias("current"),
+            (F.col("hops") + moved.cast("int")).alias("hops"), F.when(more, fault).otherwise(F.col("error_code")).alias("error_code"),
+            moved.alias("live"))
     return rows.select("url", F.when(F.col("error_code").isNull(), F.col("current")).alias("resolved_url"), "hops",
                        "error_code")
 
