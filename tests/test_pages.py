@@ -222,3 +222,12 @@ def test_broken_html_survives(page):
     html = '<p>a<p>b<a href="/1">one</b></a><!-- <a href="/no"> --><script>"<a href=/no2>"</script><a href=/2 title="x>y">two</a><a href="/3'
     got = [r.url for r in discover_links(page(html)).orderBy("url").collect()]
     assert got == [BASE + "/1", BASE + "/2"]
+
+
+def test_implied_body(page):
+    """The parent of a top-level link is the body, written or not."""
+    pages = page(
+        '<a href="/x">go</a> watch live', '<html><head><title>T</title></head><a href="/x">go</a> watch live</html>',
+        '<!DOCTYPE html><title>T</title>\n<a href="/x">go</a> watch live', '<html><head><title>T</title></head><body><a href="/x">go</a> watch live')
+    got = {r.page_id: (r.context, r.priority, r.discovery_reason) for r in discover_links(pages).collect()}
+    assert got == {i: ("go go watch live", 2, "content-hub") for i in range(4)}

@@ -250,6 +250,7 @@ VOID_ELEMENTS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 ]
 RAW_ELEMENTS = ["script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"]
+HEAD_ELEMENTS = ["html", "head", "meta", "link", "base", "title", "style", "script", "noscript", "template"]
 SVG_LEAVES = ["path", "circle", "rect", "line", "polyline", "polygon", "ellipse", "use", "stop", "image"]
 CLOSES_P = [
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",

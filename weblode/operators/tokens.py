@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import (
-    AD_WORDS, CLOSES_P, META_VIDEO_PROPS, RAW_ELEMENTS, SVG_LEAVES, VOID_ELEMENTS,
+    AD_WORDS, CLOSES_P, HEAD_ELEMENTS, META_VIDEO_PROPS, RAW_ELEMENTS, SVG_LEAVES, VOID_ELEMENTS,
 )
 from weblode.functions.text import (
     START_TAG, START_TAG_BODY, attr_names, attr_tokens, attr_values, built_once, collapse_space, decode_entities,
@@ -234,6 +234,16 @@ def _fold(classified: Column) -> Column:
         lambda a: F.struct(a.t.alias("t"), a.out.alias("out"), a.ends.alias("ends")))
 
 
+def _implied_body(toks: Column) -> Column:
+    """Where a page leaves ``<body>`` out: how many texts come before the body it implies. Null where the tag is there."""
+    def begins(x: Column) -> Column:
+        return F.when(x.k == TEXT, F.get(toks, x.i).rlike(r"\S")).otherwise(~x.n.isin(HEAD_ELEMENTS) & (x.k != CLOSE))
+
+    at = F.array_position(F.transform("cls", begins), True).cast("int")
+    head = F.slice("cls", F.lit(1), F.greatest(at - 1, F.lit(0)))
+    return F.when(~F.exists("cls", lambda x: (x.n == "body") & (x.k == OPEN)), F.size(F.filter(head, lambda x: x.k.isin(TEXT, RAW))))
+
+
 def _rootless(x: Column) -> Column:
     no, none = F.lit(False), F.lit(None).cast("int")
     return F.struct(
@@ -308,6 +318,7 @@ def _steps(text: bool) -> list[dict[str, Column]]:
     second = {"fold": fold}
     third: dict[str, Column] = {}
     if text:
+        second["body_t"] = _implied_body(toks)
         second["texts"] = F.transform(
             F.filter(toks, _is_text), lambda t: F.substring(collapse_space(_text_of(t)), 1, CONTEXT_CHARS))
         third["endp"] = F.transform(F.col("fold.ends"), lambda e: e.p)
@@ -342,7 +353,9 @@ def _steps(text: bool) -> list[dict[str, Column]]:
             total = F.col("fold.t")
             own_stop = F.when(e.k == VOID, e.t).when(e.k == RAW, e.t + 1).otherwise(end_of(e.i, "t", total))
             own = F.when(link, joined(e.t, own_stop))
-            parent = F.when(link, F.when(e.pp < 0, F.lit("")).otherwise(joined(e.pt, end_of(e.pp, "t", total))))
+            root = F.col("body_t").isNotNull() & ((e.pp < 0) | F.get(toks, e.pp).rlike(r"(?i)^<html[\s>]"))
+            parent = F.when(link, F.when(root, joined(F.col("body_t"), total)).when(e.pp < 0, F.lit("")).otherwise(
+                joined(e.pt, end_of(e.pp, "t", total))))
             inner = F.slice(toks, e.i + 2, F.greatest(end_of(e.i, "i", F.size(toks)) - e.i - 1, F.lit(0)))
             alt = F.when(link & (own == ""), F.get(
                 F.filter(inner, lambda t: t.rlike(r"(?i)^<img[\s/]") & t.rlike(r"(?i)[\s\"'/]alt[\s=/>]")), 0))
