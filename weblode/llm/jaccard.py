@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weblode.llm.blocks import blocks, mix, shingle_sets
 from weblode.llm.components import components
+from weblode.llm.ship import ship
 from weblode.sources.stages import written
 
 #: Fixed sizes, whatever the input: counters of the frequency sketch (4 bytes each), bits of the candidate filter, and the
@@ -22,11 +23,11 @@ LIST_ROWS = 4096
 _CHUNK = 4096
 _PIVOTS = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59))
 
-_SETS = "doc_id long, n int, f1 long, f2 long, chunk int, counts binary"
+_SETS = "doc_id long, n int, f1 long, f2 long, ranges array<int>, chunk int, counts binary"
 
 
 def _scan_sets(k: int):
-    """Per document: shingle count and 128-bit fingerprint of its set. Per task: the counters of the frequency sketch."""
+    """Per document: shingle count, 128-bit fingerprint and counts by hash range of its set. Per task: the counters of the sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch, data, offsets in blocks(batches):
@@ -35,17 +36,21 @@ def _scan_sets(k: int):
             sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             size = len(sets)
+            ranges = np.concatenate([np.diff(np.concatenate([[0], np.searchsorted(s, _PIVOTS), [len(s)]])) for s in sets])
+            width = len(_PIVOTS) + 1
             yield pa.record_batch(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]),
-                 pa.array(prints[:, 1]), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "chunk", "counts"])
+                 pa.array(prints[:, 1]), pa.ListArray.from_arrays(
+                     pa.array(np.arange(size + 1, dtype=np.int32) * width), pa.array(ranges.astype(np.int32))),
+                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "ranges", "chunk", "counts"])
         parts = [(i // _CHUNK, np.minimum(p, 2**32 - 1).astype(np.uint32).tobytes())
                  for i in range(0, len(sketch), _CHUNK) if (p := sketch[i:i + _CHUNK]).any()]
         size = len(parts)
         yield pa.record_batch(
             [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
-             pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
-            names=["doc_id", "n", "f1", "f2", "chunk", "counts"])
+             pa.nulls(size, pa.list_(pa.int32())), pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
+            names=["doc_id", "n", "f1", "f2", "ranges", "chunk", "counts"])
     return run
 
 
@@ -155,26 +160,35 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _verify(percent: int):
-    """Pairs that link: a suffix filter over hash ranges first, then the exact intersection."""
+    """Pairs that link, by the exact intersection."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-                sx, sy = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
-                both = len(sx) + len(sy)
-                need = -(-percent * both // (100 + percent))
-                cuts = [np.diff(np.concatenate([[0], np.searchsorted(s, _PIVOTS), [len(s)]])) for s in (sx, sy)]
-                if np.minimum(*cuts).sum() >= need:
-                    merged = np.concatenate([sx, sy])
-                    merged.sort()
-                    if np.count_nonzero(merged[1:] == merged[:-1]) >= need:
-                        a.append(x)
-                        b.append(y)
+                merged = np.concatenate([np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)])
+                merged.sort()
+                if (100 + percent) * np.count_nonzero(merged[1:] == merged[:-1]) >= percent * len(merged):
+                    a.append(x)
+                    b.append(y)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _judged(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """Adds ``likely``: the suffix filter. Sets cannot share more in a hash range than the smaller one has there."""
+    def side(name: str) -> DataFrame:
+        return ranges.select(F.col("doc_id").alias(name), F.col("ranges").alias(f"ranges_{name}"), F.col("n").alias(f"n_{name}"))
+
+    shared = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    likely = (100 + percent) * shared.cast("long") >= percent * (F.col("n_a").cast("long") + F.col("n_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", likely.alias("likely"))
+
+
+def _linked(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link. Shingle sets are made, in one more scan, for the documents of the pairs only."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = text.sparkSession.sparkContext.broadcast(_wanted(ids))
+    sets = written(text.mapInArrow(_sets_of(k, wanted), "doc_id long, shingles binary"), "jaccard-members")
     full = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b"))
     return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
@@ -193,13 +207,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
        shingles before the list's): such pairs grow with the list, and merge groups of near copies.
     4. Documents of one list that are still in different components are paired under the length and positional filters,
        so no link between components is lost, and pairs inside a found component are never made.
-    5. Pairs are made distinct and verified once, on whole sets, behind a suffix filter over hash ranges.
+    5. Pairs are made distinct, pass a suffix filter over hash ranges, and are verified once, on whole sets.
 
     Null or word-less texts have n_shingles 0 and are their own component. Rows that share a doc_id are one document: each row
     is returned, all in one component. Rows with a null doc_id are returned with null component. An empty table gives no rows;
     other columns are ignored. Shingles are compared by 64-bit hash, sets by 128-bit fingerprint.
     """
     spark = docs.sparkSession
+    ship(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(text.mapInArrow(_scan_sets(k), _SETS), "jaccard-sets")
     rows = found.filter("chunk is null").select("doc_id", "n", "f1", "f2")
@@ -221,16 +236,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     need = f"ceil({percent} * (cast(x.n as long) + y.n) / {100 + percent})"
     possible = (f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)"
                 f" and least(x.n - x.pos, y.n - y.pos) >= {need}")
+    ranges = found.filter("n > 0 and doc_id is not null").select("doc_id", "n", "ranges")
     hubs = lists.groupBy("shingle").agg(F.min(F.struct("pos", "n", "doc_id")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = hubs.select("shingle", "hub.*")
-    first = written(
+    first = written(_judged(
         hubs.alias("x").join(lists.alias("y"), F.expr(f"x.shingle = y.shingle and x.doc_id <> y.doc_id and {possible}"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "jaccard-first")
-    ids = lists.join(hubs.select("shingle"), "shingle", "left_semi").select("doc_id")
-    wanted = spark.sparkContext.broadcast(_wanted(ids))
-    sets = written(text.mapInArrow(_sets_of(k, wanted), "doc_id long, shingles binary")
-                   .join(class_of, "doc_id", "left_anti"), "jaccard-members")
-    links = written(_linked(first, sets, percent), "jaccard-links")
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), ranges, percent), "jaccard-first")
+    links = written(_linked(first.filter("likely").select("a", "b").distinct(), text, k, percent), "jaccard-links")
     joined = components(links)
 
     labelled = (lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -242,7 +254,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         f" and {possible}"))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti"))
-    more = written(_linked(rest, sets, percent), "jaccard-links")
+    rest = written(_judged(rest, ranges, percent).filter("likely").select("a", "b").distinct(), "jaccard-rest")
+    more = written(_linked(rest, text, k, percent), "jaccard-links")
     labels = components(links.union(more).union(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))))
     return (rows.join(class_of, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
