@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weblode.sources.stages import written
 
 BLOCK = 16
-SHARD_WORDS = 1 << 22
-SHARD_ROWS = 1 << 15
+SHARD_WORDS = 1 << 20
+SHARD_ROWS = 1 << 12
 
 
 def word_count(text: Column) -> Column:

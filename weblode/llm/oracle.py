@@ -84,7 +84,7 @@ seats AS (
   FROM tgt, unnest(generate_series(1, (target / 16)::BIGINT + 2)) AS u(s) WHERE target > 0),
 won AS (SELECT turn, count(*) AS blocks FROM seats WHERE place <= (SELECT sum(source_size) // 16 FROM src) GROUP BY 1),
 plan AS (
-  SELECT t.*, coalesce(blocks, 0) AS blocks, 1 + source_size // 4194304 + docs // 32768 AS shards FROM tgt t LEFT JOIN won USING (turn)),
+  SELECT t.*, coalesce(blocks, 0) AS blocks, 1 + source_size // 1048576 + docs // 4096 AS shards FROM tgt t LEFT JOIN won USING (turn)),
 placed AS (
   SELECT d.*, p.source_size, p.target, p.turn, p.blocks, {_HEX.format("'42:' || coalesce(doc_id::VARCHAR, 'null')", 1, 8)} % shards AS shard
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
