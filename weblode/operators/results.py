@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weblode.functions.files import sanitize_file_name
 from weblode.functions.fixed import KIND_LABELS, PAGE_KIND_LABELS, PLATFORM_LABELS, RESULT_REASON_LABELS
+from weblode.functions.text import at_most
 from weblode.functions.urls import is_media_extension, public_url_error
 
 
@@ -155,10 +156,11 @@ def toggle_group(selected: DataFrame, items: DataFrame, keys: list[str], group:
     return selected.join(full, keys, "left_anti").unionByName(added.join(selected, keys, "left_anti"))
 
 
-def assets_for_bundle(visible: DataFrame, selected: DataFrame | None = None, limit: int = 200) -> DataFrame:
-    """Downloadable visible media as bundle rows, at most ``limit`` per crawl.
+def assets_for_bundle(visible: DataFrame, selected: DataFrame | None = None, limit: int | None = None, title_chars: int = 80) -> DataFrame:
+    """Downloadable visible media as bundle rows, numbered in each crawl; at most ``limit`` of them if it is set.
 
-    Crawls with a selection give only what it names. A name without title or id uses a hash of the URL.
+    Crawls with a selection give only what it names. A name is the first ``title_chars`` of
+    the title; without title or id it is a hash of the URL.
     """
     rows = visible.filter("downloadable")
     if selected is not None:
@@ -168,15 +170,16 @@ def assets_for_bundle(visible: DataFrame, selected: DataFrame | None = None, lim
             with_any.join(selected.select(*keys), keys, "left_semi").select(*rows.columns))
     own = F.regexp_extract("url", r"\.([A-Za-z0-9_]{2,5})(?:[?#]|$)", 1)
     ext = F.when(own != "", own).when(F.col("type") == "video", "mp4").otherwise("jpg")
-    safe = F.substring(F.regexp_replace("title", r"[/\\<>:\"|?*]+", "_"), 1, 80)
+    safe = F.substring(F.regexp_replace("title", r"[/\\<>:\"|?*]+", "_"), 1, title_chars)
     stem = F.when(F.col("title") != "", safe).otherwise(F.concat(
-        F.lit("media-"), F.coalesce("video_id", F.hex(F.xxhash64("url")))))
+        F.lit("media-"), F.coalesce("video_id", F.substring(F.md5("url"), 1, 16))))
     rows = rows.withColumn("extension", ext).withColumn("file_name", sanitize_file_name(
         F.concat(stem, F.lit("."), F.col("extension")), F.lit("download")))
     valid = rows.filter(is_media_extension(F.col("extension")) & (F.col("extension") == F.lower("extension"))
                         & public_url_error(F.col("url"), F.col("url")).isNull())
     order = W.partitionBy("crawl_id").orderBy("claim", "ord")
-    return valid.withColumn("bundle_ord", F.row_number().over(order)).filter(F.col("bundle_ord") <= limit).select(
+    return valid.withColumn("bundle_ord", F.row_number().over(order)).filter(
+        at_most(F.col("bundle_ord"), limit)).select(
         "crawl_id", "bundle_ord", "url", F.upper("type").alias("type"), "file_name", "extension",
         F.col("source").alias("source_tag"))
 

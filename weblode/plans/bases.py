@@ -19,12 +19,12 @@ def _case(expr: str, *values: str, other: str = "NULL") -> str:
 
 BASES: dict[str, str] = {
     "enriched": f"SELECT page_id, url, {markup_sql()} AS html FROM {{pages}}",
-    # page results and media rows of 23 crawls
+    # page results and media rows of crawls of 50 pages: more data is more crawls, not larger ones
     "page_results": """
-        SELECT page_id % 23 AS crawl_id, CAST(floor(page_id / 23) AS BIGINT) + 1 AS claim, url,
+        SELECT CAST(floor(page_id / 50) AS BIGINT) AS crawl_id, page_id % 50 + 1 AS claim, url,
                CAST(page_id % 3 AS INT) AS depth, page_id,
                CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'Página ' || CAST(page_id AS STRING) END AS title,
-               CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'https://seed.example.com/' || CAST(page_id % 23 AS STRING) END
+               CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'https://seed.example.com/' || CAST(CAST(floor(page_id / 50) AS BIGINT) AS STRING) END
                  AS discovered_from,
                CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'content-hub' ELSE 'onclick-navigation' END
                  AS discovery_reason,
@@ -32,8 +32,8 @@ BASES: dict[str, str] = {
                CASE WHEN page_id % 13 = 0 THEN 'timeout' END AS error
         FROM {pages}""",
     "media": f"""
-        SELECT doc_id % 23 AS crawl_id, CAST(floor(doc_id / 23) AS BIGINT) % 10 + 1 AS claim,
-               CAST(floor(doc_id / 230) AS BIGINT) + 1 AS ord,
+        SELECT CAST(floor(doc_id / 200) AS BIGINT) AS crawl_id, doc_id % 10 + 1 AS claim,
+               CAST(floor(doc_id % 200 / 10) AS BIGINT) + 1 AS ord,
                'https://m' || CAST(doc_id % 7 AS STRING) || '.example.com/f/' || CAST(doc_id AS STRING) ||
                  {_case('doc_id % 4', "'.mp4'", "'.jpg?w=1'", "'.png'", other="''")} AS url,
                CASE WHEN doc_id % 4 IN (0, 3) THEN 'video' ELSE 'image' END AS type,
@@ -49,7 +49,7 @@ BASES: dict[str, str] = {
                {_case('doc_id % 3', "'dom-extracted-asset'", "'content-hub'", other="'player-config'")} AS discovery_reason
         FROM {{documents}}""",
     "selected": """
-        SELECT doc_id % 23 AS crawl_id,
+        SELECT CAST(floor(doc_id / 200) AS BIGINT) AS crawl_id,
                'https://m' || CAST(doc_id % 7 AS STRING) || '.example.com/f/' || CAST(doc_id AS STRING) || '.png' AS url
         FROM {documents} WHERE doc_id % 23 < 11""",
     # a link graph over the captured pages: three links each, one of them off the table
@@ -108,7 +108,7 @@ BASES: dict[str, str] = {
                  AS disposition
         FROM {{orders}}""",
     "bundle_assets": """
-        SELECT o_custkey % 300 AS bundle_id, o_orderkey AS ord,
+        SELECT CAST(floor(o_orderkey / 150) AS BIGINT) - CASE WHEN CAST(floor(o_orderkey / 150) AS BIGINT) % 7 = 1 THEN 1 ELSE 0 END AS bundle_id, o_orderkey AS ord,
                'https://a.example.com/f/' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.mp4'
                  WHEN 2 THEN '.php' WHEN 3 THEN '' ELSE '.png' END AS url,
                CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_orderkey % 5 = 4 THEN 'clip-2.mp4'
@@ -174,7 +174,7 @@ BASES["file_urls"] = (
         "'https://f.example.com/d/'",
         _case("doc_id % 6", _text("'a%20b'", _ID, "'.jpg'"), "'noext'", _text("'x+y'", _ID, "'.MP4?q=1'"), "'..hidden..png'",
               "'b%C3%A9.webp'", other="'bad%zz.gif'")) + " AS url, "
-    + "replace(substring(text, 1, 40), ' ', '/') || CASE WHEN doc_id % 3 = 0 THEN '...' ELSE '.mp4' END AS title, "
+    + "replace(text, ' ', '/') || CASE WHEN doc_id % 3 = 0 THEN '...' ELSE '.mp4' END AS title, "
     + _case("doc_id % 6", "'image/jpeg'", "'VIDEO/MP4; codecs=x'", "'application/dash+xml'", "'text/html'", "'image/svg+xml'",
             other="'application/octet-stream'") + " AS mime FROM {documents}")
 BASES["dns_answers"] = """

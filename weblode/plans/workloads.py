@@ -280,9 +280,8 @@ def selection_ops(spark, sf_dir):
 def assets_for_bundle(spark, sf_dir):
     pages, rows = _shown(spark, sf_dir)
     visible = results.filter_media(pages, rows, results.MediaFilter())
-    chosen = results.assets_for_bundle(visible.withColumn("title", F.concat(F.lit("t:"), F.col("video_id"))),
-                                       base(spark, sf_dir, "selected"), 20)
-    return chosen.filter("file_name LIKE 't%'")
+    titled = visible.withColumn("title", F.concat(F.lit("t:"), F.col("video_id")))
+    return results.assets_for_bundle(titled, base(spark, sf_dir, "selected"))
 
 
 def display_fields(spark, sf_dir):
