@@ -74,9 +74,9 @@ def _calls(click: Column, pattern: str, i: int, row) -> Column:
         F.regexp_extract_all(click, F.lit(pattern), F.lit(1)), lambda u, k: row(2, trim_space(u), "onclick", i, k))
 
 
-def link_candidates(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def link_candidates(pages: DataFrame, limits: Limits = Limits(), els: DataFrame | None = None) -> DataFrame:
     """Every link target of every page with its label and context, unresolved. Narrow."""
-    els = elements(pages, text=True).filter(F.col("own_text").isNotNull())
+    els = (elements(pages, text=True) if els is None else els).filter(F.col("own_text").isNotNull())
     els = els.withColumns({"label": _label(), "found": _found(limits)})
     context = F.substring(F.concat_ws(
         " ", *[present(c) for c in (F.col("label"), attr("class"), attr("data-widget_type"), attr("data-element_type"),
@@ -161,9 +161,9 @@ def best_links(scored: DataFrame) -> DataFrame:
         "interactive", "discovery_reason", "priority")
 
 
-def discover_links(pages: DataFrame, mode: str = "compat", limits: Limits = Limits()) -> DataFrame:
-    """Ranked links of every page; ``page_url`` is where each was discovered."""
-    return best_links(score_links(link_candidates(pages, limits), mode))
+def discover_links(pages: DataFrame, mode: str = "compat", limits: Limits = Limits(), els: DataFrame | None = None) -> DataFrame:
+    """Ranked links of every page; ``page_url`` is where each was discovered. ``els``: a stored ``elements(pages, text=True)``."""
+    return best_links(score_links(link_candidates(pages, limits, els), mode))
 
 
 def possible_spa(pages: DataFrame, links: DataFrame) -> DataFrame:

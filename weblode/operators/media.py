@@ -265,9 +265,9 @@ def dedup_assets(refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         sanitize_file_name(raw_name, numbered).alias("file_name"), "extension", F.col("tag").alias("source_tag"))
 
 
-def extract_media(pages: DataFrame, player_scripts: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
-    """Assets of every page: page_id, ord, url, type, file_name, extension, source_tag."""
-    els = elements(pages)
+def extract_media(pages: DataFrame, player_scripts: DataFrame | None = None, limits: Limits = Limits(), els: DataFrame | None = None) -> DataFrame:
+    """Assets of every page: page_id, ord, url, type, file_name, extension, source_tag. ``els``: a stored ``elements`` table of the pages."""
+    els = elements(pages) if els is None else els
     refs = raw_refs(els, limits)
     if player_scripts is not None:
         videos = player_videos(pages, player_scripts, limits, els)

@@ -107,26 +107,29 @@ def with_inside(tags: DataFrame, *names: str, out: str = "inside") -> DataFrame:
 
 _STACK = "array<struct<n:string,p:int,nav:boolean,ad:boolean,m:boolean,t:int,pic:int,vid:int>>"
 _OUT = (
-    "array<struct<i:int,n:string,k:int,t:int,pp:int,pt:int,nav:boolean,ad:boolean,inpic:boolean,pic:int,vid:int,"
+    "array<struct<i:int,n:string,k:int,t:int,e:int,pp:int,pt:int,nav:boolean,ad:boolean,inpic:boolean,pic:int,vid:int,"
     "lead:boolean>>"
 )
 _ENDS = "array<struct<p:int,t:int,i:int>>"
 
 
 def _classified(toks: Column, text: bool) -> Column:
-    def entry(i, n, k, w, ad) -> Column:
-        return F.struct(i.alias("i"), n.alias("n"), k.alias("k"), w.alias("w"), ad.alias("ad"))
+    def entry(i, n, k, w, ad, x) -> Column:
+        return F.struct(i.alias("i"), n.alias("n"), k.alias("k"), w.alias("w"), ad.alias("ad"), x.alias("x"))
 
-    no = F.lit(False)
+    no, none = F.lit(False), F.lit(None).cast("string")
+    words = lambda tok: collapse_space(_text_of(tok)) if text else none
 
     def tag(tok: Column, i: Column) -> Column:
         return let(token_name(tok), lambda n: let(token_kind(tok, n), lambda k: entry(
             i, n, k, (k != CLOSE) & tok.rlike(_WANTED),
-            F.when((k == OPEN) & tok.rlike("(?i)[\\s\"'/](?:class|id|role)\\s*="), _region(tok)).otherwise(no))))
+            F.when((k == OPEN) & tok.rlike("(?i)[\\s\"'/](?:class|id|role)\\s*="), _region(tok)).otherwise(no),
+            F.when(k == RAW, words(tok)))))
 
     def one(tok: Column, i: Column) -> Column:
         return F.when(tok.rlike("^</?[a-zA-Z]"), tag(tok, i)).otherwise(entry(
-            i, F.lit(""), F.when(tok.startswith("<!") | tok.startswith("<?"), SKIP).otherwise(TEXT), no, no))
+            i, F.lit(""), F.when(tok.startswith("<!") | tok.startswith("<?"), SKIP).otherwise(TEXT), no, no,
+            F.when(~tok.startswith("<!") & ~tok.startswith("<?"), words(tok))))
 
     return F.filter(F.transform(toks, one), lambda x: ~x.k.isin(*([SKIP] if text else [SKIP, TEXT])))
 
@@ -157,7 +160,10 @@ def _closed_by(n: Column, top: Column) -> Column:
 
 
 def _fold(classified: Column) -> Column:
-    """Walk one page's tags keeping the stack of open elements.
+    """Walk one page's tags keeping the stack of open elements, and how many bytes of the page's text come before each.
+
+    The text is that of all text tokens with every run of white space made one space: a token's first space does not count
+    after a token that ended with one.
 
     Intermediate values are bound with a one-element ``aggregate`` over the state: unlike ``transform`` it
     hands its result on without copying, so the growing output is never copied per tag.
@@ -166,8 +172,14 @@ def _fold(classified: Column) -> Column:
     def bind(a: Column, value: Column, body) -> Column:
         return F.aggregate(F.array(value), a, body)
 
-    def state(t, stack, out, ends, lead) -> Column:
-        return F.struct(t.alias("t"), stack.alias("stack"), out.alias("out"), ends.alias("ends"), lead.alias("lead"))
+    def state(t, sp, stack, out, ends, lead) -> Column:
+        return F.struct(t.alias("t"), sp.alias("sp"), stack.alias("stack"), out.alias("out"), ends.alias("ends"), lead.alias("lead"))
+
+    def after(a: Column, x: Column) -> Column:
+        return a.t + F.coalesce(F.octet_length(x.x) - F.when(a.sp & x.x.startswith(" "), 1).otherwise(0), F.lit(0))
+
+    def spaced(a: Column, x: Column) -> Column:
+        return F.when(F.coalesce(x.x, F.lit("")) == "", a.sp).otherwise(F.endswith(x.x, F.lit(" ")))
 
     def ended(a: Column, x: Column, keep: Column) -> Column:
         """End positions of the marked elements above ``keep``."""
@@ -179,7 +191,7 @@ def _fold(classified: Column) -> Column:
     def close(a: Column, x: Column) -> Column:
         at = F.array_position(F.reverse(F.transform(a.stack, lambda s: s.n)), x.n).cast("int")
         return bind(a, F.size(a.stack) - at, lambda a, keep: F.when(keep == F.size(a.stack), a).otherwise(
-            state(a.t, F.slice(a.stack, F.lit(1), keep), a.out, ended(a, x, keep), a.lead)))
+            state(a.t, a.sp, F.slice(a.stack, F.lit(1), keep), a.out, ended(a, x, keep), a.lead)))
 
     def place(a: Column, x: Column) -> Column:
         size = F.size(a.stack)
@@ -193,7 +205,7 @@ def _fold(classified: Column) -> Column:
         nav = F.coalesce(top.nav, F.lit(False))
         in_picture_img = (x.n == "img") & top.pic.isNotNull()
         entry = F.struct(
-            x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), a.t.alias("t"),
+            x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), a.t.alias("t"), after(a, x).alias("e"),
             F.coalesce(top.p, F.lit(-1)).alias("pp"), F.coalesce(top.t, F.lit(0)).alias("pt"), nav.alias("nav"),
             F.exists(F.slice(a.stack, F.greatest(depth - 7, F.lit(1)), F.least(depth, F.lit(8))),
                      lambda s: s.ad).alias("ad"),
@@ -213,7 +225,7 @@ def _fold(classified: Column) -> Column:
             F.when(x.n == "video", x.i).otherwise(top.vid).alias("vid"),
         )
         return state(
-            F.when(x.k == RAW, a.t + 1).otherwise(a.t),
+            after(a, x), spaced(a, x),
             F.when(x.k == OPEN, F.array_append(under, own)).otherwise(under),
             F.when(x.w, F.array_append(a.out, entry)).otherwise(a.out),
             F.when(implied, ended(a, x, depth)).otherwise(a.ends),
@@ -221,33 +233,37 @@ def _fold(classified: Column) -> Column:
         )
 
     zero = F.struct(
-        F.lit(0).alias("t"), F.array().cast(_STACK).alias("stack"), F.array().cast(_OUT).alias("out"),
+        F.lit(0).alias("t"), F.lit(False).alias("sp"), F.array().cast(_STACK).alias("stack"), F.array().cast(_OUT).alias("out"),
         F.array().cast(_ENDS).alias("ends"), F.lit(None).cast("int").alias("lead"),
     )
     return F.aggregate(
         classified, zero,
-        lambda a, x: F.when(x.k == TEXT, state(a.t + 1, a.stack, a.out, a.ends, a.lead))
+        lambda a, x: F.when(x.k == TEXT, state(after(a, x), spaced(a, x), a.stack, a.out, a.ends, a.lead))
         .when(x.k == CLOSE, close(a, x))
         .when((x.k == OPEN) | x.w, place(a, x))
-        .when(x.k == RAW, state(a.t + 1, a.stack, a.out, a.ends, a.lead))
+        .when(x.k == RAW, state(after(a, x), spaced(a, x), a.stack, a.out, a.ends, a.lead))
         .otherwise(a),
         lambda a: F.struct(a.t.alias("t"), a.out.alias("out"), a.ends.alias("ends")))
 
 
+def _page_text(classified: Column) -> Column:
+    return collapse_space(F.array_join(F.transform(F.filter(classified, lambda x: x.x.isNotNull()), lambda x: x.x), ""))
+
+
 def _implied_body(toks: Column) -> Column:
-    """Where a page leaves ``<body>`` out: how many texts come before the body it implies. Null where the tag is there."""
+    """Where a page leaves ``<body>`` out: the bytes of text before the body it implies. Null where the tag is there."""
     def begins(x: Column) -> Column:
         return F.when(x.k == TEXT, F.get(toks, x.i).rlike(r"\S")).otherwise(~x.n.isin(HEAD_ELEMENTS) & (x.k != CLOSE))
 
     at = F.array_position(F.transform("cls", begins), True).cast("int")
     head = F.slice("cls", F.lit(1), F.greatest(at - 1, F.lit(0)))
-    return F.when(~F.exists("cls", lambda x: (x.n == "body") & (x.k == OPEN)), F.size(F.filter(head, lambda x: x.k.isin(TEXT, RAW))))
+    return F.when(~F.exists("cls", lambda x: (x.n == "body") & (x.k == OPEN)), F.octet_length(_page_text(head)))
 
 
 def _rootless(x: Column) -> Column:
     no, none = F.lit(False), F.lit(None).cast("int")
     return F.struct(
-        x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), F.lit(0).alias("t"), F.lit(-1).alias("pp"), F.lit(0).alias("pt"),
+        x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), F.lit(0).alias("t"), F.lit(0).alias("e"), F.lit(-1).alias("pp"), F.lit(0).alias("pt"),
         no.alias("nav"), no.alias("ad"), no.alias("inpic"), none.alias("pic"), none.alias("vid"), no.alias("lead"))
 
 
@@ -293,8 +309,8 @@ def elements(pages: DataFrame, text: bool = False) -> DataFrame:
 
     Columns: page_id, page_url, pos, name, tag (start tag, or the whole raw-text element), names, values,
     in_picture (direct child), picture / video (token index of the enclosing one), lead_image (first image of
-    its picture), video_tag; with ``text=True`` also nav, near_ad, own_text, parent_text and alt_tag. Without
-    text one extra row per page, named ``#meta``, carries the page's meta values.
+    its picture), video_tag; with ``text=True`` also nav, near_ad, own_text, parent_text and alt_tag.
+    One extra row per page, named ``#meta``, carries the page's meta values. A table made with text serves media and embeds too.
     """
     base = pages.select("page_id", F.col("url").alias("page_url"), tokens_of(F.col("html")).alias("toks"))
     for step in _steps(text):
@@ -319,21 +335,14 @@ def _steps(text: bool) -> list[dict[str, Column]]:
     third: dict[str, Column] = {}
     if text:
         second["body_t"] = _implied_body(toks)
-        second["texts"] = F.transform(
-            F.filter(toks, _is_text), lambda t: F.substring(collapse_space(_text_of(t)), 1, CONTEXT_CHARS))
+        second["words"] = _page_text(F.col("cls")).cast("binary")
         third["endp"] = F.transform(F.col("fold.ends"), lambda e: e.p)
-    else:
-        second["metas"] = _meta_values(toks)
+    second["metas"] = _meta_values(toks)
 
     def joined(start: Column, stop: Column) -> Column:
-        def cut(count) -> Column:
-            whole = F.array_join(F.slice(F.col("texts"), start + 1, count), "")
-            return F.substring(F.trim(collapse_space(whole)), 1, CONTEXT_CHARS)
-
-        count = stop - start
-        # the head of a long run is nearly always enough; the full run is read only when it is not
-        return F.when(count <= 800, cut(count)).otherwise(
-            let(cut(F.lit(800)), lambda head: F.when(F.length(head) >= 350, head).otherwise(cut(count))))
+        """The head of a stretch of the page's text; a character has four bytes at most."""
+        head = F.substring(F.col("words"), start + 1, F.least(stop - start, F.lit(4 * CONTEXT_CHARS + 4)))
+        return F.substring(F.trim(head.cast("string")), 1, CONTEXT_CHARS)
 
     def end_of(pos: Column, field: str, default: Column) -> Column:
         hit = F.array_position(F.col("endp"), pos).cast("int")
@@ -351,7 +360,7 @@ def _steps(text: bool) -> list[dict[str, Column]]:
                 r"(?i)[\s\"'/](?:role|onclick|formaction|data-href|data-url|data-link|data-link-url|data-target-url"
                 r"|data-settings)\s*=")
             total = F.col("fold.t")
-            own_stop = F.when(e.k == VOID, e.t).when(e.k == RAW, e.t + 1).otherwise(end_of(e.i, "t", total))
+            own_stop = F.when(e.k == VOID, e.t).when(e.k == RAW, e.e).otherwise(end_of(e.i, "t", total))
             own = F.when(link, joined(e.t, own_stop))
             root = F.col("body_t").isNotNull() & ((e.pp < 0) | F.get(toks, e.pp).rlike(r"(?i)^<html[\s>]"))
             parent = F.when(link, F.when(root, joined(F.col("body_t"), total)).when(e.pp < 0, F.lit("")).otherwise(
@@ -362,14 +371,14 @@ def _steps(text: bool) -> list[dict[str, Column]]:
             fields += [e.nav.alias("nav"), e.ad.alias("near_ad"), own.alias("own_text"), parent.alias("parent_text"), alt.alias("alt_tag")]
         return F.struct(*fields)
 
+    kinds = {"pos": "int", "name": "string", "tag": "string", "in_picture": "boolean", "picture": "int", "lead_image": "boolean",
+             "video_tag": "string", "video": "int", "meta": "array<struct<prop:string,by_property:string,by_name:string>>"}
+    if text:
+        kinds |= {"nav": "boolean", "near_ad": "boolean", "own_text": "string", "parent_text": "string", "alt_tag": "string"}
+    known = {"pos": F.lit(-1), "name": F.lit("#meta"), "tag": F.lit(""), "meta": F.col("metas")}
+    of_page = F.struct(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()])
     rows = F.transform(F.col("fold.out"), row)
-    meta_fields = {"pos": F.lit(-1), "name": F.lit("#meta"), "tag": F.lit(""), "meta": F.col("metas")}
-    if not text:
-        plain = ["pos", "name", "tag", "in_picture", "picture", "lead_image", "video_tag", "video", "meta"]
-        types = dict(zip(plain, ["int", "string", "string", "boolean", "int", "boolean", "string", "int",
-                                 "array<struct<prop:string,by_property:string,by_name:string>>"]))
-        pseudo = F.struct(*[(meta_fields.get(n, F.lit(None)).cast(types[n])).alias(n) for n in plain])
-        rows = F.when(F.col("metas").isNotNull(), F.array_append(rows, pseudo)).otherwise(rows)
+    rows = F.when(F.col("metas").isNotNull(), F.array_append(rows, of_page)).otherwise(rows)
     return [step for step in (first, second, third, {"rows": rows}) if step]
 
 

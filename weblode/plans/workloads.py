@@ -161,9 +161,10 @@ def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if key not in _STAGES:
         pages = written(linked(_pages(spark, sf_dir)), "pages")
         pages = spread(pages, "page_id")
-        made = {"pages": pages, "links": written(links.discover_links(pages), "links"),
-                "assets": written(media.extract_media(pages), "assets"),
-                "embeds": written(embeds.discover_embeds(pages), "embeds")}
+        els = written(tokens.elements(pages, text=True), "elements")  # the HTML is read once for all three
+        made = {"pages": pages, "links": written(links.discover_links(pages, els=els), "links"),
+                "assets": written(media.extract_media(pages, els=els), "assets"),
+                "embeds": written(embeds.discover_embeds(pages, els=els), "embeds")}
         made["media"] = written(
             crawl.merge_page_media(made["assets"], made["embeds"], made["links"], pages, CRAWL), "media")
         seeds = pages.select(F.col("page_id").alias("crawl_id"), "url")
