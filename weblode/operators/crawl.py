@@ -8,6 +8,8 @@ hint, so adaptive skew handling can split them.
 
 from __future__ import annotations
 
+import re
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -209,7 +211,11 @@ def crawl_report(page_results: DataFrame, media: DataFrame) -> DataFrame:
 
 def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFrame,
                       config: CrawlConfig = CrawlConfig()) -> DataFrame:
-    """The crawl as an ordered log of named JSON events: crawl_id, seq (sortable struct), event, data."""
+    """The crawl as an ordered log of named JSON events: crawl_id, seq (sortable struct), event, data.
+
+    ``crawl_complete`` lists the page results of the crawl, at most its page budget; captured tables have no clock, so its
+    duration is null.
+    """
     def event(df: DataFrame, name: str, stage: int, at: list, **fields) -> DataFrame:
         a, b, c = (at + [F.lit(0)] * 3)[:3]
         return df.select(
@@ -226,8 +232,13 @@ def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFram
     results = page_results.withColumn("_depth", c("depth"))
     found = media.withColumn("_depth", c("depth"))
     summary = crawl_summary(page_results).withColumn("_depth", F.lit(99))
+    listed = page_results.groupBy("crawl_id").agg(F.array_sort(F.collect_list(F.struct(
+        "claim", "url", "depth", "title", c("media_count").alias("mediaCount"), "error", c("possible_spa").alias("possibleSpa"),
+        c("page_kind").alias("pageKind"), c("discovery_reason").alias("discoveryReason")))).alias("results"))
+    summary = summary.join(listed, "crawl_id")
+    settings = F.struct(*[F.lit(v).alias(re.sub("_(.)", lambda m: m[1].upper(), k)) for k, v in asdict(config).items()])
     parts = [
-        event(seeds, "crawl_started", 0, [], url=c("url")),
+        event(seeds, "crawl_started", 0, [], url=c("url"), config=settings),
         event(queued, "page_discovered", 1, [c("claim")], url=c("url"), category=c("category"), depth=c("depth"),
               source=c("source"), fromUrl=c("discovered_from"), discoveryReason=c("discovery_reason")),
         event(claimed, "page_processing", 2, [c("claim"), F.lit(0)], url=c("url"), depth=c("depth"),
@@ -239,7 +250,8 @@ def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFram
         event(results.filter("depth > 0"), "page_complete", 2, [c("claim"), F.lit(3)], url=c("url"),
               mediaCount=c("media_count"), depth=c("depth")),
         event(summary, "crawl_complete", 3, [], originalUrl=c("original_url"), totalPages=c("pages_crawled"),
-              pagesWithErrors=c("pages_with_errors"), totalMedia=c("total_media")),
+              pagesWithErrors=c("pages_with_errors"), totalMedia=c("total_media"), results=F.transform(
+                  "results", lambda r: r.dropFields("claim")), crawlDurationMs=F.lit(None).cast("long")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

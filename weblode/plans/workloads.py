@@ -23,8 +23,8 @@ from weblode.sources.pages import scan_pages, spread
 from weblode.sources.stages import written
 from weblode.streaming import events, limiter
 
-CRAWL = CrawlConfig(max_pages=6, follow_external=True)
-SHALLOW = ShallowConfig(max_pages=12, same_host_only=False, max_assets=40)
+CRAWL = CrawlConfig(follow_external=True)
+SHALLOW = ShallowConfig(same_host_only=False)
 FILTER = results.MediaFilter(query="FÜR", availability="downloadable", confidence="low", show_empty_pages=True)
 DAY_MS = 86_400_000
 
@@ -201,8 +201,14 @@ def crawl_summary(spark, sf_dir):
 def emit_crawl_events(spark, sf_dir):
     crawled, page_results, kept = _results(spark, sf_dir)
     log = crawl.emit_crawl_events(crawled, page_results, kept, CRAWL)
-    return log.select("crawl_id", F.col("seq.depth").alias("depth"), F.col("seq.stage").alias("stage"),
-                      F.col("seq.a").alias("a"), F.col("seq.b").alias("b"), F.col("seq.c").alias("c"), "event", "data")
+    fields = {
+        "url": "url", "category": "category", "source": "source", "from_url": "fromUrl", "reason": "discoveryReason", "pages_done": "pagesDone",
+        "pages_total": "pagesTotal", "media_count": "mediaCount", "error": "error", "page_url": "pageUrl", "media_url": "media.url",
+        "media_platform": "media.platform", "original_url": "originalUrl", "total_pages": "totalPages", "with_errors": "pagesWithErrors",
+        "total_media": "totalMedia", "max_pages": "config.maxPages", "external": "config.followExternal", "first_url": "results[0].url",
+        "first_kind": "results[0].pageKind", "first_media": "results[0].mediaCount"}
+    return log.select("crawl_id", *[F.col(f"seq.{k}").alias(k) for k in ("depth", "stage", "a", "b", "c")], "event",
+                      *[F.get_json_object("data", f"$.{path}").alias(name) for name, path in fields.items()])
 
 
 def crawl_event_counts(spark, sf_dir):
@@ -221,9 +227,9 @@ def shallow_crawl(spark, sf_dir):
     s = stages(spark, sf_dir)
     seeds = s["pages"].select(F.col("page_id").alias("crawl_id"), "url")
     scanned, assets = crawl.shallow_crawl(seeds, s["pages"], media.page_links(s["pages"]), s["assets"], SHALLOW)
-    pages = scanned.groupBy("crawl_id").agg(F.count("*").alias("pages_scanned"))
-    found = assets.groupBy("crawl_id").agg(F.count("*").alias("total_found"))
-    return pages.join(found, "crawl_id", "left").fillna(0, ["total_found"])
+    found = assets.groupBy("crawl_id", "claim").agg(F.count("*").alias("assets"), F.min("asset_ord").alias("first_asset"))
+    return scanned.join(found, ["crawl_id", "claim"], "left").fillna(0, ["assets"]).select(
+        "crawl_id", "depth", "claim", "url", "page_id", "assets", "first_asset")
 
 
 # ---- results -------------------------------------------------------------------------------------------------
