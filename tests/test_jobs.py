@@ -241,17 +241,3 @@ def test_events_stream_equals_table(spark, tmp_path):
     want = events.activity_tail(events.activity_log(df), 3).drop("recent")
     assert sorted(map(tuple, tail.collect())) == sorted(map(tuple, want.collect()))
     assert "Página descoberta via onclick (depth 1) • configuração de player" in [r.message for r in tail.collect()]
-
-
-def test_frames(spark):
-    frames = ["event: page_error\ndata: {\"a\":\ndata:1}", "data: x", "event: \ndata: x", ": note\nevent: a\nevent: b\ndata: y"]
-    df = events.parse_frames(spark.createDataFrame([(f,) for f in frames], "frame string"))
-    assert [(r.event, r.data) for r in df.collect()] == [("page_error", '{"a":\n1}'), ("b", "y")]
-
-
-def test_clients_and_methods(spark):
-    df = spark.createDataFrame([(" 1.1.1.1 , 2.2.2.2", "3", "/api/download", "GET"), ("", "3", "/api/download", "POST"),
-                                (None, None, "/api/other", "PUT"), (None, "", "/api/analyze", "OPTIONS")],
-                               "f string, r string, p string, m string")
-    rows = df.select(limiter.client_of(F.col("f"), F.col("r")), limiter.method_allowed(F.col("p"), F.col("m"))).collect()
-    assert [tuple(r) for r in rows] == [("1.1.1.1", True), ("3", False), ("unknown", True), ("unknown", True)]

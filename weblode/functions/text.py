@@ -5,8 +5,7 @@ from __future__ import annotations
 import functools
 from html.entities import html5
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import C1_CHARACTERS, JS_SPACE
@@ -24,7 +23,8 @@ def built_once(make):
 
     @functools.wraps(make)
     def get(*args):
-        key = (id(SparkContext._gateway), args)
+        session = SparkSession.getActiveSession()
+        key = (session and session.sparkContext.applicationId, args)
         if key not in made:
             made[key] = make(*args)
         return made[key]

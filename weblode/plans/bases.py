@@ -122,7 +122,7 @@ BASES: dict[str, str] = {
                  WHEN 'purchase' THEN CASE WHEN event_id % 40 = 0 THEN 'crawl_complete' ELSE 'page_complete' END
                  ELSE CASE WHEN event_id % 50 = 1 THEN 'crawl_error' ELSE 'page_error' END END AS event,
                CASE WHEN event_id % 97 = 5 THEN '{broken'
-                 ELSE '{"url":"https://e.example.com/' || CAST(event_id AS STRING) || '","originalUrl":"https://e.example.com/"' ||
+                 ELSE '{"url":"https://' || CASE WHEN event_id % 67 = 3 AND event_type <> 'click' THEN '10.0.0.8' ELSE 'e.example.com' END || '/' || CAST(event_id AS STRING) || '","originalUrl":"https://e.example.com/"' ||
                  ',"pageUrl":"https://e.example.com/p","depth":' || CAST(event_id % 3 AS STRING) ||
                  ',"pagesDone":' || CAST(event_id % 20 AS STRING) || ',"pagesTotal":' || CAST(event_id % 89 % 30 AS STRING) ||
                  ',"mediaCount":' || CAST(event_id % 8 AS STRING) || ',"totalPages":' || CAST(event_id % 20 AS STRING) ||

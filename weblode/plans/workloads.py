@@ -347,7 +347,7 @@ def bundle_status(spark, sf_dir):
 
 
 def parse_events(spark, sf_dir):
-    return events.parse_events(base(spark, sf_dir, "crawl_events")).groupBy("event", "valid").agg(F.count("*").alias("n"))
+    return events.parse_events(base(spark, sf_dir, "crawl_events")).select("crawl_id", "event_id", "event", "valid")
 
 
 def crawl_progress(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import LOG_REASON_LABELS, LOG_SOURCE_LABELS
+from weblode.functions.urls import host_of, is_private_host
 from weblode.operators.results import reason_label
 
 EVENTS = "crawl_id BIGINT, ts TIMESTAMP, event STRING, data STRING"
@@ -50,24 +51,18 @@ def read_crawl_events(spark: SparkSession, path: str, files_per_trigger: int | N
     return reader.json(path)
 
 
-def parse_frames(frames: DataFrame, text: str = "frame") -> DataFrame:
-    """Event-stream frames to (event, data): the last event line, all data lines joined; incomplete frames drop."""
-    lines = F.split(text, "\n")
-    name = F.element_at(F.filter(lines, lambda x: x.startswith("event: ")), -1)
-    data = F.filter(lines, lambda x: x.startswith("data:"))
-    joined = F.array_join(F.transform(data, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
-    safe = F.when(F.exists(lines, lambda x: x.startswith("event: ")), name)
-    return frames.withColumns({
-        "event": F.trim(F.substr(safe, F.lit(8))), "data": F.when(F.size(data) > 0, joined),
-    }).filter("event <> '' AND data IS NOT NULL")
-
-
 def parse_events(events: DataFrame) -> DataFrame:
-    """Add the parsed struct ``d`` and ``valid``; malformed rows stay, flagged, for a side output."""
+    """Add the parsed struct ``d`` and ``valid``; malformed rows stay, flagged, for a side output.
+
+    A row is valid when its kind is known, its fields are acceptable and no address in it is private.
+    """
     rows = events.withColumn("d", F.from_json("data", _ALL))
     checks = F.lit(False)
     for kind, (_, conditions) in KINDS.items():
-        checks = F.when(F.col("event") == kind, F.expr(" AND ".join(conditions))).otherwise(checks)
+        fine = F.expr(" AND ".join(conditions))
+        for field in re.findall(r"(d[.]\S+) RLIKE", " ".join(conditions)):
+            fine = fine & ~is_private_host(host_of(F.col(field)))
+        checks = F.when(F.col("event") == kind, fine).otherwise(checks)
     return rows.withColumn("valid", F.coalesce(checks, F.lit(False)))
 
 

@@ -15,22 +15,6 @@ WINDOW_MS = 60_000
 MAX_REQUESTS = 30
 IDLE_SWEEP_MS = 5 * 60_000
 OUTPUT = "client string, at_ms bigint, request_id bigint, limited boolean, remaining int, reset_ms bigint"
-# ---- fixed values: the method each endpoint takes ------------------------------------
-API_METHODS = {
-    "/api/analyze": "POST", "/api/download": "GET", "/api/download-zip": "POST", "/api/extract/deep": "POST",
-}
-
-
-def client_of(forwarded: Column, real: Column) -> Column:
-    """First forwarded address, else the real one, else a shared name."""
-    first = F.trim(F.substring_index(forwarded, ",", 1))
-    return F.coalesce(F.when(first != "", first), F.when(real != "", real), F.lit("unknown"))
-
-
-def method_allowed(path: Column, method: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for p in API_METHODS.items() for x in p])
-    wanted = F.try_element_at(table, path)
-    return wanted.isNull() | (method == wanted) | (method == "OPTIONS")
 
 
 def _walk(at: np.ndarray, count: int, reset: int, window_ms: int):
