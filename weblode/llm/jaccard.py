@@ -164,12 +164,12 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-                merged = np.concatenate([np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)])
+            for x, y, sx, sy in zip(*(batch.column(c) for c in ("a", "b", "set_a", "set_b"))):  # one pair's sets at a time
+                merged = np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in (sx, sy)])
                 merged.sort()
                 if (100 + percent) * np.count_nonzero(merged[1:] == merged[:-1]) >= percent * len(merged):
-                    a.append(x)
-                    b.append(y)
+                    a.append(x.as_py())
+                    b.append(y.as_py())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 

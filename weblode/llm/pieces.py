@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ from weblode.sources.stages import written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of the broadcast dictionary, characters of a word that has a lattice (its cuts are bits of a long), characters of a block of
 #: text, and words a task remembers of those outside the dictionary.
-DICTIONARY = 1 << 19
+DICTIONARY = 1 << 18
 LONGEST = 60
-BLOCK = 1 << 21
-REMEMBERED = 1 << 16
+BLOCK = 1 << 18
+REMEMBERED = 1 << 15
+#: Words a task counts before it hands them on.
+COUNTED = 1 << 17
 SPACE = "▁"
 
 
@@ -83,25 +86,44 @@ class Cutter:
         self.kind[ord(SPACE)] = 2
         self.draw = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct words, the place in them of each word of the texts in order, and where each text's words begin."""
+    def hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run of code points."""
+        power, inverse = _powers(max(len(codes), BLOCK) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(self.draw[codes] * power[:len(codes)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def cut(self, texts: list[str | None]) -> Cut:
         joined = "".join([self.prefix + t for t in texts if t]).replace(" ", SPACE)
         offsets = np.cumsum([0] + [len(t) + len(self.prefix) if t else 0 for t in texts])
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if not len(codes):
-            return [], np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         kind = self.kind[codes]
-        first = np.ones(len(codes), bool)
-        first[1:] = ~(((kind[:-1] == 2) & (kind[1:] > 0)) | ((kind[:-1] == 1) & (kind[1:] == 1)))
-        first[offsets[offsets < len(codes)]] = True
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(codes))
-        power, inverse = _powers(max(len(codes), BLOCK) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(self.draw[codes] * power[:len(codes)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        return [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], back, np.searchsorted(starts, offsets)
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~(((kind[:-1] == 2) & (kind[1:] > 0)) | ((kind[:-1] == 1) & (kind[1:] == 1)))
+        begins[offsets[offsets < len(codes)]] = True
+        starts = np.flatnonzero(begins)
+        hashes = self.hashes(codes, starts, np.append(starts[1:], len(codes))[:len(starts)])
+        unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        ends = np.append(starts[1:], len(codes))[:len(starts)]
+        return Cut(joined, codes, unique, starts[at], ends[at] - starts[at], back, np.searchsorted(starts, offsets))
+
+
+class Cut(NamedTuple):
+    """A block of texts as words: the distinct ones by hash, with a place each; which one stands where; where each text begins.
+
+    In a block words are told apart by their 64-bit hash.
+    """
+
+    joined: str
+    codes: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    back: np.ndarray
+    first: np.ndarray
+
+    def words(self, which: np.ndarray) -> list[str]:
+        return [self.joined[a:a + n] for a, n in zip(self.starts[which].tolist(), self.sizes[which].tolist())]
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str | None]]]:
@@ -130,13 +152,15 @@ def _count_words(cutter):
 
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                words, back, _ = cutter.value.cut(texts)
-                for word, n in zip(words, np.bincount(back, minlength=len(words)).tolist()):
-                    if len(word) <= LONGEST:
-                        held[word] = held.get(word, 0) + n
-                if len(held) > 1 << 18:
+                cut = cutter.value.cut(texts)
+                short = np.flatnonzero(cut.sizes <= LONGEST)
+                for word, n in zip(cut.words(short), np.bincount(cut.back, minlength=len(cut.hashes))[short].tolist()):
+                    held[word] = held.get(word, 0) + n
+                if len(held) > COUNTED:
                     yield rows()
+            batch = None  # not beside the next one
         yield rows()
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -182,17 +206,24 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, bytes_: list[int]
 
 
 class Encoder:
-    """The dictionary of a worker, and the fold for the words it lacks."""
-
-    def __init__(self, vocabulary: Vocabulary, words: list[str], ids: bytes, sizes: np.ndarray):
-        self.vocabulary, self.words, self.flat, self.sizes, self.known = vocabulary, words, ids, sizes, None
+    """The dictionary as flat arrays in hash order, and the fold for the words it lacks."""
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str], ids: np.ndarray, sizes: np.ndarray):
+        self.vocabulary = vocabulary
+        self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids, self.id_sizes = ids.astype(np.int32), sizes.astype(np.int64)
+        self.id_starts = np.cumsum(self.id_sizes) - self.id_sizes
+        self.hashes = Cutter(vocabulary).hashes(self.codes, self.starts, self.starts + self.sizes)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.sizes, self.starts = self.hashes[order], self.sizes[order], self.starts[order]
+        self.id_sizes, self.id_starts = self.id_sizes[order], self.id_starts[order]
         self.cutter = None
 
     def ready(self) -> Encoder:
-        if self.known is None:
-            ends = np.cumsum(self.sizes) * 4
-            self.known = {w: self.flat[b - 4 * n:b] for w, b, n in zip(self.words, ends.tolist(), self.sizes.tolist())}
-            self.words = self.flat = None
+        """Makes what is not worth sending."""
+        if self.cutter is None:
             self.cutter, self.rare = Cutter(self.vocabulary), {}
             raw = self.vocabulary.raw
             self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -200,23 +231,43 @@ class Encoder:
             self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         return self
 
-    def ids_of(self, word: str) -> bytes:
-        got = self.known.get(word) or self.rare.get(word)
+    def _fold(self, word: str) -> list[int]:
+        got = self.rare.get(word)
         if got is None:
-            got = np.array(self.vocabulary.fold(word), np.int32).tobytes()
+            got = self.vocabulary.fold(word)
             if len(word) <= LONGEST:
                 if len(self.rare) >= REMEMBERED:
                     self.rare.clear()
                 self.rare[word] = got
         return got
 
+    def _known(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """Which distinct words of a block are in the dictionary, and where: same hash, same length, same characters."""
+        if not len(self.hashes) or not len(cut.hashes):
+            return np.zeros(len(cut.hashes), bool), np.zeros(len(cut.hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, cut.hashes), len(self.hashes) - 1)
+        hit = (self.hashes[at] == cut.hashes) & (self.sizes[at] == cut.sizes)
+        which = np.flatnonzero(hit)
+        mine, bounds = _gather(cut.codes, cut.starts, cut.sizes, which)
+        theirs, _ = _gather(self.codes, self.starts, self.sizes, at[which])
+        other = np.flatnonzero(mine != theirs)
+        hit[which[np.searchsorted(bounds, other, "right") - 1]] = False
+        return hit, at
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids begin."""
-        words, back, first = self.cutter.cut(texts)
-        parts = [self.ids_of(w) for w in words]
-        sizes = np.array([len(p) // 4 for p in parts], np.int64)
-        ids, ends = _gather(np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes) - sizes, sizes, back)
-        return ids, ends[first]
+        cut = self.cutter.cut(texts)
+        hit, at = self._known(cut)
+        which = np.flatnonzero(hit)
+        flat, bounds = _gather(self.ids, self.id_starts, self.id_sizes, at[which])
+        folded = [self._fold(w) for w in cut.words(np.flatnonzero(~hit))]
+        sizes = np.empty(len(hit), np.int64)
+        sizes[hit], sizes[~hit] = self.id_sizes[at[which]], [len(f) for f in folded]
+        starts = np.empty(len(hit), np.int64)
+        starts[hit], starts[~hit] = bounds[:-1], len(flat) + np.cumsum(sizes[~hit]) - sizes[~hit]
+        rest = np.fromiter((i for f in folded for i in f), np.int32)
+        ids, ends = _gather(np.concatenate([flat, rest]), starts, sizes, cut.back)
+        return ids, ends[cut.first]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids that lie end to end: pieces joined, the leading space of a text gone."""
@@ -251,6 +302,8 @@ def _encoded(shared, keep: int, check: bool):
                     columns.append(pa.array(same, pa.bool_(), mask=missing))
                     names.append("round_trip")
                 yield pa.record_batch(columns, names=names)
+                columns = lists = None
+            batch = None  # not beside the next one
     return run
 
 
@@ -263,7 +316,7 @@ def encoder_for(docs: DataFrame, model: str = MODEL, dictionary: int = DICTIONAR
     lists = folded.column("ids").combine_chunks() if folded.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-    return Encoder(vocabulary, folded.column("word").to_pylist(), lists.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False).tobytes(), sizes.astype(np.int64))
+    return Encoder(vocabulary, folded.column("word").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), sizes)
 
 
 def encode(docs: DataFrame, keep: list[str] | None = None, check: bool = False, model: str = MODEL, dictionary: int = DICTIONARY) -> DataFrame:
@@ -289,7 +342,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, check: bool = False,
 def decode(encoded: DataFrame, pieces: str = "pieces", text: str = "text", model: str = MODEL) -> DataFrame:
     """``encoded`` with the column ``text`` made from the ids in ``pieces``; null gives null. Ids outside the model decode to nothing."""
     ship(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(Encoder(Vocabulary(model), [], b"", np.empty(0, np.int64)))
+    shared = encoded.sparkSession.sparkContext.broadcast(Encoder(Vocabulary(model), [], np.empty(0, np.int32), np.empty(0, np.int64)))
     at, names = encoded.columns.index(pieces), [c for c in encoded.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
