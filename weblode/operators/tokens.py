@@ -35,6 +35,7 @@ TOKEN = (
 TEXT, OPEN, CLOSE, VOID, RAW, SKIP = range(6)
 KIND_NAMES = ["text", "open", "close", "void", "raw", "comment"]
 CONTEXT_CHARS = 352  # 350 kept characters plus the spaces trimmed off both ends
+PIECE = 1024  # characters of a piece of a page's text, so that the head of any stretch lies in two pieces
 
 _WANTED_NAMES = [
     "a", "button", "img", "source", "video", "picture", "iframe", "embed", "object", "script", "style", "noscript",
@@ -160,7 +161,7 @@ def _closed_by(n: Column, top: Column) -> Column:
 
 
 def _fold(classified: Column) -> Column:
-    """Walk one page's tags keeping the stack of open elements, and how many bytes of the page's text come before each.
+    """Walk one page's tags keeping the stack of open elements, and how many characters of the page's text come before each.
 
     The text is that of all text tokens with every run of white space made one space: a token's first space does not count
     after a token that ended with one.
@@ -176,7 +177,7 @@ def _fold(classified: Column) -> Column:
         return F.struct(t.alias("t"), sp.alias("sp"), stack.alias("stack"), out.alias("out"), ends.alias("ends"), lead.alias("lead"))
 
     def after(a: Column, x: Column) -> Column:
-        return a.t + F.coalesce(F.octet_length(x.x) - F.when(a.sp & x.x.startswith(" "), 1).otherwise(0), F.lit(0))
+        return a.t + F.coalesce(F.length(x.x) - F.when(a.sp & x.x.startswith(" "), 1).otherwise(0), F.lit(0))
 
     def spaced(a: Column, x: Column) -> Column:
         return F.when(F.coalesce(x.x, F.lit("")) == "", a.sp).otherwise(F.endswith(x.x, F.lit(" ")))
@@ -251,13 +252,13 @@ def _page_text(classified: Column) -> Column:
 
 
 def _implied_body(toks: Column) -> Column:
-    """Where a page leaves ``<body>`` out: the bytes of text before the body it implies. Null where the tag is there."""
+    """Where a page leaves ``<body>`` out: the characters of text before the body it implies. Null where the tag is there."""
     def begins(x: Column) -> Column:
         return F.when(x.k == TEXT, F.get(toks, x.i).rlike(r"\S")).otherwise(~x.n.isin(HEAD_ELEMENTS) & (x.k != CLOSE))
 
     at = F.array_position(F.transform("cls", begins), True).cast("int")
     head = F.slice("cls", F.lit(1), F.greatest(at - 1, F.lit(0)))
-    return F.when(~F.exists("cls", lambda x: (x.n == "body") & (x.k == OPEN)), F.octet_length(_page_text(head)))
+    return F.when(~F.exists("cls", lambda x: (x.n == "body") & (x.k == OPEN)), F.length(_page_text(head)))
 
 
 def _rootless(x: Column) -> Column:
@@ -335,14 +336,18 @@ def _steps(text: bool) -> list[dict[str, Column]]:
     third: dict[str, Column] = {}
     if text:
         second["body_t"] = _implied_body(toks)
-        second["words"] = _page_text(F.col("cls")).cast("binary")
+        second["words"] = F.regexp_extract_all(_page_text(F.col("cls")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
         third["endp"] = F.transform(F.col("fold.ends"), lambda e: e.p)
     second["metas"] = _meta_values(toks)
 
     def joined(start: Column, stop: Column) -> Column:
-        """The head of a stretch of the page's text; a character has four bytes at most."""
-        head = F.substring(F.col("words"), start + 1, F.least(stop - start, F.lit(4 * CONTEXT_CHARS + 4)))
-        return F.substring(F.trim(head.cast("string")), 1, CONTEXT_CHARS)
+        """The head of a stretch of the page's text."""
+        def piece(i: Column) -> Column:
+            return F.coalesce(F.get("words", i), F.lit(""))
+
+        at = F.floor(start / PIECE).cast("int")
+        head = F.substring(F.concat(piece(at), piece(at + 1)), start % PIECE + 1, F.least(stop - start, F.lit(CONTEXT_CHARS + 1)))
+        return F.substring(F.trim(head), 1, CONTEXT_CHARS)
 
     def end_of(pos: Column, field: str, default: Column) -> Column:
         hit = F.array_position(F.col("endp"), pos).cast("int")
