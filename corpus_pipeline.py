@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Only a shard's two arc ends take part of a document.
     """
-    mixed = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.sum("size")).alias("_times"))
+    mixed = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
     times = mixed.select("_id", F.floor(F.coalesce("_times", F.lit(0.0)) + 0.5).cast("int").alias("_times")).filter("_times > 0")
     taken = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["_id"]))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
