@@ -4,7 +4,7 @@ import random
 import re
 import string
 
-from weblode.llm.quality import band_verdict, good_documents, quality_measures
+from weblode.llm.quality import band_verdict, cut, good_documents, is_noise, quality_measures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +59,28 @@ def test_long_text_in_blocks_and_empty_table(spark):
     row = quality_measures(spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")).filter("doc_id = 1").first()
     assert row.n_words == 400000 and row.n_symbols == 0
     assert quality_measures(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_noise_goes_wherever_it_lies_and_however_short(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", weights=range(12, 0, -1), k=rng.randrange(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choices(vocabulary, k=n)).capitalize()[:n]
+
+    def noise(n, word=60):
+        return " ".join("".join(rng.choices(string.ascii_letters + string.digits + "+/", k=word)) for _ in range(n // word + 1))[:n]
+
+    good = [prose(n) for n in (80, 100, 150, 220, 600, 1500, 3000, 5000, 7500, 9000, 14000) for _ in range(5)]
+    bad = [noise(n, max(3, n // 14)) for n in (80, 100, 150, 220) for _ in range(5)]
+    for size, junk in ((1500, 700), (3000, 1400), (6000, 2800), (7000, 2904), (8191, 4095), (8192, 4096), (12000, 5000)):
+        for at in (0, (size - junk) // 2, size - junk):
+            bad.append(prose(at) + noise(junk) + prose(size - junk - at))
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    kept = {r.doc_id for r in good_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(len(good))), sorted(kept ^ set(range(len(good))))
+
+
+def test_chunks_and_pieces_reach_the_end():
+    assert cut(b"abcdefgh", 3) == [b"abc", b"def", b"fgh"] and cut(b"abcdef", 3) == [b"abc", b"def"] and cut(b"ab", 3) == []
+    assert not is_noise("가나다라마바사 아자차카타파하 거너더러머버서 어저처커터퍼허".encode(), 0.9)
