@@ -53,3 +53,25 @@ def test_supplied_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         assert "".join(main_text(r.html).split()) == "".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><div class='{name}'><article><h1>T</h1><p>{P1}</p></article><div class=sidebar><p>{P2}</p></div></div>", clean("T", P1))
+    for name in ("site has-sidebar", "no-sidebar", "content-sidebar-wrap", "header-fixed page", "sidebar", "with-header", "headerless", "menu-open")
+] + [
+    (f"<body><div class='{name}'><h1>T</h1><p>{P1}</p><p>{P2}</p></div><div class=widget><p>{P1}</p></div>", clean("T", P1, P2))
+    for name in ("site has-sidebar", "content-sidebar-wrap", "page-header-sticky", "layout-sidebar", "sidebar")
+] + [
+    (f"<main><article class='{name}'><p>{P1}</p></article></main>", clean(P1))
+    for name in ("post category-advice", "tag-adoption", "adventure", "comments-open", "post tag-promo", "category-ad", "advance", "replying")
+] + [
+    (f"<div id=content><article><p>{P1}</p></article></div><div class='{name}'><article class=teaser><p>{P2}</p><p>{P2}</p></article></div>", clean(P1))
+    for name in ("related-posts", "sidebar", "site-footer", "widget")
+] + [
+    (f"<div class=widget><article><p>{P1}</p></article></div><div class=widget><article><p>{P2}</p></article></div>", clean(P1, P2)),
+    (f"<article><p>{P1}</p></article><div id=comments><article class=comment-body><p>{P2}</p><p>{P2}</p><p>{P2}</p></article></div>", clean(P1)),
+    (f"<main><article><p>{P1}</p></article><article class='post ad'><p>{P2}</p></article><article class=promo><p>{P2}</p></article></main>", clean(P1)),
+    (f"<article><p>{P1}</p><div class=newsletterSignup><p>{P2}</p></div><div class='post-header'><p>{P2}</p></div></article>", clean(P1, P2)),
+])
+def test_names_drop_boilerplate_and_no_wrapper(page, want):
+    assert main_text(page) == want

@@ -35,6 +35,12 @@ BOILERPLATE = frozenset((
     " breadcrumbs footer sidebar aside masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter"
     " subscribe subscription signup login form search comment comments reply replies disqus share sharing social related recommended"
     " recommendations trending widget pagination pager toolbar copyright").split())
+#: Words that make a class or id a state, layout or topic of what it is on, not its kind: has-sidebar, content-sidebar-wrap, category-social.
+QUALIFIERS = frozenset((
+    "has no not non with without is hide hides hidden show shows open opened closed content layout category categories cat tag tags"
+    " topic type format template").split())
+#: Words of an article's class that make it an advert or a reader's comment.
+NOT_ARTICLE = frozenset("ad ads advert adverts advertisement promo promos comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _ARTICLE = frozenset(("article", "main"))
 _CLOSES_P = frozenset((
@@ -50,25 +56,36 @@ _IMPLIED = {
 }
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header" and not in_article:
-        return True
+def _names(value: str, words: frozenset) -> bool:
+    """Whether a token of a class or id is one of ``words``, or a compound that starts or ends with one and has no qualifier."""
+    for token in value.split():
+        parts = [x.lower() for x in _PARTS.findall(token)]
+        if not parts:
+            continue
+        if token.lower() in words or (parts[0] in words or parts[-1] in words) and QUALIFIERS.isdisjoint(parts):
+            return True
+    return False
+
+
+_HEADERS = BOILERPLATE | {"header"}
+
+
+def _unwanted(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never article text, and whether its class or id says that it is boilerplate."""
+    if name in DROPPED or name == "header" and not in_article:
+        return True, False
     if not attrs or name in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for m in _NAMED.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if key in ("class", "id") and name not in _ARTICLE:
-            if not BOILERPLATE.isdisjoint(x.lower() for x in _PARTS.findall(value)):
-                return True
-            if not in_article and "header" in value.lower():
-                return True
-        elif key == "class" and not BOILERPLATE.isdisjoint(("comment", "comments", "reply")) and re.search(r"\b(comment|reply|ad|promo)", value.lower()):
-            return True
-    return False
+            named = named or _names(value, BOILERPLATE if in_article else _HEADERS)
+        elif key == "class":
+            named = named or _names(value, NOT_ARTICLE)
+    return False, named
 
 
 class Page:
@@ -76,6 +93,7 @@ class Page:
 
     def __init__(self, html: str):
         self.name, self.parent, self.skip, self.article = ["#page"], [0], [False], [False]
+        self.named = [False]
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
         open_: list[int] = [0]
@@ -105,7 +123,9 @@ class Page:
             node = len(self.name)
             self.name.append(name)
             self.parent.append(up)
-            self.skip.append(self.skip[up] or _unwanted(name, m["attrs"], self.article[up]))
+            never, named = _unwanted(name, m["attrs"], self.article[up])
+            self.skip.append(self.skip[up] or never)
+            self.named.append(named)
             self.article.append(self.article[up] or name in _ARTICLE)
             if name not in INLINE:
                 self.block += 1
@@ -122,11 +142,38 @@ class Page:
             open_.append(node)
             opened[name] = opened.get(name, 0) + 1
         self._text(open_[-1], html[at:])
+        if any(self.named):
+            self._skip_named()
+        self.texts = [(node, block, entities.unescape(raw) if "&" in raw and not self.skip[node] else raw) for node, block, raw in self.texts]
+
+    def _skip_named(self) -> None:
+        """Skips what is named boilerplate, but no element around the whole content.
+
+        That is one that encloses every article and main element of the page (those apart that are skipped or named themselves), or,
+        on a page without any, most of its unlinked text. Nothing is skipped that would leave a page without text.
+        """
+        n = len(self.name)
+        held, own, linked, skip = [0] * n, [0] * n, [False] * n, self.skip[:]
+        apart = [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            linked[i] = self.name[i] == "a" or linked[up]
+            apart[i] = skip[i] or apart[up] or self.name[i] in _ARTICLE and self.named[i]
+            held[i] = int(self.name[i] in _ARTICLE and not apart[i])
+        for node, _, raw in self.texts:
+            if not linked[node]:
+                own[node] += sum(map(len, raw.split()))
+        for i in range(n - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+            own[self.parent[i]] += own[i]
+        for i in range(1, n):
+            around = held[i] == held[0] if held[0] else 2 * own[i] > own[0]
+            skip[i] = skip[i] or skip[self.parent[i]] or self.named[i] and not around
+        if any(not skip[node] and not raw.isspace() for node, _, raw in self.texts):
+            self.skip = skip
 
     def _text(self, node: int, raw: str) -> None:
-        if raw and not self.skip[node]:
-            self.texts.append((node, self.block, entities.unescape(raw) if "&" in raw else raw))
-        elif raw and self.name[node] not in RAW:
+        if raw:
             self.texts.append((node, self.block, raw))
 
     def _pop(self, open_: list[int], opened: dict[str, int]) -> str:
@@ -244,7 +291,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     The page is read as a tree; every element's characters per tag, adjusted for links, is its density. The subtree with the
     largest sum of child densities leads to the article, out of which named boilerplate (menus, headers, footers, sidebars, notices,
     adverts, forms, comments) and non-text are left out. Character references are decoded, white space in a block becomes one
-    space, blocks are joined by an empty line.
+    space, blocks are joined by an empty line. A class or id names boilerplate by a whole token (sidebar, ad-slot; not has-sidebar),
+    and never on an element around all articles of the page or, where it has none, around most of its unlinked text.
 
     A null, empty or text-less page has the empty text. Truncated pages, unclosed tags, quotes and comments end with the page.
     Pages are read whole, each alone, in the scan: repeated rows get equal texts, nothing is shuffled, an empty table gives no rows.
