@@ -2,7 +2,7 @@
 
 import random
 
-from weblode.llm.lines import chunks, dedup_lines
+from weblode.llm.lines import chunks, dedup_lines, dedup_passages
 
 SCHEMA = "doc_id long, text string, _drop int, chunk string"
 
@@ -66,3 +66,71 @@ def test_repeats_inside_one_long_document_and_repeated_rows(spark):
 def test_empty_table(spark):
     got = dedup_lines(frame(spark, []))
     assert got.collect() == [] and got.columns == ["doc_id", "text", "chunk", "_chunks_removed", "_lines_removed"]
+
+
+def runs(docs):
+    """Lines of each document in a run of 50 words or more that an earlier document has too, by comparing all pairs of documents."""
+    out = {}
+    for d, text in docs:
+        mine = text.split("\n")
+        gone = set()
+        for e, other in docs:
+            theirs = other.split("\n") if e < d else []
+            for shift in range(-len(theirs), len(mine)):
+                run = []
+                for i in [*range(max(0, shift), min(len(mine), shift + len(theirs))), None]:
+                    if i is not None and mine[i] == theirs[i - shift]:
+                        run.append(i)
+                        continue
+                    if sum(len(mine[j].split()) for j in run) >= 50:
+                        gone.update(run)
+                    run = []
+        out[d] = gone
+    return out
+
+
+def passages(spark, docs):
+    return {r.doc_id: (r.text, r._lines_removed) for r in dedup_passages(frame(spark, docs)).collect()}
+
+
+def test_planted_passages_of_one_to_eight_lines_go_whole(spark):
+    rng = random.Random(6)
+    docs, planted = [], {}
+    own = lambda: [f"own {rng.randrange(10**9)} " + "x " * rng.randrange(12) for _ in range(rng.randrange(1, 6))]
+    for n in range(1, 9):
+        for k in range(5):
+            passage = [f"passage {rng.randrange(10**9)} " + "w " * (60 // n) for _ in range(n)]
+            first, second = len(docs), len(docs) + 1
+            docs += [(first, "\n".join([*own(), *passage, *own()])), (second, "\n".join([*own(), *passage, *own()]))]
+            planted[second] = passage
+    docs += [(len(docs), docs[3][1]), (len(docs) + 1, "one line " * 30), (len(docs) + 2, "one line " * 30)]
+    want, got = runs(docs), passages(spark, docs)
+    for d, text in docs:
+        assert want[d] == set() or len(want[d]) >= len(planted.get(d, ()))
+        assert got[d] == ("\n".join(x for i, x in enumerate(text.split("\n")) if i not in want[d]), len(want[d])), d
+    for d, passage in planted.items():
+        assert not set(passage) & set(got[d][0].split("\n"))
+    assert got[len(docs) - 1][0] == "" and got[len(docs) - 3][0] == ""
+
+
+def test_passages_against_line_runs_chunks_and_what_stays(spark):
+    rng = random.Random(7)
+    pool = [f"line {i} " + "w " * rng.randrange(30) for i in range(40)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    want, got, chunked = runs(docs), passages(spark, docs), {i: n for i, _, n in brute(docs)}
+    for d, text in docs:
+        lines, left = text.split("\n"), iter(got[d][0].split("\n"))
+        assert all(any(x == y for y in lines) for x in left) and got[d][1] >= len(want[d]) and (got[d][1] > 0) >= (chunked[d] > 0)
+    assert {x for _, t in docs for x in t.split("\n")} == {x for t, _ in got.values() for x in t.split("\n") if x}
+
+
+def test_passages_of_odd_rows(spark):
+    line = "w " * 60 + "end"
+    docs = [(1, "a\n" + line), (1, "a\n" + line), (2, None), (3, ""), (None, line), (4, "\n".join([line] * 3 + ["b c"] * 60)), (5, "b c\n\nb c"), (6, "b c\n\nb c")]
+    got = sorted(((r.doc_id, r.text, r._lines_removed) for r in dedup_passages(frame(spark, docs)).collect()), key=str)
+    kept = [t.count("b c") for i, t, _ in got if i == 4]
+    assert 25 <= kept[0] < 60 and [g for g in got if g[0] != 4] == sorted(
+        [(1, "a\n" + line, 0), (1, "a\n" + line, 0), (2, None, 0), (3, "", 0), (None, line, 0), (5, "b c\n\nb c", 0), (6, "", 3)], key=str)
+    assert all(line not in t for i, t, _ in got if i == 4)
+    empty = dedup_passages(frame(spark, []))
+    assert empty.collect() == [] and empty.columns == ["doc_id", "text", "chunk", "_lines_removed"]

@@ -20,6 +20,8 @@ SPARSE = 3
 BASE = 1_000_003
 MODULUS = 2_147_483_647
 FILTER_BITS = 23
+#: Words from which on a run of lines is a passage.
+PASSAGE_WORDS = 50
 
 
 def line_hash(line: str) -> int:
@@ -162,3 +164,126 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left").drop("_gone_id")
     counts = [T.StructField("_chunks_removed", T.IntegerType()), T.StructField("_lines_removed", T.IntegerType())]
     return joined.mapInArrow(_removed(joined.columns), T.StructType(docs.schema.fields + counts))
+
+
+def spans(text: str) -> set[tuple[int, int]]:
+    """(first line, line after the last) of every span of a text that is looked for elsewhere.
+
+    From every line on, and up to every line, the fewest lines with ``PASSAGE_WORDS`` words; the chunks of two lines or more; all of
+    a text of two lines or more. Each depends on its own lines alone, and the first two kinds cover every line of every run of that
+    many words: a line with too few words between it and the end of a run is in the span that ends there. So two texts have a run in
+    common just where they have its spans in common. Blank spans are left out.
+    """
+    lines = text.split("\n")
+    total = [0]
+    for line in lines:
+        total.append(total[-1] + len(line.split()))
+    out, end = set(), 1
+    for start in range(len(lines)):
+        end = max(end, start + 1)
+        while end <= len(lines) and total[end] - total[start] < PASSAGE_WORDS:
+            end += 1
+        if end > len(lines):
+            break
+        out.add((start, end))
+    start = len(lines) - 1
+    for end in range(len(lines), 0, -1):
+        start = min(start, end - 1)
+        while start >= 0 and total[end] - total[start] < PASSAGE_WORDS:
+            start -= 1
+        if start < 0:
+            break
+        out.add((start, end))
+    start = 0
+    for n, _ in chunks(text):
+        out.add((start, start + n))
+        start += n
+    out.add((0, len(lines)))
+    return {(a, b) for a, b in out if total[b] > total[a] and (b - a > 1 or total[b] - total[a] >= PASSAGE_WORDS)}
+
+
+_SPAN = "doc_id long, start int, n int, h1 long, h2 long"
+
+
+def _spans_of(wanted=None):
+    """A row for every span, or those whose hash the filter lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else wanted.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                if not text or doc_id is None:
+                    continue
+                lines = text.split("\n")
+                for start, end in spans(text):
+                    a, b = _digest("\n".join(lines[start:end]))
+                    at = (a & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                    if bits is None or bits[at >> 3] >> (at & 7) & 1:
+                        rows.append((doc_id, start, end - start, a, b))
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "n", "h1", "h2"])
+    return run
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n, h1, h2) of the spans to remove: equal to one of an earlier document, or earlier in the same and apart from it.
+
+    Equal are spans of equal 128-bit BLAKE2b digest. Digests are counted map-side; only those behind a filter of repeated ones are
+    shuffled with their place, texts never.
+    """
+    ship(docs.sparkSession)
+    text = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    counted = text.mapInArrow(_spans_of(), _SPAN).groupBy("h1", "h2").agg(
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"))
+    again = written(counted.filter("copies > 1").select("h1", "h2", "first"), "spans-again")
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in again.select("h1").mapInArrow(_marks, "at int, mask int").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+        bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+    return (text.mapInArrow(_spans_of(wanted), _SPAN).join(again, ["h1", "h2"])
+            .filter("doc_id > first.doc_id or start >= first.start + n").select("doc_id", "start", "n", "h1", "h2"))
+
+
+def _without_spans(names: list[str]):
+    text_at, drop_at = names.index("text"), names.index("_drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = [], []
+            for text, drop in zip(batch.column(text_at), batch.column(drop_at)):
+                text, drop = text.as_py(), drop.as_py()
+                if text is None or not drop:
+                    texts.append(text)
+                    gone.append(0)
+                    continue
+                lines = text.split("\n")
+                stays = [True] * len(lines)
+                for x in drop:  # of rows that share a doc_id only those lose a span that have it
+                    end = x["start"] + x["n"]
+                    if end <= len(lines) and _digest("\n".join(lines[x["start"]:end])) == (x["h1"], x["h2"]):
+                        stays[x["start"]:end] = [False] * x["n"]
+                texts.append("\n".join(line for line, stay in zip(lines, stays) if stay))
+                gone.append(stays.count(False))
+            columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(len(names)) if i != drop_at]
+            yield pa.record_batch([*columns, pa.array(gone, pa.int32())], names=[n for n in names if n != "_drop"] + ["_lines_removed"])
+    return run
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with every repeated passage removed from ``text`` whole; adds _lines_removed.
+
+    A passage is a run of whole lines with 50 words or more that an earlier document has too, or the same one earlier and apart;
+    besides go all chunks that ``dedup_lines`` removes, and all of a text of two lines or more that an earlier one equals. Of every
+    line a copy stays. Shorter runs and single lines of fewer words stay unless they are such a chunk or text.
+
+    Every row comes back with its other columns unchanged. A null text stays null, a text all of whose lines go becomes empty. Columns
+    of the names used here (_lines_removed, _drop, _gone_id) are replaced. Rows with a null doc_id are neither counted nor changed; rows
+    that share a doc_id are one document, equal places in it are one. An empty table gives no rows.
+    """
+    docs = docs.drop("_lines_removed", "_drop", "_gone_id")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    gone = repeated_spans(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list(F.struct("start", "n", "h1", "h2")).alias("_drop"))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left").drop("_gone_id")
+    return joined.mapInArrow(_without_spans(joined.columns), T.StructType([*docs.schema.fields, T.StructField("_lines_removed", T.IntegerType())]))

@@ -12,7 +12,7 @@ from weblode.llm.exact import exact_groups
 from weblode.llm.extract import extract_text
 from weblode.llm.jaccard import jaccard_components
 from weblode.llm.language import held_out, learn, predict
-from weblode.llm.lines import dedup_lines
+from weblode.llm.lines import dedup_lines, dedup_passages
 from weblode.llm.mixing import mixture
 from weblode.llm.pieces import encode
 from weblode.llm.quality import quality_measures
@@ -108,8 +108,13 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_chunks_removed").alias("chunks_removed"), F.col("_lines_removed").alias("lines_removed"), "text")
 
 
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_passages(_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_lines_removed").alias("lines_removed"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lookup_sharding, op2_language_id, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_text_density, op7_exact_dedup,
-        op8_jaccard_join, op9_sainte_lague_mix, op10_line_chunks)
+        op8_jaccard_join, op9_sainte_lague_mix, op10_line_chunks, op10_line_passages)
 }
