@@ -1,6 +1,6 @@
 """DuckDB twins of the queries in this subpackage, where SQL can express them.
 
-Language, quality (compression), sharding (turn taking), pieces and extraction have none; the tests hold them against brute force,
+Language, quality (compression), sharding (turn taking), pieces, extraction and whitening (eigenvectors) have none; the tests hold them against brute force,
 a library's own answer, or held-out labels.
 """
 
@@ -121,6 +121,44 @@ SELECT d.doc_id, coalesce(count(*) FILTER (gone), 0)::INT AS chunks_removed, coa
 FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS s FROM documents),
+h AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::BIGINT) AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN
+      list_transform(generate_series(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY 1),
+same AS (SELECT doc_id, list_sort(list(g)) AS gs FROM s GROUP BY 1),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM same)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept,
+  coalesce(cls.class_id, d.doc_id) AS class_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id LEFT JOIN cls ON cls.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
-    "op3_url_filter": OP3, "op7_exact_dedup": OP7, "op8_jaccard_join": OP8, "op9_sainte_lague_mix": OP9, "op10_line_chunks": OP10,
+    "op3_url_filter": OP3, "op7_exact_dedup": OP7, "op8_jaccard_join": OP8, "op9_sainte_lague_mix": OP9, "op10_line_chunks": OP10, "op11_fill_in_middle": OP11,
+    "op13_superminhash": OP13,
 }

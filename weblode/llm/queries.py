@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weblode.functions.urls import host_of
 from weblode.llm.exact import exact_groups
 from weblode.llm.extract import extract_text
+from weblode.llm.infill import fill_in_middle, restored
 from weblode.llm.jaccard import jaccard_components
 from weblode.llm.language import held_out, learn, predict
 from weblode.llm.lines import dedup_lines, dedup_passages
@@ -17,7 +18,9 @@ from weblode.llm.mixing import mixture
 from weblode.llm.pieces import encode
 from weblode.llm.quality import quality_measures
 from weblode.llm.sharding import place
+from weblode.llm.superminhash import near_duplicates
 from weblode.llm.urlfilter import filter_urls, rule_keys
+from weblode.llm.whiten import fit, identity_error, whiten
 
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
 DAY = 86_400
@@ -113,8 +116,31 @@ def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines_removed").alias("lines_removed"), "text")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_documents(spark, sf_dir), seed=7, fim_percent=100, spm_percent=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and components; ``deviation`` is null where it leaves 64 bits (the operator has it as a decimal)."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = fit(vectors)
+    white = whiten(vectors, model, ["vec_id"], k=8)
+    error = identity_error(white, min(8, len(model.eigenvalues)))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained[:8]]).cast("array<double>")
+    entries = white.select("vec_id", F.expr("try_cast(deviation as long)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return entries.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                          F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lookup_sharding, op2_language_id, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_text_density, op7_exact_dedup,
-        op8_jaccard_join, op9_sainte_lague_mix, op10_line_chunks, op10_line_passages)
+        op8_jaccard_join, op9_sainte_lague_mix, op10_line_chunks, op10_line_passages, op11_fill_in_middle, op12_polarised_whitening,
+        op13_superminhash)
 }
