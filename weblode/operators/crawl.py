@@ -23,13 +23,13 @@ from weblode.functions.urls import canonical_url, host_of, strip_fragment, with_
 from weblode.sources.stages import written
 
 
-def _absolute(df: DataFrame, url: str, out: str) -> DataFrame:
+def absolute(df: DataFrame, url: str, out: str) -> DataFrame:
     return with_resolved(df.withColumn("_self", F.col(url)), url, "_self", out).drop("_self")
 
 
 def page_index(pages: DataFrame, key=canonical_url) -> DataFrame:
     """One captured page per crawl key: the first by id, so copies of a page collapse map-side."""
-    keyed = _absolute(pages.select("page_id", "url"), "url", "full").select("page_id", key(F.col("full")).alias("key"))
+    keyed = absolute(pages.select("page_id", "url"), "url", "full").select("page_id", key(F.col("full")).alias("key"))
     return keyed.groupBy("key").agg(F.min("page_id").alias("page_id"))
 
 
@@ -68,7 +68,7 @@ def deep_crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, config: Cra
     narrow = followable(links, config).select(
         F.col("page_id").alias("from_id"), F.col("page_url").alias("discovered_from"), F.col("ord").alias("link_ord"),
         "url", "key", "category", "source", "discovery_reason")
-    roots = _absolute(seeds.select("crawl_id", "url"), "url", "full").withColumn("key", canonical_url(F.col("full")))
+    roots = absolute(seeds.select("crawl_id", "url"), "url", "full").withColumn("key", canonical_url(F.col("full")))
     nothing = F.lit(None).cast("string")
     level = roots.join(index, "key", "left").select(
         "crawl_id", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("claim"), F.lit(True).alias("claimed"),
@@ -94,10 +94,12 @@ def deep_crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, config: Cra
 
 
 def crawled_pages(crawl: DataFrame) -> DataFrame:
-    """Visited pages with the error of those without a capture."""
+    """Visited pages with their error: that of a crawl over a fetch log, or ``unreachable`` where no capture is known."""
+    missing = F.when(F.col("page_id").isNull(), "unreachable")
+    error = F.coalesce("error", missing) if "error" in crawl.columns else missing
     return crawl.filter("claimed").select(
-        "crawl_id", "depth", "claim", "url", "page_id", "discovered_from", "discovery_reason",
-        F.when(F.col("page_id").isNull(), "unreachable").alias("error"))
+        "crawl_id", "depth", "claim", "url", "page_id", "discovered_from", "discovery_reason", error.alias("error"),
+        *(["at_ms"] if "at_ms" in crawl.columns else []))
 
 
 def discovery_edges(crawl: DataFrame) -> DataFrame:
@@ -170,17 +172,22 @@ def link_stats(links: DataFrame) -> DataFrame:
 
 
 def classify_pages(crawl_pages: DataFrame, media: DataFrame, stats: DataFrame, facts: DataFrame) -> DataFrame:
-    """Page results of each crawl: title, media count, possible_spa and page kind."""
+    """Page results of each crawl: title, media count, possible_spa and page kind.
+
+    Pages without a capture have no facts, links or media; they pass beside the joins, so they never meet on their null id.
+    """
     found = media.groupBy("crawl_id", "page_id", "claim").agg(F.count("*").alias("media_count"))
     per_page = facts.select("page_id", "title", "text_length").join(stats, "page_id", "left")
-    rows = crawl_pages.join(per_page, "page_id", "left").join(found, ["crawl_id", "page_id", "claim"], "left")
+    captured = crawl_pages.filter("page_id IS NOT NULL").join(per_page, "page_id", "left").join(found, ["crawl_id", "page_id", "claim"], "left")
+    rows = captured.unionByName(crawl_pages.filter("page_id IS NULL"), allowMissingColumns=True)
     counts = ["hub_links", "interactive_links", "content_links", "platform_links", "link_count", "media_count"]
     rows = rows.fillna(0, counts)
     ok = F.col("error").isNull()
     spa = F.coalesce(ok & (F.col("text_length") < 500) & (F.col("link_count") < 3), F.lit(False))
     return rows.select(
-        "crawl_id", "claim", "url", "depth", "page_id", "title", "media_count", "error", spa.alias("possible_spa"),
-        F.when(~ok, "unknown").otherwise(page_kind(spa)).alias("page_kind"), "discovered_from", "discovery_reason")
+        "crawl_id", "claim", "url", "depth", "page_id", F.when(ok, F.col("title")).alias("title"), "media_count", "error", spa.alias("possible_spa"),
+        F.when(~ok, "unknown").otherwise(page_kind(spa)).alias("page_kind"), "discovered_from", "discovery_reason",
+        *(["at_ms"] if "at_ms" in crawl_pages.columns else []))
 
 
 def page_kind(spa: Column) -> Column:
@@ -195,10 +202,11 @@ def page_kind(spa: Column) -> Column:
 
 
 def crawl_summary(page_results: DataFrame) -> DataFrame:
-    """Totals per crawl."""
+    """Totals per crawl; with fetch times, also the time from the first page's answer to the last one's."""
+    timed = [(F.max("at_ms") - F.min("at_ms")).alias("duration_ms")] if "at_ms" in page_results.columns else []
     return page_results.groupBy("crawl_id").agg(
         F.count("*").alias("pages_crawled"), F.count_if(F.col("error").isNotNull()).alias("pages_with_errors"),
-        F.sum("media_count").alias("total_media"), F.min_by("url", "claim").alias("original_url"))
+        F.sum("media_count").alias("total_media"), F.min_by("url", "claim").alias("original_url"), *timed)
 
 
 def crawl_report(page_results: DataFrame, media: DataFrame) -> DataFrame:
@@ -213,8 +221,8 @@ def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFram
                       config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """The crawl as an ordered log of named JSON events: crawl_id, seq (sortable struct), event, data.
 
-    ``crawl_complete`` lists the page results of the crawl, at most its page budget; captured tables have no clock, so its
-    duration is null.
+    ``crawl_complete`` comes after the deepest page and lists the page results of the crawl, at most its page budget; its duration is
+    null unless the results have the times of a fetch log.
     """
     def event(df: DataFrame, name: str, stage: int, at: list, **fields) -> DataFrame:
         a, b, c = (at + [F.lit(0)] * 3)[:3]
@@ -231,7 +239,8 @@ def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFram
     claimed = queued.filter("claimed")
     results = page_results.withColumn("_depth", c("depth"))
     found = media.withColumn("_depth", c("depth"))
-    summary = crawl_summary(page_results).withColumn("_depth", F.lit(99))
+    summary = crawl_summary(page_results).withColumn("_depth", F.lit(config.max_depth + 1))
+    duration = c("duration_ms") if "duration_ms" in summary.columns else F.lit(None)
     listed = page_results.groupBy("crawl_id").agg(F.array_sort(F.collect_list(F.struct(
         "claim", "url", "depth", "title", c("media_count").alias("mediaCount"), "error", c("possible_spa").alias("possibleSpa"),
         c("page_kind").alias("pageKind"), c("discovery_reason").alias("discoveryReason")))).alias("results"))
@@ -251,7 +260,7 @@ def emit_crawl_events(crawl: DataFrame, page_results: DataFrame, media: DataFram
               mediaCount=c("media_count"), depth=c("depth")),
         event(summary, "crawl_complete", 3, [], originalUrl=c("original_url"), totalPages=c("pages_crawled"),
               pagesWithErrors=c("pages_with_errors"), totalMedia=c("total_media"), results=F.transform(
-                  "results", lambda r: r.dropFields("claim")), crawlDurationMs=F.lit(None).cast("long")),
+                  "results", lambda r: r.dropFields("claim")), crawlDurationMs=duration.cast("long")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -267,7 +276,7 @@ def shallow_crawl(seeds: DataFrame, pages: DataFrame, page_links: DataFrame, ass
     """
     index = page_index(pages, strip_fragment)
     links = page_links.select(F.col("page_id").alias("from_id"), F.col("url").alias("key"), F.col("pos").alias("link_ord"))
-    roots = _absolute(seeds.select("crawl_id", "url"), "url", "full").withColumn("key", strip_fragment(F.col("full")))
+    roots = absolute(seeds.select("crawl_id", "url"), "url", "full").withColumn("key", strip_fragment(F.col("full")))
     level = roots.join(index, "key").select(
         "crawl_id", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("claim"), F.lit(True).alias("scanned"),
         F.lit(1).cast("long").alias("done"), "key", "page_id", host_of(F.col("full")).alias("host"))

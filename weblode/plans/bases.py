@@ -66,6 +66,25 @@ BASES: dict[str, str] = {
         UNION ALL
         SELECT p.page_id, p.url, CAST(4 AS BIGINT), t.url, 'external', 'anchor', 1 = 0, CAST(NULL AS STRING)
         FROM {pages} p JOIN {pages} t ON t.page_id = p.page_id - p.page_id % 50 + (2 * p.page_id) % 50""",
+    # what a crawler of these pages would have logged: redirects of up to seven hops, loops and faults, retries, every class of error
+    "crawl_fetches": f"""
+        SELECT regexp_replace(p.url, '#.*', '') AS url, 1 AS attempt,
+               CAST(CASE WHEN p.page_id % 29 IN (19, 20, 21, 22) THEN NULL WHEN p.page_id % 29 IN (1, 10, 12, 14, 16, 23, 26) THEN 301
+                         WHEN p.page_id % 29 IN (2, 11, 13, 15, 24, 25) THEN 302 WHEN p.page_id % 29 = 4 THEN 404 WHEN p.page_id % 29 = 5 THEN 403
+                         WHEN p.page_id % 29 = 6 THEN 429 WHEN p.page_id % 29 IN (7, 28) THEN 503 WHEN p.page_id % 29 = 8 THEN 500 ELSE 200 END AS INT) AS status,
+               CASE WHEN p.page_id % 29 IN (1, 2, 10, 11, 12, 13, 14, 15, 16) THEN t.url WHEN p.page_id % 29 = 24 THEN 'https://10.0.0.9/x'
+                    WHEN p.page_id % 29 = 25 THEN 'mailto:a@example.com' WHEN p.page_id % 29 = 26 THEN p.url END AS location,
+               CASE WHEN p.page_id % 29 = 9 THEN 'image/png' WHEN p.page_id % 2 = 0 THEN 'application/xhtml+xml' ELSE 'text/html; charset=utf-8' END AS content_type,
+               CAST(CASE WHEN p.page_id % 29 = 18 THEN 6000000 END AS BIGINT) AS content_length, CAST(length(p.html) AS INT) AS body_chars,
+               CASE p.page_id % 29 WHEN 19 THEN 'The operation was aborted due to timeout' WHEN 20 THEN 'Blocked: private IP'
+                    WHEN 21 THEN 'getaddrinfo ENOTFOUND' WHEN 22 THEN 'odd failure' END AS error,
+               CAST(1700000000000 + p.page_id * 250 AS BIGINT) AS at_ms
+        FROM {{pages}} p JOIN {{pages}} t ON t.page_id = p.page_id - p.page_id % 50 + (p.page_id + 1) % 50 WHERE p.page_id % 29 <> 27
+        UNION ALL
+        SELECT regexp_replace(p.url, '#.*', ''), 2, CAST(CASE p.page_id % 29 WHEN 7 THEN 200 WHEN 8 THEN 502 ELSE 302 END AS INT),
+               CASE WHEN p.page_id % 29 = 28 THEN t.url END, 'text/html', CAST(NULL AS BIGINT), CAST(length(p.html) AS INT), CAST(NULL AS STRING),
+               CAST(1700000002000 + p.page_id * 250 AS BIGINT)
+        FROM {{pages}} p JOIN {{pages}} t ON t.page_id = p.page_id - p.page_id % 50 + (p.page_id + 1) % 50 WHERE p.page_id % 29 IN (7, 8, 28)""",
     # logs
     "page_fetches": f"""
         SELECT 'https://h' || CAST(o_custkey % 40 AS STRING) || '.example.com/' || CAST(o_orderkey AS STRING) AS url,

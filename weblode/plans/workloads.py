@@ -16,7 +16,7 @@ from weblode.functions.urls import (
     canonical_url, compact_url, host_of, is_private_host, is_subdomain, same_domain, strip_fragment, truncate_url,
     url_extension, with_resolved,
 )
-from weblode.operators import admission, crawl, embeds, links, media, results, tokens
+from weblode.operators import admission, crawl, embeds, fetchlog, links, media, results, tokens
 from weblode.plans.bases import base
 from weblode.plans.enrich import enriched, linked
 from weblode.sources.pages import scan_pages, spread
@@ -152,6 +152,42 @@ def discovery_edges(spark, sf_dir):
         "crawl_id", "depth", "category", "source", "discovery_reason").agg(F.count("*").alias("edges"))
 
 
+def fetch_outcomes(spark, sf_dir):
+    return fetchlog.fetch_outcomes(base(spark, sf_dir, "crawl_fetches"))
+
+
+def deep_crawl_logged(spark, sf_dir):
+    pages, seeds, edges = _graph(spark, sf_dir)
+    found = fetchlog.deep_crawl_logged(seeds, pages, edges, base(spark, sf_dir, "crawl_fetches"), CRAWL)
+    return found.select("crawl_id", "depth", "claim", "claimed", "page_id", "url", "final_url", "hops", "attempt", "error", "discovery_reason")
+
+
+def _logged_results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pages, seeds, edges = _graph(spark, sf_dir)
+    found = fetchlog.deep_crawl_logged(seeds, pages, edges, base(spark, sf_dir, "crawl_fetches"), CRAWL)
+    stats = crawl.link_stats(edges.withColumn("interactive", F.col("source") != "anchor"))
+    nothing = found.select("crawl_id", "page_id", "claim").limit(0)
+    return found, crawl.classify_pages(crawl.crawled_pages(found), nothing, stats, tokens.page_facts(_pages(spark, sf_dir)))
+
+
+def classify_pages_logged(spark, sf_dir):
+    return _logged_results(spark, sf_dir)[1].drop("discovered_from")
+
+
+def crawl_summary_logged(spark, sf_dir):
+    return crawl.crawl_summary(_logged_results(spark, sf_dir)[1])
+
+
+def crawl_events_logged(spark, sf_dir):
+    """Errors and ends of the logged crawls as events."""
+    found, page_results = _logged_results(spark, sf_dir)
+    shown = found.select("crawl_id", "depth", "claim", F.lit(1).alias("ord"), F.col("url").alias("page_url"), *[F.lit(None).cast("string").alias(m) for m in crawl.MEDIA if m != "url"], "url").limit(0)
+    log = crawl.emit_crawl_events(found, page_results, shown, CRAWL).filter("event IN ('page_error', 'crawl_complete')")
+    return log.select("crawl_id", *[F.col(f"seq.{k}").alias(k) for k in ("depth", "a")], "event", *[
+        F.get_json_object("data", f"$.{path}").alias(name) for name, path in {
+            "url": "url", "error": "error", "total_pages": "totalPages", "with_errors": "pagesWithErrors", "duration": "crawlDurationMs"}.items()])
+
+
 _STAGES: dict[tuple, dict[str, DataFrame]] = {}
 
 
@@ -375,7 +411,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, media_by_source, player_videos,
         discover_links, link_priorities, possible_spa, discover_embeds, classify_platform, classify_platform_strict,
-        file_names, content_dispositions, deep_crawl, discovery_edges, merge_page_media, dedup_media_across_pages,
+        file_names, content_dispositions, deep_crawl, discovery_edges, fetch_outcomes, deep_crawl_logged, classify_pages_logged,
+        crawl_summary_logged, crawl_events_logged, merge_page_media, dedup_media_across_pages,
         classify_pages, crawl_summary, emit_crawl_events, crawl_event_counts, crawl_report, shallow_crawl, media_counts, media_facets,
         page_kind_facet, search_media, filter_media, page_entries, selection_ops, assets_for_bundle, display_fields,
         gallery_page, admit_pages_analyse, admit_pages_crawl, resolve_retries, resolve_redirects, host_safety,
