@@ -1,10 +1,10 @@
 """HTML as a table.
 
 A page is cut into tokens by one linear-time regular expression (possessive quantifiers, no
-backtracking). Ancestry is then a fold over the page's own token array: the state is the stack of
-open elements, so a page costs O(tokens x depth) and **nothing is shuffled** — the only wide data,
-the HTML itself, never leaves the task that scanned it. Memory is bounded by the admission limit on
-page size, however many pages there are and whatever site they come from.
+backtracking). Its elements are then matched as intervals of its own token array in one linear pass
+(``intervals``), and **nothing is shuffled** — the only wide data, the HTML itself, never leaves the
+task that scanned it. Memory is bounded by the admission limit on page size, however many pages there
+are and whatever site they come from.
 
 Generators are the outer kind throughout: the inner kind makes the optimizer infer a non-empty filter
 that evaluates the whole tokenisation a second time below the projection.
@@ -17,12 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import (
-    AD_WORDS, CLOSES_P, HEAD_ELEMENTS, META_VIDEO_PROPS, RAW_ELEMENTS, SVG_LEAVES, VOID_ELEMENTS,
+    AD_WORDS, HEAD_ELEMENTS, META_VIDEO_PROPS, RAW_ELEMENTS, SVG_LEAVES, VOID_ELEMENTS,
 )
 from weblode.functions.text import (
     START_TAG, START_TAG_BODY, attr_names, attr_tokens, attr_values, built_once, collapse_space, decode_entities,
     has_word, let, trim_space, utf16_length,
 )
+from weblode.operators.intervals import OUT, intervals
 
 # an opener without its end takes the rest of the page, so no part of a page is read twice
 TOKEN = (
@@ -41,10 +42,7 @@ _WANTED_NAMES = [
     "a", "button", "img", "source", "video", "picture", "iframe", "embed", "object", "script", "style", "noscript",
     "amp-youtube", "lite-youtube", "amp-vimeo",
 ]
-_WANTED = (
-    rf"(?i)^<(?:{'|'.join(_WANTED_NAMES)})[\s/>]"
-    r"|[\s\"'/](?:style|onclick|role|formaction|videoid|data-[a-z0-9_-]+)\s*="
-)
+_WANTED_ATTRIBUTE = r"(?i)[\s\"'/](?:style|onclick|role|formaction|videoid|data-[a-z0-9_-]+)\s*="
 META_PROPS = META_VIDEO_PROPS + ["og:image"]
 
 
@@ -104,33 +102,29 @@ def with_inside(tags: DataFrame, *names: str, out: str = "inside") -> DataFrame:
     return tags.withColumn(out, F.coalesce(F.sum(F.coalesce(step, F.lit(0))).over(upto), F.lit(0)) > 0)
 
 
-# ---- the fold ----------------------------------------------------------------------------------
-
-_STACK = "array<struct<n:string,p:int,nav:boolean,ad:boolean,m:boolean,t:int,pic:int,vid:int>>"
-_OUT = (
-    "array<struct<i:int,n:string,k:int,t:int,e:int,pp:int,pt:int,nav:boolean,ad:boolean,inpic:boolean,pic:int,vid:int,"
-    "lead:boolean>>"
-)
-_ENDS = "array<struct<p:int,t:int,i:int>>"
+# ---- classified tokens -----------------------------------------------------------------------------
 
 
 def _classified(toks: Column, text: bool) -> Column:
-    def entry(i, n, k, w, ad, x) -> Column:
-        return F.struct(i.alias("i"), n.alias("n"), k.alias("k"), w.alias("w"), ad.alias("ad"), x.alias("x"))
+    """What the pass over a page needs of each token. Attributes are looked at only in tags that have some."""
+    def entry(i, n, k, w, ad, al, x) -> Column:
+        return F.struct(i.alias("i"), n.alias("n"), k.alias("k"), w.alias("w"), ad.alias("ad"), al.alias("al"), x.alias("x"))
 
     no, none = F.lit(False), F.lit(None).cast("string")
     words = lambda tok: collapse_space(_text_of(tok)) if text else none
 
     def tag(tok: Column, i: Column) -> Column:
+        given = F.contains(tok, F.lit("="))
         return let(token_name(tok), lambda n: let(token_kind(tok, n), lambda k: entry(
-            i, n, k, (k != CLOSE) & tok.rlike(_WANTED),
-            F.when((k == OPEN) & tok.rlike("(?i)[\\s\"'/](?:class|id|role)\\s*="), _region(tok)).otherwise(no),
+            i, n, k, (k != CLOSE) & (n.isin(_WANTED_NAMES) | (given & tok.rlike(_WANTED_ATTRIBUTE))),
+            F.when((k == OPEN) & given & tok.rlike("(?i)[\\s\"'/](?:class|id|role)\\s*="), _region(tok)).otherwise(no),
+            F.when(n == "img", (k != CLOSE) & tok.rlike(r"(?i)[\s\"'/]alt[\s=/>]")).otherwise(no) if text else no,
             F.when(k == RAW, words(tok)))))
 
     def one(tok: Column, i: Column) -> Column:
-        return F.when(tok.rlike("^</?[a-zA-Z]"), tag(tok, i)).otherwise(entry(
-            i, F.lit(""), F.when(tok.startswith("<!") | tok.startswith("<?"), SKIP).otherwise(TEXT), no, no,
-            F.when(~tok.startswith("<!") & ~tok.startswith("<?"), words(tok))))
+        mark = F.substring(tok, 2, 1)
+        return F.when(~tok.startswith("<") | (mark == ""), entry(i, F.lit(""), F.lit(TEXT), no, no, no, words(tok))).when(
+            mark.isin("!", "?"), entry(i, F.lit(""), F.lit(SKIP), no, no, no, none)).otherwise(tag(tok, i))
 
     return F.filter(F.transform(toks, one), lambda x: ~x.k.isin(*([SKIP] if text else [SKIP, TEXT])))
 
@@ -148,105 +142,6 @@ def _region(tok: Column) -> Column:
     return F.when(tok.rlike(hint), let(attr_tokens(tok), full)).otherwise(F.lit(False))
 
 
-def _closed_by(n: Column, top: Column) -> Column:
-    """Does opening ``n`` end the element on top of the stack without its end tag?"""
-    return (
-        ((top == "p") & n.isin(CLOSES_P))
-        | ((top == "li") & (n == "li"))
-        | (top.isin("dt", "dd") & n.isin("dt", "dd"))
-        | (top.isin("td", "th") & n.isin("td", "th", "tr"))
-        | ((top == "tr") & (n == "tr"))
-        | ((top == "option") & n.isin("option", "optgroup"))
-    )
-
-
-def _fold(classified: Column) -> Column:
-    """Walk one page's tags keeping the stack of open elements, and how many characters of the page's text come before each.
-
-    The text is that of all text tokens with every run of white space made one space: a token's first space does not count
-    after a token that ended with one.
-
-    Intermediate values are bound with a one-element ``aggregate`` over the state: unlike ``transform`` it
-    hands its result on without copying, so the growing output is never copied per tag.
-    """
-
-    def bind(a: Column, value: Column, body) -> Column:
-        return F.aggregate(F.array(value), a, body)
-
-    def state(t, sp, stack, out, ends, lead) -> Column:
-        return F.struct(t.alias("t"), sp.alias("sp"), stack.alias("stack"), out.alias("out"), ends.alias("ends"), lead.alias("lead"))
-
-    def after(a: Column, x: Column) -> Column:
-        return a.t + F.coalesce(F.length(x.x) - F.when(a.sp & x.x.startswith(" "), 1).otherwise(0), F.lit(0))
-
-    def spaced(a: Column, x: Column) -> Column:
-        return F.when(F.coalesce(x.x, F.lit("")) == "", a.sp).otherwise(F.endswith(x.x, F.lit(" ")))
-
-    def ended(a: Column, x: Column, keep: Column) -> Column:
-        """End positions of the marked elements above ``keep``."""
-        popped = F.slice(a.stack, keep + 1, F.size(a.stack) - keep)
-        return F.when(F.exists(popped, lambda s: s.m), F.concat(a.ends, F.transform(
-            F.filter(popped, lambda s: s.m),
-            lambda s: F.struct(s.p.alias("p"), a.t.alias("t"), x.i.alias("i"))))).otherwise(a.ends)
-
-    def close(a: Column, x: Column) -> Column:
-        at = F.array_position(F.reverse(F.transform(a.stack, lambda s: s.n)), x.n).cast("int")
-        return bind(a, F.size(a.stack) - at, lambda a, keep: F.when(keep == F.size(a.stack), a).otherwise(
-            state(a.t, a.sp, F.slice(a.stack, F.lit(1), keep), a.out, ended(a, x, keep), a.lead)))
-
-    def place(a: Column, x: Column) -> Column:
-        size = F.size(a.stack)
-        implied = (x.k == OPEN) & (size > 0) & _closed_by(x.n, F.get(a.stack, size - 1).n)
-        depth = F.when(implied, size - 1).otherwise(size)
-        return bind(a, depth, lambda a, d: bind(
-            a, F.struct(d.alias("d"), F.get(a.stack, d - 1).alias("top")), lambda a, v: put(a, x, v.d, v.top)))
-
-    def put(a: Column, x: Column, depth: Column, top: Column) -> Column:
-        implied = depth < F.size(a.stack)
-        nav = F.coalesce(top.nav, F.lit(False))
-        in_picture_img = (x.n == "img") & top.pic.isNotNull()
-        entry = F.struct(
-            x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), a.t.alias("t"), after(a, x).alias("e"),
-            F.coalesce(top.p, F.lit(-1)).alias("pp"), F.coalesce(top.t, F.lit(0)).alias("pt"), nav.alias("nav"),
-            F.exists(F.slice(a.stack, F.greatest(depth - 7, F.lit(1)), F.least(depth, F.lit(8))),
-                     lambda s: s.ad).alias("ad"),
-            F.coalesce(top.n == "picture", F.lit(False)).alias("inpic"), top.pic.alias("pic"), top.vid.alias("vid"),
-            (in_picture_img & ~a.lead.eqNullSafe(top.pic)).alias("lead"),
-        )
-        # the parent of a wanted element needs its end recorded, so it is marked
-        under = F.when(
-            x.w & (depth > 0) & ~top.m,
-            F.array_append(F.slice(a.stack, F.lit(1), depth - 1), F.struct(
-                top.n.alias("n"), top.p.alias("p"), top.nav.alias("nav"), top.ad.alias("ad"), F.lit(True).alias("m"),
-                top.t.alias("t"), top.pic.alias("pic"), top.vid.alias("vid"))),
-        ).when(implied, F.slice(a.stack, F.lit(1), depth)).otherwise(a.stack)
-        own = F.struct(
-            x.n.alias("n"), x.i.alias("p"), (nav | x.n.isin("nav", "header", "footer")).alias("nav"), x.ad.alias("ad"),
-            x.w.alias("m"), a.t.alias("t"), F.when(x.n == "picture", x.i).otherwise(top.pic).alias("pic"),
-            F.when(x.n == "video", x.i).otherwise(top.vid).alias("vid"),
-        )
-        return state(
-            after(a, x), spaced(a, x),
-            F.when(x.k == OPEN, F.array_append(under, own)).otherwise(under),
-            F.when(x.w, F.array_append(a.out, entry)).otherwise(a.out),
-            F.when(implied, ended(a, x, depth)).otherwise(a.ends),
-            F.when(in_picture_img, top.pic).otherwise(a.lead),
-        )
-
-    zero = F.struct(
-        F.lit(0).alias("t"), F.lit(False).alias("sp"), F.array().cast(_STACK).alias("stack"), F.array().cast(_OUT).alias("out"),
-        F.array().cast(_ENDS).alias("ends"), F.lit(None).cast("int").alias("lead"),
-    )
-    return F.aggregate(
-        classified, zero,
-        lambda a, x: F.when(x.k == TEXT, state(after(a, x), spaced(a, x), a.stack, a.out, a.ends, a.lead))
-        .when(x.k == CLOSE, close(a, x))
-        .when((x.k == OPEN) | x.w, place(a, x))
-        .when(x.k == RAW, state(after(a, x), spaced(a, x), a.stack, a.out, a.ends, a.lead))
-        .otherwise(a),
-        lambda a: F.struct(a.t.alias("t"), a.out.alias("out"), a.ends.alias("ends")))
-
-
 def _page_text(classified: Column) -> Column:
     return collapse_space(F.array_join(F.transform(F.filter(classified, lambda x: x.x.isNotNull()), lambda x: x.x), ""))
 
@@ -264,8 +159,9 @@ def _implied_body(toks: Column) -> Column:
 def _rootless(x: Column) -> Column:
     no, none = F.lit(False), F.lit(None).cast("int")
     return F.struct(
-        x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), F.lit(0).alias("t"), F.lit(0).alias("e"), F.lit(-1).alias("pp"), F.lit(0).alias("pt"),
-        no.alias("nav"), no.alias("ad"), no.alias("inpic"), none.alias("pic"), none.alias("vid"), no.alias("lead"))
+        x.i.alias("i"), x.n.alias("n"), x.k.alias("k"), F.lit(0).alias("t"), F.lit(0).alias("e"), none.alias("et"), none.alias("ei"),
+        F.lit(-1).alias("pp"), F.lit(0).alias("pt"), none.alias("pet"), no.alias("nav"), no.alias("ad"), no.alias("inpic"), none.alias("pic"),
+        none.alias("vid"), no.alias("lead"), none.alias("alt"))
 
 
 def _text_of(tok: Column) -> Column:
@@ -324,20 +220,18 @@ def elements(pages: DataFrame, text: bool = False) -> DataFrame:
 def _steps(text: bool) -> list[dict[str, Column]]:
     """The row-local columns of ``elements`` in the order they depend on each other."""
     first = {"cls": _classified(F.col("toks"), text)}
-    fold = _fold(F.col("cls"))
-    if not text:
-        # without a picture or video there is no ancestry to know: skip the fold
-        flat = F.struct(
-            F.lit(0).alias("t"), F.transform(F.filter("cls", lambda x: x.w), _rootless).cast(_OUT).alias("out"),
-            F.array().cast(_ENDS).alias("ends"))
-        fold = F.when(F.exists("cls", lambda x: x.n.isin("picture", "video")), fold).otherwise(flat)
+    if text:
+        dom = intervals(F.col("cls"), OPEN, CLOSE)
+    else:
+        # without a picture or video there is no ancestry to know: nothing is matched
+        nested = F.exists("cls", lambda x: x.n.isin("picture", "video"))
+        flat = F.struct(F.lit(0).alias("t"), F.transform(F.filter("cls", lambda x: x.w), _rootless).alias("out")).cast(OUT)
+        dom = F.when(nested, intervals(F.when(nested, F.col("cls")), OPEN, CLOSE)).otherwise(flat)
     toks = F.col("toks")
-    second = {"fold": fold}
-    third: dict[str, Column] = {}
+    second = {"dom": dom}
     if text:
         second["body_t"] = _implied_body(toks)
         second["words"] = F.regexp_extract_all(_page_text(F.col("cls")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-        third["endp"] = F.transform(F.col("fold.ends"), lambda e: e.p)
     second["metas"] = _meta_values(toks)
 
     def joined(start: Column, stop: Column) -> Column:
@@ -349,10 +243,6 @@ def _steps(text: bool) -> list[dict[str, Column]]:
         head = F.substring(F.concat(piece(at), piece(at + 1)), start % PIECE + 1, F.least(stop - start, F.lit(CONTEXT_CHARS + 1)))
         return F.substring(F.trim(head), 1, CONTEXT_CHARS)
 
-    def end_of(pos: Column, field: str, default: Column) -> Column:
-        hit = F.array_position(F.col("endp"), pos).cast("int")
-        return F.coalesce(F.get(F.col("fold.ends"), hit - 1).getField(field), default)
-
     def row(e: Column) -> Column:
         fields = [
             e.i.alias("pos"), e.n.alias("name"), F.get(toks, e.i).alias("tag"), e.inpic.alias("in_picture"),
@@ -364,15 +254,13 @@ def _steps(text: bool) -> list[dict[str, Column]]:
             link = (e.n.isin("a", "button")) | F.get(toks, e.i).rlike(
                 r"(?i)[\s\"'/](?:role|onclick|formaction|data-href|data-url|data-link|data-link-url|data-target-url"
                 r"|data-settings)\s*=")
-            total = F.col("fold.t")
-            own_stop = F.when(e.k == VOID, e.t).when(e.k == RAW, e.e).otherwise(end_of(e.i, "t", total))
+            total = F.col("dom.t")
+            own_stop = F.when(e.k == VOID, e.t).when(e.k == RAW, e.e).otherwise(F.coalesce(e.et, total))
             own = F.when(link, joined(e.t, own_stop))
             root = F.col("body_t").isNotNull() & ((e.pp < 0) | F.get(toks, e.pp).rlike(r"(?i)^<html[\s>]"))
             parent = F.when(link, F.when(root, joined(F.col("body_t"), total)).when(e.pp < 0, F.lit("")).otherwise(
-                joined(e.pt, end_of(e.pp, "t", total))))
-            inner = F.slice(toks, e.i + 2, F.greatest(end_of(e.i, "i", F.size(toks)) - e.i - 1, F.lit(0)))
-            alt = F.when(link & (own == ""), F.get(
-                F.filter(inner, lambda t: t.rlike(r"(?i)^<img[\s/]") & t.rlike(r"(?i)[\s\"'/]alt[\s=/>]")), 0))
+                joined(e.pt, F.coalesce(e.pet, total))))
+            alt = F.when(link & (own == ""), F.get(toks, e.alt))
             fields += [e.nav.alias("nav"), e.ad.alias("near_ad"), own.alias("own_text"), parent.alias("parent_text"), alt.alias("alt_tag")]
         return F.struct(*fields)
 
@@ -382,9 +270,9 @@ def _steps(text: bool) -> list[dict[str, Column]]:
         kinds |= {"nav": "boolean", "near_ad": "boolean", "own_text": "string", "parent_text": "string", "alt_tag": "string"}
     known = {"pos": F.lit(-1), "name": F.lit("#meta"), "tag": F.lit(""), "meta": F.col("metas")}
     of_page = F.struct(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()])
-    rows = F.transform(F.col("fold.out"), row)
+    rows = F.transform(F.col("dom.out"), row)
     rows = F.when(F.col("metas").isNotNull(), F.array_append(rows, of_page)).otherwise(rows)
-    return [step for step in (first, second, third, {"rows": rows}) if step]
+    return [first, second, {"rows": rows}]
 
 
 # ---- page facts ----------------------------------------------------------------------------------
