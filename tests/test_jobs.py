@@ -182,28 +182,49 @@ def test_rate_limit_matches_plain_walk(spark):
         assert got == walk(rows, window, limit)
 
 
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(2)
-    rows = sorted([(rng.choice("xyz"), rng.randint(0, 90_000), i) for i in range(600)], key=lambda r: r[1])
-    for k in range(3):
-        spark.createDataFrame(rows[k * 200:(k + 1) * 200], LOG).coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(k)))
-    # one micro-batch per folder, in order
-    import glob
+def test_rate_limit_of_busy_clients(spark):
+    """Half of the log is one client without a pause; another asks every half window; chunks are judged apart."""
+    rng = random.Random(3)
+    rows = [("busy", rng.randint(0, 3_000_000), i) for i in range(6000)] + [("even", 30_000 * i, 10_000 + i) for i in range(4000)]
+    rows += [(None, rng.randint(0, 500_000), 20_000 + i) for i in range(500)] + [(f"s{i}", 7_000_000 + i, 30_000 + i) for i in range(300)] + [("busy", None, 40_000)]
+    df = spark.createDataFrame(rows, LOG)
+    want = walk([(c or "unknown", t, i) for c, t, i in rows if t is not None], 60_000, 5)
+    for chunk in (60_000, 100_000, None):
+        got = {r.request_id: (r.limited, r.remaining, r.reset_ms) for r in limiter.rate_limit(df, 60_000, 5, chunk).collect()}
+        assert got == want
+    assert limiter.rate_limit(df.limit(0)).collect() == []
+    ticks = df.filter("client = 'even'").selectExpr("client", "at_ms", "floor(at_ms / 960000) AS chunk").distinct()
+    assert limiter._functions(ticks, 60_000, 960_000).selectExpr("max(size(starts))").first()[0] <= 3
+
+
+def feed(spark, folder, schema, batches):
+    """A stream that takes one of ``batches`` at a time, in order."""
     import os
-    import shutil
-
-    feed = tmp_path / "feed"
-    feed.mkdir()
-    for k in range(3):
-        for f in glob.glob(str(tmp_path / "in" / str(k) / "part-*.json")):
-            shutil.copy(f, feed / f"{k}-{os.path.basename(f)}")
-            os.utime(feed / f"{k}-{os.path.basename(f)}", (1_700_000_000 + k, 1_700_000_000 + k))
-    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).json(str(feed))
-    query = (limiter.rate_limit_stream(stream, 5_000, 4, evict=False).writeStream.format("memory").queryName("verdicts").outputMode("append")
-             .trigger(availableNow=True).start())
+
+    folder.mkdir()
+    for k, rows in enumerate(batches):
+        path = folder / f"{k}.json"
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def run_stream(stream, name, checkpoint):
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = {r.request_id: (r.limited, r.remaining, r.reset_ms) for r in spark.table("verdicts").collect()}
-    assert got == walk(rows, 5_000, 4)
+    return query
+
+
+def test_rate_limit_stream_equals_table_and_forgets(spark, tmp_path):
+    rng = random.Random(2)
+    rows = sorted([(rng.choice("xyz"), rng.randint(0, 90_000), i) for i in range(300)], key=lambda r: r[1]) + [("w", 900_000, 1000), ("w", 900_001, 1001)]
+    named = [dict(zip(("client", "at_ms", "request_id"), r)) for r in rows]
+    stream = feed(spark, tmp_path / "in", LOG, [named[:150], named[150:300], named[300:301], named[301:]])
+    query = run_stream(limiter.rate_limit_stream(stream, 5_000, 4, late="1 second"), "verdicts", tmp_path / "cp")
+    assert {r.request_id: (r.limited, r.remaining, r.reset_ms) for r in spark.table("verdicts").collect()} == walk(rows, 5_000, 4)
+    assert sum(o.numRowsRemoved for p in query.recentProgress for o in p.stateOperators) >= 3
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(str(tmp_path / "cp"))
+    assert [(r.key.client, r.value["count"]) for r in state.collect()] == [("w", 2)]  # x, y and z are forgotten
 
 
 def sample_events():
@@ -232,12 +253,23 @@ def test_events_stream_equals_table(spark, tmp_path):
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert {r.crawl_id: tuple(r)[1:] for r in spark.table("progress").collect()} == progress
-    events.follow_tail(events.read_crawl_events(spark, str(tmp_path / "log"), 1), str(tmp_path / "tail"),
-                       str(tmp_path / "cp"), 3).awaitTermination()
-    import os
-
-    last = max(int(d.split("-")[1]) for d in os.listdir(tmp_path / "tail"))
-    tail = spark.read.parquet(str(tmp_path / "tail" / f"epoch-{last}"))
-    want = events.activity_tail(events.activity_log(df), 3).drop("recent")
-    assert sorted(map(tuple, tail.collect())) == sorted(map(tuple, want.collect()))
+    log = events.activity_log(df)
+    want = sorted(map(tuple, events.activity_tail(log, 3).drop("recent").collect()))
+    changes = run_stream(events.tail_changes(events.read_crawl_events(spark, str(tmp_path / "log"), 1), 3), "changes", tmp_path / "cp")
+    tail = events.current_tail(spark.table("changes"))
+    assert sorted(map(tuple, tail.collect())) == want and changes.lastProgress is not None
     assert "Página descoberta via onclick (depth 1) • configuração de player" in [r.message for r in tail.collect()]
+
+
+def test_tail_changes_are_appended_and_idle_crawls_forgotten(spark, tmp_path):
+    def event(crawl, second, url):
+        return {"crawl_id": crawl, "ts": f"2024-01-01T00:00:{second:02d}", "event": "page_error", "data": json.dumps({"url": f"https://e.example/{url}", "error": "x", "depth": 0})}
+
+    batches = [[event(1, 1, "a"), event(1, 2, "b"), event(1, 2, "b"), event(2, 1, "z")], [event(1, 5, "c")], [event(1, 0, "old")], [event(1, 50, "d")], [event(1, 51, "e")]]
+    stream = events.tail_changes(feed(spark, tmp_path / "in", events.EVENTS, batches), 2, idle_ms=10_000, late="0 seconds")
+    run_stream(stream, "idle", tmp_path / "cp")
+    got = [(r.crawl_id, r.url[-1], r.change) for r in spark.table("idle").collect()]
+    assert sorted(got) == sorted([(1, "b", "in"), (1, "b", "in"), (2, "z", "in"), (1, "c", "in"), (1, "b", "out"), (1, "d", "in"), (1, "b", "out"), (1, "e", "in"), (1, "c", "out")])
+    assert sorted((r.crawl_id, r.url[-1]) for r in events.current_tail(spark.table("idle")).collect()) == [(1, "d"), (1, "e"), (2, "z")]
+    state = spark.read.format("statestore").option("stateVarName", "tail").load(str(tmp_path / "cp"))
+    assert {r.key.crawl_id for r in state.collect()} == {1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from weblode.operators import admission, crawl, embeds, fetchlog, links, media,
 from weblode.plans.bases import base
 from weblode.plans.enrich import enriched, linked
 from weblode.sources.pages import scan_pages, spread
-from weblode.sources.stages import written
+from weblode.sources.stages import stage_folder, written
 from weblode.streaming import events, limiter
 
 CRAWL = CrawlConfig(follow_external=True)
@@ -398,13 +399,46 @@ def activity_tail(spark, sf_dir):
     return events.activity_tail(events.activity_log(base(spark, sf_dir, "crawl_events")))
 
 
-def rate_limit(spark, sf_dir):
+def _requests(events: DataFrame) -> DataFrame:
     # the stored times carry no zone; read as UTC whatever the session's zone is
     utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
-    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("user_id").cast("string").alias("client"), F.unix_millis(utc).alias("at_ms"),
-        F.col("event_id").alias("request_id"))
-    return limiter.rate_limit(log, DAY_MS, 2)
+    return events.select(F.col("user_id").cast("string").alias("client"), F.unix_millis(utc).alias("at_ms"), F.col("event_id").alias("request_id"))
+
+
+def rate_limit(spark, sf_dir):
+    return limiter.rate_limit(_requests(spark.read.parquet(f"{sf_dir}/events.parquet")), DAY_MS, 2)
+
+
+def rate_limit_busy(spark, sf_dir):
+    """One client makes half of all requests; windows of an hour."""
+    log = _requests(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    busy = log.withColumn("client", F.when(F.col("request_id") % 2 == 0, "busy").otherwise(F.col("client")))
+    return limiter.rate_limit(busy, 3_600_000, 3)
+
+
+def _ended(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there and read what it put out."""
+    spark = stream.sparkSession
+    folder = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def rate_limit_stream(spark, sf_dir):
+    """The limiter as a stream with a state for each open window."""
+    folder = f"{stage_folder(spark)}/requests-{uuid.uuid4().hex}"
+    log = _requests(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    log.write.parquet(folder)
+    return _ended(limiter.rate_limit_stream(spark.readStream.schema(log.schema).parquet(folder), DAY_MS, 2), "limiter")
+
+
+def activity_tail_stream(spark, sf_dir):
+    """The activity log followed as a stream of JSON files; the tail is what its changes add up to."""
+    folder = f"{stage_folder(spark)}/events-{uuid.uuid4().hex}"
+    base(spark, sf_dir, "crawl_events").select(
+        "crawl_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "event", "data").write.json(folder)
+    return events.current_tail(_ended(events.tail_changes(events.read_crawl_events(spark, folder)), "tail"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -417,5 +451,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_kind_facet, search_media, filter_media, page_entries, selection_ops, assets_for_bundle, display_fields,
         gallery_page, admit_pages_analyse, admit_pages_crawl, resolve_retries, resolve_redirects, host_safety,
         validate_seeds, admit_assets, bundle_entries, bundle_status, parse_events, crawl_progress, crawl_status,
-        activity_tail, rate_limit)
+        activity_tail, rate_limit, rate_limit_busy, rate_limit_stream, activity_tail_stream)
 }

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from weblode.functions.fixed import LOG_REASON_LABELS, LOG_SOURCE_LABELS
 from weblode.functions.urls import host_of, is_private_host
 from weblode.operators.results import reason_label
+from weblode.streaming.limiter import ROCKS_DB
 
 EVENTS = "crawl_id BIGINT, ts TIMESTAMP, event STRING, data STRING"
 MAX_LOG = 50
@@ -124,18 +126,69 @@ def activity_tail(log: DataFrame, size: int = MAX_LOG) -> DataFrame:
     return log.withColumn("recent", F.row_number().over(order)).filter(F.col("recent") <= size)
 
 
-def follow_tail(events: DataFrame, folder: str, checkpoint: str, size: int = MAX_LOG):
-    """Keep the activity tail of every crawl as a stream runs: one table per micro-batch under ``folder``.
+TAIL = "crawl_id bigint, ts_us bigint, type string, url string, message string, change string"
+KEPT = "ts_us bigint, type string, url string, message string"
 
-    A batch reads the tail its predecessor wrote, so a repeated batch writes the same rows again.
+
+def _tail_processor(size: int, idle_ms: int):
+    class Tail(StatefulProcessor):
+        """The newest rows of one crawl."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.kept = handle.getListState("tail", KEPT)
+
+        def handleInputRows(self, key, rows, timerValues):
+            from collections import Counter
+
+            import pandas as pd
+
+            def order(row):  # as activity_tail: newest first, then by the texts, nulls as Spark has them
+                return (row[0] is None, -(row[0] or 0), *((text is not None, text or "") for text in row[1:]))
+
+            before = [tuple(row) for row in self.kept.get()]
+            now = before
+            for pdf in rows:
+                columns = [[None if pd.isna(v) else v for v in pdf[c]] for c in ("ts_us", "type", "url", "message")]
+                fresh = [(None if t is None else int(t), *texts) for t, *texts in zip(*columns)]
+                now = sorted([*now, *fresh], key=order)[:size]
+            self.kept.put(now)
+            newest = max((row[0] for row in now if row[0] is not None), default=0)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest // 1000 + idle_ms)
+            came, went = Counter(now) - Counter(before), Counter(before) - Counter(now)
+            changes = [(*row, "in") for row in came.elements()] + [(*row, "out") for row in went.elements()]
+            yield pd.DataFrame({
+                "crawl_id": pd.array([key[0]] * len(changes), "Int64"), "ts_us": pd.array([c[0] for c in changes], "Int64"),
+                **{name: pd.array([c[i] for c in changes], object) for i, name in enumerate(("type", "url", "message", "change"), 1)}})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.kept.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Tail
+
+
+def tail_changes(events: DataFrame, size: int = MAX_LOG, idle_ms: int = 86_400_000, late: str = "1 hour") -> DataFrame:
+    """The activity tail of every crawl as a stream of changes: rows that come ``in`` and rows that go ``out``, appended and never rewritten.
+
+    The state is a list of ``size`` rows a crawl at most. The watermark follows the events' own times, ``late`` behind the newest; once it
+    is ``idle_ms`` past a crawl's newest row, a timer removes that crawl's state. ``current_tail`` adds the changes up. A row older
+    than all of a full tail changes nothing and is not put out.
     """
-    def step(batch: DataFrame, epoch: int) -> None:
-        fresh = activity_log(batch)
-        spark = batch.sparkSession
-        parts = [fresh]
-        if epoch > 0:
-            parts.append(spark.read.schema(fresh.schema).parquet(f"{folder}/epoch-{epoch - 1}"))
-        tail = activity_tail(reduce(DataFrame.unionByName, parts), size).drop("recent")
-        tail.write.mode("overwrite").parquet(f"{folder}/epoch-{epoch}")
-
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    log = activity_log(events.withWatermark("ts", late)).select("crawl_id", "ts", F.unix_micros("ts").alias("ts_us"), "type", "url", "message")
+    changes = log.groupBy("crawl_id").transformWithStateInPandas(
+        statefulProcessor=_tail_processor(size, idle_ms)(), outputStructType=TAIL, outputMode="Append", timeMode="EventTime")
+    return changes.select("crawl_id", F.timestamp_micros("ts_us").alias("ts"), "type", "url", "message", "change")
+
+
+def current_tail(changes: DataFrame) -> DataFrame:
+    """The tail that all changes so far leave, whatever their order."""
+    rows = ["crawl_id", "ts", "type", "url", "message"]
+    left = changes.groupBy(*rows).agg(F.sum(F.when(F.col("change") == "in", 1).otherwise(-1)).cast("int").alias("n")).filter("n > 0")
+    return left.select(*rows, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")).drop("_copy")

@@ -1,111 +1,291 @@
-"""Request limiter: a window per client, opened by its first request after the last one expired."""
+"""Request limiter: a window per client, opened by its first request after the last one expired.
 
-from __future__ import annotations
+What a client's requests of one time chunk do is a function from the end of the window that is open before the chunk to the end of
+the one open after it. Such a function is a step function with few steps, functions compose, and composition is associative: all chunks
+are described independently, a scan over descriptions gives every chunk what is carried into it, and all chunks are judged
+independently, however many of the log's requests one client makes.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from weblode.sources.stages import written
 
 WINDOW_MS = 60_000
 MAX_REQUESTS = 30
-IDLE_SWEEP_MS = 5 * 60_000
+#: Windows in a chunk, and functions composed at once.
+CHUNK_WINDOWS = 16
+FAN = 32
+NEVER = -(1 << 62)
 OUTPUT = "client string, at_ms bigint, request_id bigint, limited boolean, remaining int, reset_ms bigint"
+FUNCTION = "client string, block bigint, starts array<bigint>, resets array<bigint>"
+
+
+def _walker():
+    def walk(at, count: int, reset: int, window_ms: int):
+        """Counts and resets of sorted request times; one jump per window, not one step per request."""
+        import numpy as np
+
+        n = len(at)
+        counts, resets = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        i = 0
+        while i < n:
+            if at[i] > reset:
+                reset, count = int(at[i]) + window_ms, 0
+            end = int(np.searchsorted(at, reset, side="right"))
+            counts[i:end] = count + np.arange(1, end - i + 1)
+            resets[i:end] = reset
+            count, i = count + end - i, end
+        return counts, resets, count, reset
+
+    return walk
+
+
+def _tools():
+    """The functions that run in tasks, made here so that executors need no package of ours."""
+    never = NEVER
+
+    def groups(batches, keys):
+        """(key, columns) of each group of a sorted partition; a group may span batches."""
+        import pandas as pd
+
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            change = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            for lo, hi in zip(change, change[1:]):
+                yield tuple(columns[k][lo] for k in keys), {c: v[lo:hi] for c, v in columns.items()}
+            rest = pdf.iloc[change[-1]:]
+        if rest is not None:
+            yield tuple(rest[k].iloc[0] for k in keys), {c: rest[c].to_numpy() for c in rest.columns}
+
+    def slim(starts, resets, horizon):
+        """Steps that a reset before ``horizon`` can meet, without steps that end where the next one ends."""
+        import numpy as np
+
+        upto = int(np.searchsorted(starts, horizon)) + 1
+        starts, resets = starts[:upto], resets[:upto]
+        keep = np.append(resets[1:] != resets[:-1], True) if len(starts) else np.empty(0, bool)
+        return starts[keep], resets[keep]
+
+    def describe(at, window, horizon):
+        """The step function of sorted request times: a window carried in that ends before ``starts[i]`` but not before the one
+        before it leads to ``resets[i]``; one that ends after all of them is carried on."""
+        import numpy as np
+
+        after = np.searchsorted(at, at + window, "right")
+        resets = at + window
+        more = after < len(at)
+        while more.any():  # pointer doubling: each round doubles the windows passed
+            resets[more] = resets[after[more]]
+            ahead = np.where(more, after[np.minimum(after, len(at) - 1)], after)
+            after, more = ahead, ahead < len(at)
+        return slim(at, resets, horizon)
+
+    def follow(reset, starts, resets):
+        import numpy as np
+
+        i = int(np.searchsorted(starts, reset, "right"))
+        return int(resets[i]) if i < len(starts) else reset
+
+    def compose(first, then):
+        import numpy as np
+
+        if not len(first[0]):
+            return then
+        own = np.array([follow(r, *then) for r in first[1].tolist()], np.int64)
+        late = then[0] > first[0][-1]
+        return np.concatenate([first[0], then[0][late]]), np.concatenate([own, then[1][late]])
+
+    return groups, slim, describe, follow, compose, never
+
+
+def _functions(ticks: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
+    """One function for each (client, chunk), from the distinct times of its requests."""
+    groups, _, describe, *_ = _tools()
+
+    def run(batches):
+        import pandas as pd
+
+        for (client, chunk), c in groups(batches, ["client", "chunk"]):
+            starts, resets = describe(c["at_ms"].astype("int64"), window_ms, int(chunk) * chunk_ms + window_ms)
+            yield pd.DataFrame({"client": [client], "block": [chunk], "starts": [starts], "resets": [resets]})
 
+    return ticks.select("client", "chunk", "at_ms").repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms").mapInPandas(run, FUNCTION)
 
-def _walk(at: np.ndarray, count: int, reset: int, window_ms: int):
-    """Counts and resets of sorted request times; one jump per window, not one step per request."""
-    n = len(at)
-    counts, resets = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    i = 0
-    while i < n:
-        if count == 0 or at[i] > reset:
-            reset, count = int(at[i]) + window_ms, 0
-        end = int(np.searchsorted(at, reset, side="right"))
-        counts[i:end] = count + np.arange(1, end - i + 1)
-        resets[i:end] = reset
-        count, i = count + end - i, end
-    return counts, resets, count, reset
 
+def _composed(functions: DataFrame, window_ms: int, block_ms: int) -> DataFrame:
+    """Functions of ``FAN`` neighbouring blocks composed to one."""
+    groups, slim, _, _, compose, _ = _tools()
+    fan = FAN
 
-def _segments(log: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
-    """Cut each client's requests where a pause is longer than the window: what follows starts afresh.
+    def run(batches):
+        import pandas as pd
 
-    A busy client is cut into time chunks first; only one small row per chunk is looked at per client.
+        for (client, upper), c in groups(batches, ["client", "upper"]):
+            made = None
+            for starts, resets in zip(c["starts"], c["resets"]):
+                made = (starts, resets) if made is None else compose(made, (starts, resets))
+            made = slim(*made, int(upper) * block_ms * fan + window_ms)
+            yield pd.DataFrame({"client": [client], "block": [upper], "starts": [made[0]], "resets": [made[1]]})
+
+    rows = functions.withColumn("upper", F.floor(F.col("block") / fan))
+    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInPandas(run, FUNCTION)
+
+
+def _carried(functions: DataFrame, above: DataFrame) -> DataFrame:
+    """(client, block, carried): what each block is handed, given what its group of blocks is handed."""
+    groups, _, _, follow, _, _ = _tools()
+
+    def run(batches):
+        import pandas as pd
+
+        for (client, _), c in groups(batches, ["client", "upper"]):
+            reset, out = int(c["carried"][0]), []
+            for starts, resets in zip(c["starts"], c["resets"]):
+                out.append(reset)
+                reset = follow(reset, starts, resets)
+            yield pd.DataFrame({"client": client, "block": c["block"], "carried": out})
+
+    rows = functions.withColumn("upper", F.floor(F.col("block") / FAN)).join(above, ["client", "upper"])
+    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInPandas(
+        run, "client string, block bigint, carried bigint")
+
+
+def _scan(ticks: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
+    """(client, chunk, carried): the end of the window open before each chunk. Up by composing blocks, down by following them.
+
+    No group of either sweep has more than ``FAN`` rows, so a busy client's chunks are scanned by many tasks.
     """
-    rows = log.withColumn("chunk", F.floor(F.col("at_ms") / chunk_ms))
-    inside = W.partitionBy("client", "chunk").orderBy("at_ms", "request_id")
-    edges = rows.groupBy("client", "chunk").agg(F.max("at_ms").alias("last_ms"))
-    edges = edges.withColumn("before_ms", F.lag("last_ms").over(W.partitionBy("client").orderBy("chunk")))
-    rows = rows.join(edges.select("client", "chunk", "before_ms"), ["client", "chunk"])
-    gap = F.col("at_ms") - F.coalesce(F.lag("at_ms").over(inside), F.col("before_ms"))
-    rows = rows.withColumn("starts", F.when(gap.isNull() | (gap > window_ms), F.col("at_ms")))
-    rows = rows.withColumn("own", F.max("starts").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    last = rows.groupBy("client", "chunk").agg(F.max("starts").alias("last_start"))
-    earlier = W.partitionBy("client").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.withColumn("carried", F.max("last_start").over(earlier)).select("client", "chunk", "carried")
-    return rows.join(carried, ["client", "chunk"]).select(
-        "client", "at_ms", "request_id", F.coalesce("own", "carried").alias("segment"))
+    levels = [written(_functions(ticks, window_ms, chunk_ms), "limiter")]
+    span, block_ms = ticks.agg(F.min("chunk"), F.max("chunk")).first(), chunk_ms
+    low, high = span if span[0] is not None else (0, 0)
+    while low // FAN != high // FAN:
+        levels.append(written(_composed(levels[-1], window_ms, block_ms), "limiter"))
+        low, high, block_ms = low // FAN, high // FAN, block_ms * FAN
+    carried = levels[-1].select("client").distinct().select("client", F.lit(low // FAN).cast("bigint").alias("upper"), F.lit(NEVER).alias("carried"))
+    for level in reversed(levels):
+        carried = written(_carried(level, carried), "limiter").withColumnRenamed("block", "upper")
+    return carried.withColumnRenamed("upper", "chunk")
+
+
+def _tails(ticks: DataFrame, carried: DataFrame, window_ms: int) -> DataFrame:
+    """(client, chunk, before): requests of the open window that were made in the chunk before."""
+    groups, _, _, follow, _, _ = _tools()
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for (client, chunk), c in groups(batches, ["client", "chunk"]):
+            at, reset = c["at_ms"].astype("int64"), int(c["carried"][0])
+            i = int(np.searchsorted(at, reset, "right"))
+            while i < len(at) and (after := int(np.searchsorted(at, at[i] + window_ms, "right"))) < len(at):
+                i = after
+            yield pd.DataFrame({"client": [client], "chunk": [int(chunk) + 1], "before": [int(c["requests"][i:].sum())]})
+
+    rows = ticks.join(carried, ["client", "chunk"]).repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms")
+    return rows.mapInPandas(run, "client string, chunk bigint, before bigint")
 
 
 def rate_limit(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, chunk_ms: int | None = None) -> DataFrame:
     """Verdict on every request of log(client, at_ms, request_id).
 
-    Independent segments are spread over the cluster and streamed through sorted partitions in Arrow batches,
-    so no group is ever held whole.
+    ``chunk_ms`` is the length of the time chunks in which a client's requests are judged, at least a window; a chunk's distinct times
+    are held at once, its requests are streamed. Requests without a client are those of the client ``unknown``; requests without a
+    time are not judged.
     """
-    chunk = chunk_ms or max(86_400_000, 10 * window_ms)
-    placed = _segments(log, window_ms, chunk).repartition("client", "segment").sortWithinPartitions(
-        "client", "segment", "at_ms", "request_id")
+    chunk_ms = chunk_ms or CHUNK_WINDOWS * window_ms
+    if chunk_ms < window_ms:
+        raise ValueError("chunk_ms is a window at least")
+    rows = log.filter("at_ms IS NOT NULL").select(
+        F.coalesce("client", F.lit("unknown")).alias("client"), "at_ms", "request_id", F.floor(F.col("at_ms") / chunk_ms).alias("chunk"))
+    ticks = written(rows.groupBy("client", "chunk", "at_ms").agg(F.count("*").alias("requests")), "limiter")
+    carried = _scan(ticks, window_ms, chunk_ms)
+    known = written(carried.join(_tails(ticks, carried, window_ms), ["client", "chunk"], "left").fillna(0, ["before"]), "limiter")
+    placed = rows.join(known, ["client", "chunk"]).repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms", "request_id")
+    walk = _walker()
+
+    def judge(batches):
+        import numpy as np
+        import pandas as pd
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, count, reset = None, 0, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            client, segment, at = pdf["client"].to_numpy(), pdf["segment"].to_numpy(), pdf["at_ms"].to_numpy()
-            change = np.flatnonzero((client[1:] != client[:-1]) | (segment[1:] != segment[:-1])) + 1
+            client, chunk, at = pdf["client"].to_numpy(), pdf["chunk"].to_numpy(), pdf["at_ms"].to_numpy()
+            change = np.flatnonzero((client[1:] != client[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             bounds = [0, *change.tolist(), len(pdf)]
             counts, resets = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
             for lo, hi in zip(bounds, bounds[1:]):
-                if (client[lo], segment[lo]) != key:
-                    key, count, reset = (client[lo], segment[lo]), 0, 0
-                counts[lo:hi], resets[lo:hi], count, reset = _walk(at[lo:hi], count, reset, window_ms)
-            yield _verdict(client, at, pdf["request_id"].to_numpy(), counts, resets, limit)
+                if (client[lo], chunk[lo]) != key:
+                    key, count, reset = (client[lo], chunk[lo]), int(pdf["before"].iloc[lo]), int(pdf["carried"].iloc[lo])
+                counts[lo:hi], resets[lo:hi], count, reset = walk(at[lo:hi], count, reset, window_ms)
+            yield pd.DataFrame({
+                "client": client, "at_ms": at, "request_id": pdf["request_id"].to_numpy(), "limited": counts > limit,
+                "remaining": np.maximum(0, limit - counts).astype("int32"), "reset_ms": resets})
 
     return placed.mapInPandas(judge, OUTPUT)
 
 
-def _verdict(client, at, ids, counts, resets, limit: int) -> pd.DataFrame:
-    return pd.DataFrame({
-        "client": client, "at_ms": at, "request_id": ids, "limited": counts > limit,
-        "remaining": np.maximum(0, limit - counts).astype("int32"), "reset_ms": resets,
-    })
+def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, late: str = "1 minute") -> DataFrame:
+    """The same verdicts on a stream, one (count, reset) state per client, kept until its window is over.
 
+    Rows of a micro-batch are judged by time; of those only times and ids are held. The watermark follows the requests' own times,
+    ``late`` behind the newest; a timer at the end of a client's window removes its state once the watermark is past it, so the
+    state is that of the open windows alone, and a stream that has ended stays ended.
+    """
+    session = log.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = log.filter("at_ms IS NOT NULL").select(F.coalesce("client", F.lit("unknown")).alias("client"), "at_ms", "request_id", F.timestamp_millis("at_ms").alias("at"))
+    return rows.withWatermark("at", late).groupBy("client").transformWithStateInPandas(
+        statefulProcessor=_bucket_processor(window_ms, limit)(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
-def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, evict: bool = True) -> DataFrame:
-    """The same verdicts on a stream, one (count, reset) state per client.
 
-    Rows of a micro-batch are judged by time; a bucket idle past its window is dropped by a processing-time timeout.
-    Timeouts keep a query running batches without data, so a run that has to end by itself passes ``evict=False``.
-    """
-    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, reset = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])
-        at = pdf["at_ms"].to_numpy()
-        counts, resets, count, reset = _walk(at, int(count), int(reset), window_ms)
-        state.update((int(count), int(reset)))
-        if evict:
-            state.setTimeoutDuration(max(window_ms, IDLE_SWEEP_MS))
-        yield _verdict(pdf["client"].to_numpy(), at, pdf["request_id"].to_numpy(), counts, resets, limit)
-
-    return log.groupBy("client").applyInPandasWithState(
-        judge, OUTPUT, "count bigint, reset_ms bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _bucket_processor(window_ms: int, limit: int):
+    walk = _walker()
+
+    class Buckets(StatefulProcessor):
+        """One client's open window."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.bucket = handle.getValueState("bucket", "count bigint, reset_ms bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import numpy as np
+            import pandas as pd
+
+            parts = [(pdf["at_ms"].to_numpy(), pdf["request_id"].to_numpy()) for pdf in rows]
+            at, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            order = np.lexsort((ids, at))
+            at, ids = at[order], ids[order]
+            count, reset = self.bucket.get() if self.bucket.exists() else (0, -(1 << 62))
+            counts, resets, count, reset = walk(at, int(count), int(reset), window_ms)
+            self.bucket.update((int(count), int(reset)))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(reset) + 1)
+            yield pd.DataFrame({
+                "client": [key[0]] * len(at), "at_ms": at, "request_id": ids, "limited": counts > limit,
+                "remaining": np.maximum(0, limit - counts).astype("int32"), "reset_ms": resets})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.bucket.exists() and self.bucket.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
+                self.bucket.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Buckets
