@@ -227,19 +227,47 @@ def test_rate_limit_stream_equals_table_and_forgets(spark, tmp_path):
     assert [(r.key.client, r.value["count"]) for r in state.collect()] == [("w", 2)]  # x, y and z are forgotten
 
 
+U = "https://e.example/"
+ITEM = {"url": U, "type": "video", "platform": None, "videoId": None, "title": None, "thumbnailUrl": None, "canonicalUrl": None, "contentKind": None,
+        "confidence": 0.9, "duration": None, "source": "x", "downloadable": True, "discoveredFrom": None, "discoveryReason": None}
+PAGE = {"url": U, "depth": 0, "title": None, "media": [ITEM], "error": None, "possibleSpa": False, "pageKind": "hub", "discoveredFrom": None, "discoveryReason": None}
+DONE = {"originalUrl": U, "totalPages": 3, "pagesWithErrors": 0, "totalMedia": 1, "results": [PAGE], "crawlDurationMs": 3.5}
+
+
 def sample_events():
-    u = "https://e.example/"
-    rows = [(1, "crawl_started", {"url": u}), (1, "page_processing", {"url": u, "depth": 0, "pagesDone": 1, "pagesTotal": 4}),
-            (1, "media_found", {"pageUrl": u, "media": {"url": u, "type": "video", "platform": None, "confidence": 0.9, "source": "x"}}),
-            (1, "media_found", {"pageUrl": u, "media": {"url": u, "type": "sound", "source": "x"}}),
-            (1, "page_processing", {"url": u, "depth": 1, "pagesDone": 3, "pagesTotal": 4}),
-            (2, "crawl_started", {"url": u}), (2, "crawl_error", {"error": "boom"}),
-            (1, "page_discovered", {"url": u, "category": "external", "depth": 1, "source": "onclick", "fromUrl": u,
-                                    "discoveryReason": "player-config"}),
-            (1, "crawl_complete", {"originalUrl": u, "totalPages": 3, "pagesWithErrors": 0, "totalMedia": 1})]
+    rows = [(1, "crawl_started", {"url": U, "config": {}}), (1, "page_processing", {"url": U, "depth": 0, "pagesDone": 1, "pagesTotal": 4}),
+            (1, "media_found", {"pageUrl": U, "media": ITEM}), (1, "media_found", {"pageUrl": U, "media": {**ITEM, "type": "sound"}}),
+            (1, "page_processing", {"url": U, "depth": 1, "pagesDone": 3, "pagesTotal": 4}),
+            (2, "crawl_started", {"url": U, "config": {"maxDepth": 1}}), (2, "crawl_error", {"error": "boom"}),
+            (1, "page_discovered", {"url": U, "category": "external", "depth": 1, "source": "onclick", "fromUrl": U,
+                                    "discoveryReason": "player-config"}), (1, "crawl_complete", DONE)]
     return [(c, f"2024-01-01 00:00:{i:02d}", e, json.dumps(d)) for i, (c, e, d) in enumerate(rows)]
 
 
+def test_event_schemas(spark):
+    """Each case and what is wrong with it: JSON types are strict, missing is not null, nested lists are looked into."""
+    without = lambda d, k: {n: v for n, v in d.items() if n != k}
+    cases = [
+        ("crawl_started", {"url": U}, "config: not an object"), ("crawl_started", {"url": U, "config": {}}, None),
+        ("crawl_started", {"url": U, "config": {"maxDepth": 4}}, "config.maxDepth: too large"), ("crawl_started", {"url": U, "config": {"maxDepth": 1.5}}, "config.maxDepth: not whole"),
+        ("crawl_started", {"url": U, "config": {"maxDepth": 2.0}}, None), ("crawl_started", {"url": U, "config": {"followExternal": None}}, "config.followExternal: not a boolean"),
+        ("crawl_started", {"url": U, "config": {"requestTimeout": 4999}}, "config.requestTimeout: too small"),
+        ("media_found", {"pageUrl": U, "media": ITEM}, None), ("media_found", {"pageUrl": U, "media": {**ITEM, "source": ""}}, "media.source: too short"),
+        ("media_found", {"pageUrl": U, "media": without(ITEM, "title")}, "media.title: not a text"), ("media_found", {"media": ITEM}, "pageUrl: not a text"),
+        ("media_found", {"pageUrl": U, "media": {**ITEM, "canonicalUrl": "http://[::1]/"}}, "media.canonicalUrl: private host"),
+        ("crawl_complete", DONE, None), ("crawl_complete", without(DONE, "results"), "results: not a list"), ("crawl_complete", {**DONE, "results": []}, None),
+        ("crawl_complete", {**DONE, "results": [PAGE, {**PAGE, "media": [ITEM, {**ITEM, "confidence": "0.5"}]}]}, "results[1].media[1].confidence: not a number"),
+        ("crawl_complete", {**DONE, "results": [PAGE, {**PAGE, "media": [ITEM, {**ITEM, "url": "http://10.1.1.1/"}]}]}, "results[1].media[1].url: private host"),
+        ("crawl_complete", {**DONE, "totalPages": "1"}, "totalPages: not a number"), ("crawl_complete", {**DONE, "totalMedia": -1}, "totalMedia: too small"),
+        ("page_error", {"url": "e.example.com/x", "error": "x", "depth": 0, "more": 1}, None), ("page_error", {"url": "ftp://e.example/", "error": "x", "depth": 0}, "url: not http"),
+        ("page_error", {"url": U, "error": "x", "depth": True}, "depth: not a number"), ("page_error", 3, ": not an object"), ("page_error", None, ": not an object"),
+        ("crawl_error", {"error": ""}, "error: too short"), ("other", {}, "unknown event"), ("page_discovered", {
+            "url": U, "category": "none", "depth": 0, "source": "anchor", "fromUrl": U, "discoveryReason": None}, "category: not one of its values")]
+    rows = [(i, None, e, json.dumps(d)) for i, (e, d, _) in enumerate(cases)] + [(98, None, "page_error", "{x"), (99, None, "page_error", None)]
+    got = {r.crawl_id: (r.reason, r.valid) for r in events.parse_events(spark.createDataFrame(rows, "crawl_id long, ts timestamp, event string, data string")).collect()}
+    assert got == {**{i: (w, w is None) for i, (_, _, w) in enumerate(cases)}, 98: ("not JSON", False), 99: ("not JSON", False)}
+
+
 def test_events_stream_equals_table(spark, tmp_path):
     df = spark.createDataFrame(sample_events(), "crawl_id bigint, ts string, event string, data string").withColumn(
         "ts", F.to_timestamp("ts"))

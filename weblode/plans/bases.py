@@ -103,6 +103,15 @@ BASES: dict[str, str] = {
                2 AS attempt, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 200 ELSE 502 END AS INT), 'text/html',
                CAST(NULL AS BIGINT), '<p>again</p>', CAST(NULL AS STRING)
         FROM {{orders}} WHERE o_orderkey % 4 <> 1""",
+    # captured bodies with what came with them; some pages show an image at a private address
+    "page_bodies": f"""
+        SELECT page_id, url, CAST(CASE WHEN page_id % 17 = 3 THEN 404 WHEN page_id % 17 = 4 THEN 503 WHEN page_id % 17 = 5 THEN NULL ELSE 200 END AS INT) AS status,
+               CASE WHEN page_id % 19 = 2 THEN 'application/pdf' WHEN page_id % 19 = 3 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type,
+               CAST(CASE WHEN page_id % 23 = 7 THEN 11000000 WHEN page_id % 23 = 8 THEN 900 END AS BIGINT) AS content_length,
+               CASE WHEN page_id % 29 = 11 THEN '' WHEN page_id % 29 = 12 THEN NULL ELSE {markup_sql()}
+                 || CASE WHEN page_id % 9 = 0 THEN '<img src="https://10.0.0.7/p.jpg">' ELSE '' END END AS body,
+               CASE WHEN page_id % 17 = 5 THEN 'network down' END AS error
+        FROM {{pages}}""",
     "redirects": """
         SELECT 'https://r.example.com/' || CAST(o_orderkey AS STRING) AS url,
                CAST(CASE WHEN o_orderkey % 16 = 0 THEN 200 WHEN o_orderkey % 2 = 0 THEN 301 ELSE 302 END AS INT) AS status,
@@ -136,23 +145,46 @@ BASES: dict[str, str] = {
         FROM {orders}""",
     # the supplied events as a crawl-event log and as an access log
     "crawl_events": """
+        SELECT crawl_id, ts, event_id, event, {faults} AS data FROM (
         SELECT user_id AS crawl_id, ts, event_id,
                CASE event_type WHEN 'signup' THEN 'crawl_started' WHEN 'view' THEN 'page_processing' WHEN 'click' THEN 'media_found'
                  WHEN 'purchase' THEN CASE WHEN event_id % 40 = 0 THEN 'crawl_complete' ELSE 'page_complete' END
-                 ELSE CASE WHEN event_id % 50 = 1 THEN 'crawl_error' ELSE 'page_error' END END AS event,
-               CASE WHEN event_id % 97 = 5 THEN '{broken'
-                 ELSE '{"url":"https://' || CASE WHEN event_id % 67 = 3 AND event_type <> 'click' THEN '10.0.0.8' ELSE 'e.example.com' END || '/' || CAST(event_id AS STRING) || '","originalUrl":"https://e.example.com/"' ||
-                 ',"pageUrl":"https://e.example.com/p","depth":' || CAST(event_id % 3 AS STRING) ||
-                 ',"pagesDone":' || CAST(event_id % 20 AS STRING) || ',"pagesTotal":' || CAST(event_id % 89 % 30 AS STRING) ||
-                 ',"mediaCount":' || CAST(event_id % 8 AS STRING) || ',"totalPages":' || CAST(event_id % 20 AS STRING) ||
-                 ',"pagesWithErrors":0,"totalMedia":' || CAST(event_id % 70 AS STRING) ||
-                 ',"error":"' || CASE WHEN event_id % 31 = 7 THEN '' ELSE 'server_error' END || '"' ||
-                 ',"media":{"url":"https://e.example.com/m.mp4","type":"' ||
+                 ELSE CASE WHEN event_id % 50 = 1 THEN 'crawl_error' WHEN event_id % 5 = 2 THEN 'page_discovered' ELSE 'page_error' END END AS event,
+               '{"url":"https://' || CASE WHEN event_id % 67 = 3 AND event_type <> 'click' THEN '10.0.0.8' ELSE 'e.example.com' END || '/' || CAST(event_id AS STRING)
+                 || '","originalUrl":"https://e.example.com/","config":{"maxDepth":2,"followExternal":false}'
+                 || ',"pageUrl":"https://e.example.com/p","depth":' || CAST(event_id % 3 AS STRING)
+                 || ',"category":"external","source":"anchor","fromUrl":"https://e.example.com/from","discoveryReason":null'
+                 || ',"pagesDone":' || CAST(event_id % 20 AS STRING) || ',"pagesTotal":' || CAST(event_id % 89 % 30 AS STRING)
+                 || ',"mediaCount":' || CAST(event_id % 8 AS STRING) || ',"totalPages":' || CAST(event_id % 20 AS STRING)
+                 || ',"pagesWithErrors":0,"totalMedia":' || CAST(event_id % 70 AS STRING)
+                 || ',"error":"' || CASE WHEN event_id % 31 = 7 THEN '' ELSE 'server_error' END || '","crawlDurationMs":' || CAST(event_id % 900 AS STRING)
+                 || '.5,"media":' || item || ',"results":[{"url":"https://e.example.com/r","depth":0,"title":"t","media":[' || item
+                 || '],"error":null,"possibleSpa":false,"pageKind":"hub","discoveredFrom":null,"discoveryReason":null}]}' AS whole
+        FROM (SELECT *, '{"url":"https://e.example.com/m.mp4","type":"' ||
                  CASE WHEN event_id % 13 = 2 THEN 'audio' WHEN event_id % 2 = 0 THEN 'video' ELSE 'image' END || '","platform":' ||
-                 CASE WHEN event_id % 3 = 0 THEN '"vimeo"' ELSE 'null' END || ',"confidence":0.9,"source":"x"}}' END AS data
-        FROM {events}""",
+                 CASE WHEN event_id % 3 = 0 THEN '"vimeo"' ELSE 'null' END || ',"videoId":null,"title":"t","thumbnailUrl":null,"canonicalUrl":null' ||
+                 ',"contentKind":"video","confidence":0.9,"duration":null,"source":"x","downloadable":true,"discoveredFrom":null,"discoveryReason":null}' AS item
+        FROM {events}))""",
 }
 
+# one bad payload for each rule of the event schemas, by event_id % 61: what is replaced, and by what
+FAULTS = [
+    ('"depth":', '"depht":'), ('"pagesDone":', '"pagesDone":null,"was":'), ('"pagesTotal":', '"pagesTotal":"7","was":'),
+    ('"mediaCount":', '"mediaCount":1.5,"was":'), ('"error":"server_error"', '"error":""'), ('"config":{', '"conf":{'),
+    ('"maxDepth":2', '"maxDepth":4'), ('"maxDepth":2', '"maxDepth":true'), ('"followExternal":false', '"followExternal":null'),
+    ('"source":"x"', '"source":""'), ('"source":"x"', '"sauce":"x"'), ('"confidence":0.9', '"confidence":1.2'),
+    ('"downloadable":true', '"downloadable":"true"'), ('"contentKind":"video"', '"contentKind":"film"'), ('"results":[', '"result":['),
+    ('"pageKind":"hub"', '"pageKind":"page"'), ('"possibleSpa":false', '"possibleSpa":0'), ('"crawlDurationMs":', '"crawlDurationMs":-1,"was":'),
+    ('"category":"external"', '"category":"other"'), ('"source":"anchor"', '"source":"link"'), ('"fromUrl":"https', '"fromUrl":"ftp'),
+    ('"totalPages":', '"totalPages":-3,"was":'), ('"pageUrl":"https://e.example.com/p"', '"pageUrl":"https://localhost/p"'), ('"platform":', '"platfrom":'),
+    ('"thumbnailUrl":null', '"thumbnailUrl":"https://intranet/t.jpg"'), ('"url":"https://e.example.com/m.mp4"', '"url":7'),
+    ('"originalUrl":"https://e.example.com/"', '"originalUrl":""'), ('"title":"t"', '"title":5'), ('"pagesWithErrors":0', '"pagesWithErrors":0.25'),
+    ('"maxDepth":2', '"maxPages":0'), ('"results":[{', '"results":[3,{'),
+]
+BASES["crawl_events"] = BASES["crawl_events"].replace("{faults}", (
+    "CASE WHEN event_id % 97 = 5 THEN '{broken' WHEN event_id % 97 = 6 THEN '[1]' ELSE CASE event_id % 61 "
+    + " ".join(f"WHEN {i} THEN replace(whole, '{old}', '{new}')" for i, (old, new) in enumerate(FAULTS)) + " ELSE whole END END"))
+
 
 def base_sql(name: str, table=lambda t: t) -> str:
     text = BASES[name]

@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from weblode.functions.fixed import LOG_REASON_LABELS, LOG_SOURCE_LABELS
-from weblode.functions.urls import host_of, is_private_host
+from weblode.functions.text import settle
 from weblode.operators.results import reason_label
 from weblode.streaming.limiter import ROCKS_DB
+from weblode.streaming.schemas import fault_of
 
 EVENTS = "crawl_id BIGINT, ts TIMESTAMP, event STRING, data STRING"
 MAX_LOG = 50
 
-_URL = "{} RLIKE '^https?://'"
-# ---- fixed values: fields of each event kind and what makes them acceptable --------------------
-KINDS: dict[str, tuple[str, list[str]]] = {
-    "crawl_started": ("url STRING", [_URL.format("d.url")]),
-    "page_discovered": (
-        "url STRING, category STRING, depth INT, source STRING, fromUrl STRING, discoveryReason STRING",
-        [_URL.format("d.url"), "d.category IN ('video_platform','same_domain','subdomain','external')", "d.depth >= 0",
-         "d.source IN ('anchor','button','data_attr','data_settings','onclick')", _URL.format("d.fromUrl")]),
-    "page_processing": (
-        "url STRING, depth INT, pagesDone INT, pagesTotal INT",
-        [_URL.format("d.url"), "d.depth >= 0", "d.pagesDone >= 0", "d.pagesTotal >= 0"]),
-    "media_found": (
-        "pageUrl STRING, media STRUCT<url:STRING,type:STRING,platform:STRING,confidence:DOUBLE,source:STRING>",
-        [_URL.format("d.pageUrl"), _URL.format("d.media.url"), "d.media.type IN ('image','video')",
-         "(d.media.confidence IS NULL OR d.media.confidence BETWEEN 0 AND 1)"]),
-    "page_complete": ("url STRING, mediaCount INT, depth INT", [_URL.format("d.url"), "d.mediaCount >= 0", "d.depth >= 0"]),
-    "page_error": ("url STRING, error STRING, depth INT", [_URL.format("d.url"), "d.error <> ''", "d.depth >= 0"]),
-    "crawl_complete": (
-        "originalUrl STRING, totalPages INT, pagesWithErrors INT, totalMedia INT",
-        [_URL.format("d.originalUrl"), "d.totalPages >= 0", "d.pagesWithErrors >= 0", "d.totalMedia >= 0"]),
-    "crawl_error": ("error STRING", ["d.error <> ''"]),
-}
-# every field of every kind once, in the order first named
-_ALL = ", ".join(dict.fromkeys(
-    field for fields, _ in KINDS.values() for field in re.split(r", (?![^<]*>)", fields)))
+# the members that progress, status and log rows read, of all kinds
+_READ = ("url STRING, category STRING, depth INT, source STRING, fromUrl STRING, discoveryReason STRING, pagesDone INT, pagesTotal INT, pageUrl STRING, "
+         "media STRUCT<url:STRING,type:STRING,platform:STRING,confidence:DOUBLE,source:STRING>, mediaCount INT, error STRING, originalUrl STRING, "
+         "totalPages INT, pagesWithErrors INT, totalMedia INT")
 
 
 def read_crawl_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -54,18 +31,12 @@ def read_crawl_events(spark: SparkSession, path: str, files_per_trigger: int | N
 
 
 def parse_events(events: DataFrame) -> DataFrame:
-    """Add the parsed struct ``d`` and ``valid``; malformed rows stay, flagged, for a side output.
+    """Add the parsed struct ``d``, ``valid`` and ``reason``: what the payload's schema has against it, null for a valid row.
 
-    A row is valid when its kind is known, its fields are acceptable and no address in it is private.
+    Malformed rows stay, for a side output. The check is worked out once a row, behind ``settle``.
     """
-    rows = events.withColumn("d", F.from_json("data", _ALL))
-    checks = F.lit(False)
-    for kind, (_, conditions) in KINDS.items():
-        fine = F.expr(" AND ".join(conditions))
-        for field in re.findall(r"(d[.]\S+) RLIKE", " ".join(conditions)):
-            fine = fine & ~is_private_host(host_of(F.col(field)))
-        checks = F.when(F.col("event") == kind, fine).otherwise(checks)
-    return rows.withColumn("valid", F.coalesce(checks, F.lit(False)))
+    rows = settle(events, d=F.from_json("data", _READ), reason=fault_of(F.col("event"), F.try_parse_json("data")))
+    return rows.withColumn("valid", F.col("reason").isNull())
 
 
 def crawl_progress(events: DataFrame) -> DataFrame:
