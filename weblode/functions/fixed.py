@@ -257,3 +257,6 @@ CLOSES_P = [
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "main", "menu", "nav", "ol", "p",
     "pre", "section", "table", "ul",
 ]
+
+# ---- fixed values: codes of pages that an analysis refuses -----------------------------
+ANALYSE_CODES = ["FETCH_FAILED", "NOT_HTML", "HTML_TOO_LARGE"]

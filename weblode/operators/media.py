@@ -28,6 +28,7 @@ from weblode.functions.urls import (
     bare_host, is_http, is_media_extension, path_of, query_param, strip_fragment, url_extension, with_resolved,
 )
 from weblode.operators.tokens import elements, raw_body, tokens_of, with_attributes
+from weblode.sources.stages import written
 
 # order of the sources; the first reference to a URL in this order wins
 RANK = {name: i for i, name in enumerate([
@@ -266,8 +267,12 @@ def dedup_assets(refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def extract_media(pages: DataFrame, player_scripts: DataFrame | None = None, limits: Limits = Limits(), els: DataFrame | None = None) -> DataFrame:
-    """Assets of every page: page_id, ord, url, type, file_name, extension, source_tag. ``els``: a stored ``elements`` table of the pages."""
-    els = elements(pages) if els is None else els
+    """Assets of every page: page_id, ord, url, type, file_name, extension, source_tag. ``els``: a stored ``elements`` table of the pages.
+
+    With ``player_scripts`` the elements are read twice, so they are stored first and the HTML is read once.
+    """
+    if els is None:
+        els = elements(pages) if player_scripts is None else written(elements(pages), "elements")
     refs = raw_refs(els, limits)
     if player_scripts is not None:
         videos = player_videos(pages, player_scripts, limits, els)

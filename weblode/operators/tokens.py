@@ -201,19 +201,21 @@ def _meta_values(toks: Column) -> Column:
     return let(metas, lambda ms: F.when(F.size(ms) > 0, rows(ms)))
 
 
-def elements(pages: DataFrame, text: bool = False) -> DataFrame:
+def elements(pages: DataFrame, text: bool = False, outer: list[str] | None = None) -> DataFrame:
     """One row per element that can carry media, a link or an embed, with its ancestry. Narrow.
 
     Columns: page_id, page_url, pos, name, tag (start tag, or the whole raw-text element), names, values,
     in_picture (direct child), picture / video (token index of the enclosing one), lead_image (first image of
     its picture), video_tag; with ``text=True`` also nav, near_ad, own_text, parent_text and alt_tag.
     One extra row per page, named ``#meta``, carries the page's meta values. A table made with text serves media and embeds too.
+    With ``outer``, those columns of the pages stay, and a page without any element keeps one row, whose pos is null.
     """
-    base = pages.select("page_id", F.col("url").alias("page_url"), tokens_of(F.col("html")).alias("toks"))
+    kept = outer or []
+    base = pages.select("page_id", F.col("url").alias("page_url"), *kept, tokens_of(F.col("html")).alias("toks"))
     for step in _steps(text):
         base = base.withColumns(step)
-    out = base.select("page_id", "page_url", F.inline_outer("rows"))
-    return with_attributes(out.filter(F.col("pos").isNotNull()), "tag")
+    out = base.select("page_id", "page_url", *kept, F.inline_outer("rows"))
+    return with_attributes(out if outer is not None else out.filter(F.col("pos").isNotNull()), "tag")
 
 
 @built_once

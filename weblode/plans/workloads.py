@@ -17,7 +17,7 @@ from weblode.functions.urls import (
     canonical_url, compact_url, host_of, is_private_host, is_subdomain, same_domain, strip_fragment, truncate_url,
     url_extension, with_resolved,
 )
-from weblode.operators import admission, crawl, embeds, fetchlog, links, media, results, tokens
+from weblode.operators import admission, analyse, crawl, embeds, fetchlog, links, media, results, tokens
 from weblode.plans.bases import base
 from weblode.plans.enrich import enriched, linked
 from weblode.sources.pages import scan_pages, spread
@@ -71,11 +71,19 @@ def url_normalise(spark, sf_dir):
 
 
 def extract_media(spark, sf_dir):
-    return media.extract_media(_rich(spark, sf_dir))
+    return media.extract_media(_rich(spark, sf_dir), base(spark, sf_dir, "player_scripts"))
+
+
+def analyse_pages(spark, sf_dir):
+    return analyse.analyse_pages(base(spark, sf_dir, "page_bodies"), base(spark, sf_dir, "player_scripts"))[1]
+
+
+def analysed_assets(spark, sf_dir):
+    return analyse.analyse_pages(base(spark, sf_dir, "page_bodies"), base(spark, sf_dir, "player_scripts"))[0]
 
 
 def media_by_source(spark, sf_dir):
-    return media.extract_media(_rich(spark, sf_dir)).groupBy("source_tag", "type", "extension").agg(
+    return extract_media(spark, sf_dir).groupBy("source_tag", "type", "extension").agg(
         F.count("*").alias("assets"), F.countDistinct("page_id").alias("pages"))
 
 
@@ -189,33 +197,30 @@ def crawl_events_logged(spark, sf_dir):
             "url": "url", "error": "error", "total_pages": "totalPages", "with_errors": "pagesWithErrors", "duration": "crawlDurationMs"}.items()])
 
 
-_STAGES: dict[tuple, dict[str, DataFrame]] = {}
-
-
 def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Links, assets and embeds of the linked pages, written once per session and reused, as in production."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGES:
-        pages = written(linked(_pages(spark, sf_dir)), "pages")
-        pages = spread(pages, "page_id")
-        els = written(tokens.elements(pages, text=True), "elements")  # the HTML is read once for all three
-        made = {"pages": pages, "links": written(links.discover_links(pages, els=els), "links"),
-                "assets": written(media.extract_media(pages, els=els), "assets"),
-                "embeds": written(embeds.discover_embeds(pages, els=els), "embeds")}
-        made["media"] = written(
-            crawl.merge_page_media(made["assets"], made["embeds"], made["links"], pages, CRAWL), "media")
-        seeds = pages.select(F.col("page_id").alias("crawl_id"), "url")
-        made["crawl"] = crawl.deep_crawl(seeds, pages, made["links"], CRAWL)
-        _STAGES[key] = made
-    return _STAGES[key]
+    """Links, assets and embeds of the linked pages, each written for the steps that follow."""
+    pages = written(linked(_pages(spark, sf_dir)), "pages")
+    els = written(tokens.elements(pages, text=True), "elements")  # the HTML is read once for all three
+    made = {"pages": pages, "links": written(links.discover_links(pages, els=els), "links"),
+            "assets": written(media.extract_media(pages, base(spark, sf_dir, "player_scripts"), els=els), "assets"),
+            "embeds": written(embeds.discover_embeds(pages, els=els), "embeds")}
+    made["media"] = written(
+        crawl.merge_page_media(made["assets"], made["embeds"], made["links"], pages, CRAWL), "media")
+    return made
+
+
+def _crawled(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    s = stages(spark, sf_dir)
+    seeds = s["pages"].select(F.col("page_id").alias("crawl_id"), "url")
+    return s, crawl.deep_crawl(seeds, s["pages"], s["links"], CRAWL)
 
 
 def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = stages(spark, sf_dir)
-    visited = crawl.crawled_pages(s["crawl"])
+    s, crawled = _crawled(spark, sf_dir)
+    visited = crawl.crawled_pages(crawled)
     kept = crawl.dedup_media_across_pages(visited, s["media"])
     page_results = crawl.classify_pages(visited, kept, crawl.link_stats(s["links"]), tokens.page_facts(s["pages"]))
-    return s["crawl"], page_results, kept
+    return crawled, page_results, kept
 
 
 def merge_page_media(spark, sf_dir):
@@ -384,7 +389,7 @@ def bundle_status(spark, sf_dir):
 
 
 def parse_events(spark, sf_dir):
-    return events.parse_events(base(spark, sf_dir, "crawl_events")).select("crawl_id", "event_id", "event", "valid")
+    return events.parse_events(base(spark, sf_dir, "crawl_events")).select("crawl_id", "event_id", "event", "valid", "reason")
 
 
 def crawl_progress(spark, sf_dir):
@@ -443,7 +448,7 @@ def activity_tail_stream(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, media_by_source, player_videos,
+        page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, analyse_pages, analysed_assets, media_by_source, player_videos,
         discover_links, link_priorities, possible_spa, discover_embeds, classify_platform, classify_platform_strict,
         file_names, content_dispositions, deep_crawl, discovery_edges, fetch_outcomes, deep_crawl_logged, classify_pages_logged,
         crawl_summary_logged, crawl_events_logged, merge_page_media, dedup_media_across_pages,
