@@ -75,3 +75,76 @@ def test_supplied_pages(spark):
 ])
 def test_names_drop_boilerplate_and_no_wrapper(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<article><p title="my class=ad here">{P1}</p><p data-x=\'id="sidebar"\'>{P2}</p></article>', clean(P1, P2)),
+    (f'<article><p class="x" class="ad">{P1}</p><p CLASS=ad>{P2}</p></article>', clean(P1)),
+] + [
+    (f"<article><p>{P1}</p><section {name}><p>{P2}</p></section></article>", clean(P1, P2))
+    for name in ("id=share-prices", "id=related-work", "id=form-and-function", "class=social-history", "class='search-results-2020'", "id=comment-on-method")
+] + [
+    (f"<article><p>{P1}</p><section {name}><p>{P2}</p></section></article>", clean(P1))
+    for name in ("class=ad-slot", "id=related-posts", "class='share-buttons x'", "class=newsletterSignup", "id=ad-1", "class=comment-list", "class=sidebar")
+] + [
+    (f"<body>{P1}<div><p>{P2}</p><p>{P1}</p></div>", clean(P1, P2, P1)), (f"<body><div><p>{P2}</p><p>{P1}</p></div>{P1}<p>end", clean(P2, P1, P1, "end")),
+    (f"<body><div><p>{P2}</p><p>{P1}</p></div><ul><li><a href=/a>one link</a><li><a href=/b>another</a></ul>", clean(P2, P1)),
+    (f"<body><div class=menu>x</div><div><div><p>{P1}</p></div><div><p>{P2}</p><p>{P1}</p></div></div><div class=footer>{P1}</div>", clean(P1, P2, P1)),
+])
+def test_nothing_of_the_article_is_lost(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("head,one,two", [
+    ("<body><b><div>", "<i>", "</b>"), ("<ul><li><table>" + "<div>" * 20000, "<li>", "</li>"), ("<p>", "<b>", "<p>"), ("", "<div>", "</div>"), ("", "<td>", "</tr>"),
+    ("<p><button>", "<i>", "<p>"), ("<dl>", "<dt>x", "<dd>y"), ("", "<a class='ad slot'>", "</b>"), ("<i>", "<div>", "</i>"), ("", "<p title='", "'>"),
+    ("<select>", "<option>", "<b>"), ("<table>", "<tr><td>", "<div></table>")])
+def test_time_follows_pairs_of_markup(head, one, two):
+    for part in (head + one * (150_000 // len(one)) + two * (150_000 // len(two)), head + (one + two) * (300_000 // len(one + two))):
+        start = time.perf_counter()
+        main_text(part)
+        assert time.perf_counter() - start < 4
+
+
+def test_densities_by_brute_force():
+    """Every element's density from its subtree as listed, and the choice from all sums, on random trees without an article."""
+    import math
+    import random
+
+    from weblode.llm.extract import Page
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice(["word " * rng.randint(0, 30), f"<a href=/x>{'link ' * rng.randint(1, 5)}</a>", "<br>", "<img src=x>"])
+        name = rng.choice(["div", "section", "span", "b", "blockquote", "div"])
+        return f"<{name}>" + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{name}>"
+
+    for _ in range(40):
+        page = Page("<html><body>" + "".join(tree(4) for _ in range(4)) + "</body></html>")
+        n = len(page.name)
+
+        def above(i):
+            out = [i]
+            while out[-1]:
+                out.append(page.parent[out[-1]])
+            return out
+
+        sub = [[j for j in range(n) if i in above(j)] for i in range(n)]
+        in_link = [any(page.name[k] == "a" for k in above(j) if k) for j in range(n)]
+        size = lambda i, only: sum(sum(map(len, t.split())) for node, _, t in page.texts if node in sub[i] and (in_link[node] or not only))
+        share = size(0, True) / max(size(0, False), 1)
+        want = []
+        for i in range(n):
+            c, lc = size(i, False), size(i, True)
+            t, lt = max(len(sub[i]) - 1, 1), max(sum(page.name[j] == "a" for j in sub[i] if j != i), 1)
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c else 0
+            want.append(c / t * math.log(c * t / (max(lc, 1) * lt) + 1) / math.log(base + math.e - 1) if c else 0.0)
+        density, sums, last = page.densities()
+        assert density == pytest.approx(want)
+        assert sums == pytest.approx([sum(want[j] for j in range(1, n) if page.parent[j] == i) for i in range(n)])
+        assert last == [max(s) for s in sub]
+        first, end = page.main()
+        best = max(range(n), key=lambda i: (sums[i], -i))
+        assert not sums[best] or first in above(best) and end == last[first]

@@ -17,7 +17,8 @@ _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?<![^\s\"'/])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]++))|(?=[\s/>]|\Z))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+")
+_TELLING = re.compile("class|id|role|hidden", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,10 @@ BOILERPLATE = frozenset((
 QUALIFIERS = frozenset((
     "has no not non with without is hide hides hidden show shows open opened closed content layout category categories cat tag tags"
     " topic type format template").split())
+#: Words that name a box of whatever stands beside them: ad-slot, share-buttons, related-posts (but not share-prices, related-work).
+BOXES = frozenset((
+    "slot container box block wrap wrapper list area section bar buttons button links icons posts articles items item unit placement inner outer"
+    " body title row").split())
 #: Words of an article's class that make it an advert or a reader's comment.
 NOT_ARTICLE = frozenset("ad ads advert adverts advertisement promo promos comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -56,14 +61,18 @@ _IMPLIED = {
 }
 
 
-def _names(value: str, words: frozenset) -> bool:
-    """Whether a token of a class or id is one of ``words``, or a compound that starts or ends with one and has no qualifier."""
+def _names(value: str, words: frozenset, whole: bool = False) -> bool:
+    """Whether a token of a class or id is one of ``words``, or a compound without a qualifier that starts or ends with one; with ``whole``,
+    a compound of such words and boxes only."""
     for token in value.split():
         parts = [x.lower() for x in _PARTS.findall(token)]
         if not parts:
             continue
-        if token.lower() in words or (parts[0] in words or parts[-1] in words) and QUALIFIERS.isdisjoint(parts):
+        if token.lower() in words:
             return True
+        if QUALIFIERS.isdisjoint(parts) and (parts[0] in words or parts[-1] in words):
+            if not whole or all(x in words or x in BOXES or x.isdigit() for x in parts):
+                return True
     return False
 
 
@@ -74,15 +83,18 @@ def _unwanted(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is never article text, and whether its class or id says that it is boilerplate."""
     if name in DROPPED or name == "header" and not in_article:
         return True, False
-    if not attrs or name in ("html", "body"):
+    if not attrs or name in ("html", "body") or not _TELLING.search(attrs):
         return False, False
-    named = False
-    for m in _NAMED.finditer(attrs):
+    named, seen = False, set()
+    for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in seen:
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
             return True, False
         if key in ("class", "id") and name not in _ARTICLE:
-            named = named or _names(value, BOILERPLATE if in_article else _HEADERS)
+            named = named or _names(value, BOILERPLATE if in_article else _HEADERS, in_article)
         elif key == "class":
             named = named or _names(value, NOT_ARTICLE)
     return False, named
@@ -97,7 +109,9 @@ class Page:
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
         open_: list[int] = [0]
-        opened: dict[str, int] = {}
+        opened: dict[str, list[int]] = {}  # places in ``open_`` by name
+        self._inline: list[dict[str, int]] = [{}]  # for every open block: the inline elements open in it, by name
+        self._walls: list[int] = []  # places of open blocks that an end of a paragraph does not reach past
         at = 0
         while m := _TOKEN.search(html, at):
             self._text(open_[-1], html[at:m.start()])
@@ -117,8 +131,7 @@ class Page:
                 self._close_in(open_, opened, frozenset(["p"]), _SCOPE)
             if name in _IMPLIED:
                 closing, scope = _IMPLIED[name]
-                if any(opened.get(x) for x in closing):
-                    self._close_in(open_, opened, closing, scope)
+                self._close_in(open_, opened, closing, scope)
             up = open_[-1]
             node = len(self.name)
             self.name.append(name)
@@ -139,8 +152,14 @@ class Page:
                 continue
             if name in VOID or m["attrs"].endswith("/") and name in ("svg", "math"):
                 continue
+            opened.setdefault(name, []).append(len(open_))
+            if name in INLINE:
+                self._inline[-1][name] = self._inline[-1].get(name, 0) + 1
+            else:
+                self._inline.append({})
+                if name not in _CLOSES_P:
+                    self._walls.append(len(open_))
             open_.append(node)
-            opened[name] = opened.get(name, 0) + 1
         self._text(open_[-1], html[at:])
         if any(self.named):
             self._skip_named()
@@ -176,32 +195,34 @@ class Page:
         if raw:
             self.texts.append((node, self.block, raw))
 
-    def _pop(self, open_: list[int], opened: dict[str, int]) -> str:
+    def _pop(self, open_: list[int], opened: dict[str, list[int]]) -> str:
         name = self.name[open_.pop()]
-        opened[name] -= 1
-        if name not in INLINE:
+        opened[name].pop()
+        if name in INLINE:
+            self._inline[-1][name] -= 1
+        else:
+            self._inline.pop()
+            if name not in _CLOSES_P:
+                self._walls.pop()
             self.block += 1
         return name
 
-    def _close(self, open_: list[int], opened: dict[str, int], name: str) -> None:
-        if name in INLINE:  # a stray end of an inline element closes no block
-            for i in range(len(open_) - 1, 0, -1):
-                if self.name[open_[i]] == name:
-                    break
-                if self.name[open_[i]] not in INLINE:
-                    return
+    def _close(self, open_: list[int], opened: dict[str, list[int]], name: str) -> None:
+        if name in INLINE and not self._inline[-1].get(name):  # a stray end of an inline element closes no block
+            return
         while self._pop(open_, opened) != name:
             pass
 
-    def _close_in(self, open_: list[int], opened: dict[str, int], names: frozenset, scope: frozenset) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            name = self.name[open_[i]]
-            if name in names:
-                while len(open_) > i:
-                    self._pop(open_, opened)
-                return
-            if name in scope or name not in INLINE and "p" in names and name not in ("p",) and name not in _CLOSES_P:
-                return
+    def _close_in(self, open_: list[int], opened: dict[str, list[int]], names: frozenset, scope: frozenset) -> None:
+        """Close the innermost open element of ``names``, unless something of ``scope`` stands in between. Costs a look at a few names."""
+        def innermost(some: frozenset) -> int:
+            return max((opened[x][-1] for x in some if opened.get(x)), default=0)
+
+        at = innermost(names)
+        if not at or innermost(scope) > at or "p" in names and self._walls and self._walls[-1] > at:
+            return
+        while len(open_) > at:
+            self._pop(open_, opened)
 
     def densities(self) -> tuple[list[float], list[float], list[int]]:
         """Composite text density of every element, the sum over its children, and the last element inside it."""
@@ -237,12 +258,13 @@ class Page:
         """First and last element of the subtree taken as the article.
 
         From the element with the largest density sum the choice climbs towards the body: to an enclosing article or main element
-        if there is one, else as long as the parent is denser than the body, the least dense end of the path.
+        if there is one, else as long as the parent is denser than the body, the least dense end of the path, and on to where text
+        beside the choice is as plain as the page's.
         """
         density, sums, last = self.densities()
         alive = [i for i in range(len(sums)) if not self.skip[i]]
         best = max(alive, key=lambda i: (sums[i], -i), default=0)
-        if not sums[best]:
+        if not best or not sums[best]:
             return 0, last[0]
         body = next((i for i, name in enumerate(self.name) if name == "body"), 0)
         path, up = [], best
@@ -253,11 +275,34 @@ class Page:
         if outer:
             best = outer[-1] if self.name[outer[-1]] == "article" or not any(self.name[i] == "article" for i in outer) else next(
                 i for i in reversed(outer) if self.name[i] == "article")
-        else:
-            for i in path[1:]:
-                if i == body or density[i] <= density[body]:
-                    break
-                best = i
+            return best, last[best]
+        for i in path[1:]:
+            if i == body or density[i] <= density[body]:
+                break
+            best = i
+        return self._with_neighbours(best, path, last)
+
+    def _with_neighbours(self, best: int, path: list[int], last: list[int]) -> tuple[int, int]:
+        """The choice, or the ancestor around it where text beside it is no less plain: mostly unlinked, with as many characters a tag as
+        all of the page's text that is not skipped."""
+        n = len(self.name)
+        chars, linked, tags, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = self.name[i] == "a" or in_link[self.parent[i]]
+        for node, _, text in self.texts:
+            if not self.skip[node]:
+                size = sum(map(len, text.split()))
+                chars[node] += size
+                linked[node] += size * in_link[node]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+            tags[up] += tags[i] + (not self.skip[i])
+        for up in path[path.index(best) + 1:] + [0]:
+            beside, tagged = chars[up] - chars[best], max(tags[up] - tags[best] - 1, 1)
+            if beside and 2 * (linked[up] - linked[best]) < beside and beside * max(tags[0], 1) >= chars[0] * tagged:
+                best = up
         return best, last[best]
 
     def article_text(self) -> str:
