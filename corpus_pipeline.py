@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from weblode.llm.jaccard import jaccard_components
 from weblode.llm.lines import dedup_lines
-from weblode.llm.mixing import mixture
+from weblode.llm.mixing import whole_copies
 from weblode.llm.pieces import encode
 from weblode.llm.quality import good_documents
 from weblode.sources.stages import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. A null or empty text has no words and goes; every other row is judged alone, so repeated rows
+    share a verdict; other columns are kept; an empty table stays empty."""
     return good_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts, ``n_chars`` follows; a document that lost all of its text goes."""
+    """Repeated chunks of lines go from the texts, ``n_chars`` follows; a document that lost all of its text goes.
+
+    Null and empty texts lose nothing and stay; of repeated rows the first keeps its lines; other columns are kept, an empty table stays empty."""
     lost = F.col("_chunks_removed") > 0
     kept = dedup_lines(docs).filter(~lost | (F.col("text") != ""))
     if "n_chars" in docs.columns:
@@ -30,24 +33,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five words, the one with the smallest doc_id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five words, the one with the smallest doc_id stays.
+
+    Documents without words and rows without a doc_id are linked with nothing and stay; rows that share a doc_id stay or go together; other
+    columns are kept; an empty table stays empty."""
     gone = jaccard_components(docs, k=5, percent=80).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words: whole rounds, and a part of a round as its nearest whole number.
+    """Every document as often as the mix takes its words, as whole copies: a shard's cut documents are rounded together, towards its quota.
 
-    Only a shard's two arc ends take part of a document.
+    Documents without words are taken 0 times. A null doc_id and a null source are values like others; repeated rows are each taken as
+    often; an empty table stays empty; other columns are kept whatever their names.
     """
-    mixed = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
-    times = mixed.select("_id", F.floor(F.coalesce("_times", F.lit(0.0)) + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    taken = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    place = next(i for i, name in enumerate(names) if name.lower() == "doc_id")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    taken = whole_copies(docs).select(F.col("doc_id").alias("mixed_id"), "copies")
+    both = rows.join(taken, F.col(f"c{place}").cast("long").eqNullSafe(F.col("mixed_id")))
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as piece ids."""
+    """The texts as piece ids, one row for each row: null texts have none; other columns are kept; an empty table stays empty."""
     return encode(docs)
 
 

@@ -71,3 +71,26 @@ def test_no_words_and_no_rows(spark):
     rows = mixture(frame(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in rows) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
     assert mixture(frame(spark, [])).select(F.count("*")).first()[0] == 0
+
+
+def test_whole_copies(spark):
+    """A source's copies come near its target where documents are long, and clashing columns survive the stage."""
+    import corpus_pipeline
+    from weblode.llm.mixing import whole_copies
+
+    docs = [(i, "w " * 10_000, "a") for i in range(4)] + [(10 + i, "w " * 700, "b") for i in range(30)] + [(50, None, "a"), (51, "", None), (None, "x y z", "c"), (60, "v " * 9, "d")]
+    frame = spark.createDataFrame([(*d, 7, 8, "k") for d in docs], "doc_id long, text string, source string, _times int, copies int, copy string")
+    mixed = mixture(frame, places=True).collect()
+    copies = {r.doc_id: r.copies for r in whole_copies(frame).collect()}
+    words = {i: len((t or "").split()) for i, t, _ in docs}
+    sources = {i: s for i, _, s in docs}
+    for source in {"a", "b"}:
+        target = next(r.target for r in mixed if sources[r.doc_id] == source)
+        largest = max(words[i] for i in words if sources[i] == source)
+        assert abs(sum(words[i] * copies.get(i, 0) for i in words if sources[i] == source) - target) <= largest / 2 + 16
+    assert max(copies.values()) <= 3 and not {50, 51} & set(copies)
+    out = corpus_pipeline.mixing(spark, frame, "")
+    assert out.columns == frame.columns
+    rows = [tuple(r) for r in out.collect()]
+    assert all(rows.count((*d, 7, 8, "k")) == copies.get(d[0], 0) for d in docs) and len(rows) == sum(copies.values())
+    assert corpus_pipeline.mixing(spark, frame.limit(0), "").collect() == []

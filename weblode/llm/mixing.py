@@ -57,8 +57,9 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, order: list[str], w
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 42, block: int = BLOCK,
-            shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` to one row per input row: doc_id, size, source_size, target, taken.
+            shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, places: bool = False) -> DataFrame:
+    """``docs(doc_id, text, source, ...)`` to one row per input row: doc_id, size, source_size, target, taken; with ``places`` also the
+    number of the source (turn) and the shard.
 
     1. Sizes are counted in the scan; everything after works on rows of a few numbers.
     2. ``targets`` gives every source its share of all words; Sainte-Lague deals blocks of ``block`` words to the sources.
@@ -96,4 +97,30 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3
     head = F.greatest(F.least("stop", F.col("start") + F.col("arc")) - F.greatest("begin", "start"), F.lit(0))
     wrapped = F.greatest(F.least(F.col("stop"), F.col("start") + F.col("arc") - F.col("words")) - F.col("begin"), F.lit(0))
     taken = F.col("size") * F.col("rounds") + head + wrapped
-    return both.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"),
+                       *(["turn", "shard"] if places else []))
+
+
+def whole_copies(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, copies) of the documents that ``mixture`` takes at least once, as whole copies.
+
+    Only a document where a shard's arc begins or ends is taken in part. Of a shard's few such documents, those are taken once more,
+    larger ones first, that bring the words nearer to the shard's quota; so a shard misses its quota by half of its largest cut
+    document at most, where rounding each alone could miss it by both halves. Rows that share a doc_id get the same copies.
+    """
+    mixed = mixture(docs, places=True, **how).groupBy("doc_id").agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("turn").alias("turn"), F.min("shard").alias("shard")).filter("size > 0")
+    mixed = mixed.withColumn("whole", F.expr("taken div size")).withColumn("part", F.col("taken") % F.col("size"))
+    cut = mixed.filter("part > 0").groupBy("turn", "shard").agg(
+        F.sum("part").alias("want"), F.sort_array(F.collect_list(F.struct("size", "doc_id", "whole")), asc=False).alias("cuts"))
+
+    def nearer(state, cut):
+        more = state.have + cut["size"]
+        take = F.abs(more - F.col("want")) < F.abs(state.have - F.col("want"))
+        return F.struct(F.when(take, more).otherwise(state.have).alias("have"), F.array_append(state.rows, F.struct(
+            cut["doc_id"].alias("doc_id"), (cut["whole"] + take.cast("int")).alias("copies"))).alias("rows"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("have"), F.array().cast("array<struct<doc_id:bigint,copies:bigint>>").alias("rows"))
+    rounded = cut.select(F.inline(F.aggregate("cuts", zero, nearer, lambda state: state.rows)))
+    even = mixed.filter("part = 0").select("doc_id", F.col("whole").alias("copies"))
+    return even.unionByName(rounded).filter("copies > 0").withColumn("copies", F.col("copies").cast("int"))
