@@ -35,3 +35,26 @@ def test_deep_nesting_is_linear_and_right(spark):
     assert links == [("/x", True, "go"), ("/y", False, "out"), ("/z", False, "")]
     assert [(r.in_picture, r.lead_image) for r in rows if r.name == "img"] == [(True, True)]
     assert elements(df).filter(F.col("picture").isNotNull()).count() == 1
+
+
+def test_a_replayed_batch_leaves_equal_files(spark, tmp_path):
+    from weblode.operators.media import extract_media
+    from weblode.sources.pages import follow_assets, read_assets, stream_pages, write_assets
+
+    pages = spark.createDataFrame([(i, U, f'<img src="/{i}.jpg"><video src="/{i}.mp4"></video>') for i in range(6)], "page_id long, url string, html string")
+    for k in range(3):
+        pages.filter(f"page_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda cp: follow_assets(stream_pages(spark, str(tmp_path / "in"), 1), extract_media, str(tmp_path / "out"), str(tmp_path / cp)).awaitTermination()
+    rows = lambda: sorted((r.page_id, r.url, r.type, r.extension, r.file_name) for r in read_assets(spark, str(tmp_path / "out")).collect())
+    run("cp")
+    first = rows()
+    direct = extract_media(pages)
+    assert first == sorted((r.page_id, r.url, r.type, r.extension, r.file_name) for r in direct.collect()) and len(first) == 12
+    run("cp")  # nothing new
+    assert rows() == first
+    run("lost")  # the checkpoint was lost: every batch is run again and replaces its own folder
+    assert rows() == first
+    write_assets(direct, str(tmp_path / "table"))
+    back = read_assets(spark, str(tmp_path / "table"))
+    assert sorted(map(tuple, back.select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.is_dir()) == ["type=IMAGE", "type=VIDEO"]

@@ -20,7 +20,7 @@ from weblode.functions.urls import (
 from weblode.operators import admission, analyse, crawl, embeds, fetchlog, links, media, results, tokens
 from weblode.plans.bases import base
 from weblode.plans.enrich import enriched, linked
-from weblode.sources.pages import scan_pages, spread
+from weblode.sources.pages import follow_assets, read_assets, scan_pages, spread, stream_pages
 from weblode.sources.stages import stage_folder, written
 from weblode.streaming import events, limiter
 
@@ -74,6 +74,15 @@ def extract_media(spark, sf_dir):
     return media.extract_media(_rich(spark, sf_dir), base(spark, sf_dir, "player_scripts"))
 
 
+def streamed_assets(spark, sf_dir):
+    """The flagship over pages that arrive as a stream, read back from its sink."""
+    folder = f"{stage_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    _rich(spark, sf_dir).repartition(4, "page_id").write.parquet(f"{folder}/pages")
+    scripts = written(base(spark, sf_dir, "player_scripts"), "player-scripts")
+    follow_assets(stream_pages(spark, f"{folder}/pages", 2), lambda pages: media.extract_media(pages, scripts), f"{folder}/assets", f"{folder}/checkpoint").awaitTermination()
+    return read_assets(spark, f"{folder}/assets").drop("batch")
+
+
 def analyse_pages(spark, sf_dir):
     return analyse.analyse_pages(base(spark, sf_dir, "page_bodies"), base(spark, sf_dir, "player_scripts"))[1]
 
@@ -448,7 +457,7 @@ def activity_tail_stream(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, analyse_pages, analysed_assets, media_by_source, player_videos,
+        page_links, page_facts, tag_counts, tags_inside, url_normalise, extract_media, streamed_assets, analyse_pages, analysed_assets, media_by_source, player_videos,
         discover_links, link_priorities, possible_spa, discover_embeds, classify_platform, classify_platform_strict,
         file_names, content_dispositions, deep_crawl, discovery_edges, fetch_outcomes, deep_crawl_logged, classify_pages_logged,
         crawl_summary_logged, crawl_events_logged, merge_page_media, dedup_media_across_pages,

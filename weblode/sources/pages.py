@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 PAGES = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -41,6 +44,24 @@ def write_assets(assets: DataFrame, path: str) -> None:
     assets.write.mode("overwrite").partitionBy("type", "extension").parquet(path)
 
 
+def read_assets(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_assets`` or ``follow_assets`` has written, with type and extension from the folder names."""
+    return spark.read.parquet(path)
+
+
+def follow_assets(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Extract a stream of captured pages into a folder of assets, exactly once.
+
+    Every micro-batch owns the folder ``batch=<id>`` and replaces it whole, so a batch that is run again after a failure leaves the very same
+    files and none of an earlier try. ``once`` ends the query when all pages that are there have been read.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_assets(extract(batch), f"{path}/batch={epoch}")
+
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def write_clustered_pages(pages: DataFrame, table: str, buckets: int) -> None:
     """Store pages bucketed by page_id: page-keyed windows and joins over it then need no exchange."""
     pages.write.mode("overwrite").bucketBy(buckets, "page_id").sortBy("page_id").saveAsTable(table)
