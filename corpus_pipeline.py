@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.llm.jaccard import jaccard_components
-from weblode.llm.lines import dedup_lines
+from weblode.llm.lines import dedup_passages
 from weblode.llm.mixing import whole_copies
 from weblode.llm.pieces import encode
 from weblode.llm.quality import good_documents
@@ -22,11 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts, ``n_chars`` follows; a document that lost all of its text goes.
+    """Passages of 50 words or more and chunks of lines that an earlier document has too go from the texts, ``n_chars`` follows; a document
+    that lost all of its text goes.
 
-    Null and empty texts lose nothing and stay; of repeated rows the first keeps its lines; other columns are kept, an empty table stays empty."""
-    lost = F.col("_chunks_removed") > 0
-    kept = dedup_lines(docs).filter(~lost | (F.col("text") != ""))
+    Null and empty texts lose nothing and stay; of repeated texts the first keeps its lines; other columns are kept, an empty table stays empty."""
+    lost = F.col("_lines_removed") > 0
+    kept = dedup_passages(docs).filter(~lost | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

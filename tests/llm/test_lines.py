@@ -75,7 +75,7 @@ def runs(docs):
         mine = text.split("\n")
         gone = set()
         for e, other in docs:
-            theirs = other.split("\n") if e < d else []
+            theirs = other.split("\n") if e < d and not set(mine).isdisjoint(other.split("\n")) else []
             for shift in range(-len(theirs), len(mine)):
                 run = []
                 for i in [*range(max(0, shift), min(len(mine), shift + len(theirs))), None]:
@@ -134,3 +134,14 @@ def test_passages_of_odd_rows(spark):
     assert all(line not in t for i, t, _ in got if i == 4)
     empty = dedup_passages(frame(spark, []))
     assert empty.collect() == [] and empty.columns == ["doc_id", "text", "chunk", "_lines_removed"]
+
+
+def test_blank_lines_cost_no_more_than_others():
+    import time
+
+    from weblode.llm.lines import _digest, spans
+
+    start = time.perf_counter()
+    text = "\n" * 60_000 + "w " * 30 + "\n" * 60_000 + "v " * 30
+    found = spans(text)
+    assert sum(b - a for a, b in found) < 3 * 150_000 + len(text) and all(_digest(text) for _ in range(2)) and time.perf_counter() - start < 5

@@ -169,10 +169,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def spans(text: str) -> set[tuple[int, int]]:
     """(first line, line after the last) of every span of a text that is looked for elsewhere.
 
-    From every line on, and up to every line, the fewest lines with ``PASSAGE_WORDS`` words; the chunks of two lines or more; all of
-    a text of two lines or more. Each depends on its own lines alone, and the first two kinds cover every line of every run of that
-    many words: a line with too few words between it and the end of a run is in the span that ends there. So two texts have a run in
-    common just where they have its spans in common. Blank spans are left out.
+    From every line with a word on, and up to every such line, the fewest lines with ``PASSAGE_WORDS`` words; the chunks of two lines or
+    more; all of a text of two lines or more. Each depends on its own lines alone, and the first two kinds cover every line of every run of that
+    many words, but for blank lines at its ends: a line with too few words between it and the end of a run is in the span that ends
+    there. So two texts have a run in common just where they have its spans in common. Blank spans are left out, and no line is in
+    more than a few times ``PASSAGE_WORDS`` spans, so time follows the text.
     """
     lines = text.split("\n")
     total = [0]
@@ -185,7 +186,8 @@ def spans(text: str) -> set[tuple[int, int]]:
             end += 1
         if end > len(lines):
             break
-        out.add((start, end))
+        if total[start + 1] > total[start]:
+            out.add((start, end))
     start = len(lines) - 1
     for end in range(len(lines), 0, -1):
         start = min(start, end - 1)
@@ -193,7 +195,8 @@ def spans(text: str) -> set[tuple[int, int]]:
             start -= 1
         if start < 0:
             break
-        out.add((start, end))
+        if total[end] > total[end - 1]:
+            out.add((start, end))
     start = 0
     for n, _ in chunks(text):
         out.add((start, start + n))
