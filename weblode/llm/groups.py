@@ -27,15 +27,19 @@ def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, h
 DEAL = 64
 
 
-def joined_by(rows: DataFrame, other: DataFrame, key: str, spread: str) -> DataFrame:
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The heavy values of ``key``, fewer than ``SHARE``, as (key, _heavy). ``rows`` should be a written table."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") > rows.count() // SHARE + 1).select(key, F.lit(True).alias("_heavy"))
+
+
+def joined_by(rows: DataFrame, other: DataFrame, key: str, spread: str, heavy: DataFrame | None = None) -> DataFrame:
     """``rows`` joined on ``key`` to ``other``, whose rows may be large and of which a key has few.
 
     Where a key is heavy, its rows are dealt by the hash of ``spread`` to ``DEAL`` places and its side of ``other`` is copied to each:
-    fewer than ``SHARE * DEAL`` copies at any size of the input.
+    fewer than ``SHARE * DEAL`` copies at any size of the input. With ``heavy`` found beforehand, both sides are read once.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = rows.count()
-    heavy = F.broadcast(counts.filter(F.col("_rows") > total // SHARE + 1).select(key, F.lit(True).alias("_heavy")))
+    heavy = F.broadcast(heavy_keys(rows, key) if heavy is None else heavy)
     here = rows.join(heavy, key, "left").withColumn("_deal", F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(DEAL))).otherwise(0).cast("int"))
     there = other.join(heavy, key, "left").withColumn(
         "_deal", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(DEAL - 1))).otherwise(F.array(F.lit(0)))))
