@@ -197,6 +197,22 @@ def test_rate_limit_of_busy_clients(spark):
     assert limiter._functions(ticks, 60_000, 960_000).selectExpr("max(size(starts))").first()[0] <= 3
 
 
+def test_rate_limit_tasks_take_many_clients_at_once():
+    """A client with a request or two costs no batch of its own; a group that spans batches is still one group."""
+    import pyarrow as pa
+
+    n = 5000
+    ticks = pa.RecordBatch.from_pydict({"client": [f"c{i:05}" for i in range(n - 4)] + ["z"] * 4, "chunk": [0] * n, "at_ms": [*range(n - 4), 10, 20, 900, 2000]})
+    made = list(limiter._describer(1_000, 16_000)(iter([ticks.slice(0, n - 2), ticks.slice(n - 2)])))
+    assert len(made) <= 3 and sum(b.num_rows for b in made) == n - 3
+    assert made[-1].to_pylist()[-1] == {"client": "z", "block": 0, "starts": [2000], "resets": [3000]}
+    placed = pa.RecordBatch.from_pydict({
+        "client": ["a", "a", "b", "b", "b"], "at_ms": [5, 1_200, 7, 8, 3_000], "request_id": [1, 2, 3, None, 5], "chunk": [0] * 5,
+        "carried": [10, 10, limiter.NEVER, limiter.NEVER, limiter.NEVER], "before": [4, 4, 0, 0, 0]})
+    rows = [tuple(r.values()) for b in limiter._judge(1_000, 2)(iter([placed.slice(0, 4), placed.slice(4)])) for r in b.to_pylist()]
+    assert rows == [("a", 5, 1, True, 0, 10), ("a", 1_200, 2, False, 1, 2_200), ("b", 7, 3, False, 1, 1_007), ("b", 8, None, False, 0, 1_007), ("b", 3_000, 5, False, 1, 4_000)]
+
+
 def feed(spark, folder, schema, batches):
     """A stream that takes one of ``batches`` at a time, in order."""
     import os

@@ -45,116 +45,153 @@ def _walker():
 
 
 def _tools():
-    """The functions that run in tasks, made here so that executors need no package of ours."""
-    never = NEVER
-
-    def groups(batches, keys):
-        """(key, columns) of each group of a sorted partition; a group may span batches."""
-        import pandas as pd
-
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if pdf.empty:
+    """The functions that run in tasks, made here so that executors need no package of ours. They take all groups of a batch at once:
+    most clients make a request or two in a chunk, and a step in Python for each would cost more than the rest of the job."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def edges(batch, keys):
+        """Where a row's key differs from that of the row before."""
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column = batch.column(k)
+            change[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(change)
+
+    def key_at(batch, keys, i):
+        return tuple(batch.column(k)[i].as_py() for k in keys)
+
+    def pieces(batches, keys):
+        """(columns, bounds) of whole groups of a sorted partition; a group may span batches and is put together once."""
+        def whole(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            batch = table.to_batches(max_chunksize=table.num_rows)[0]
+            return batch, np.concatenate([[0], edges(batch, keys), [batch.num_rows]]).astype("int64")
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            change = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-            for lo, hi in zip(change, change[1:]):
-                yield tuple(columns[k][lo] for k in keys), {c: v[lo:hi] for c, v in columns.items()}
-            rest = pdf.iloc[change[-1]:]
-        if rest is not None:
-            yield tuple(rest[k].iloc[0] for k in keys), {c: rest[c].to_numpy() for c in rest.columns}
-
-    def slim(starts, resets, horizon):
-        """Steps that a reset before ``horizon`` can meet, without steps that end where the next one ends."""
-        import numpy as np
-
-        upto = int(np.searchsorted(starts, horizon)) + 1
-        starts, resets = starts[:upto], resets[:upto]
-        keep = np.append(resets[1:] != resets[:-1], True) if len(starts) else np.empty(0, bool)
-        return starts[keep], resets[keep]
-
-    def describe(at, window, horizon):
-        """The step function of sorted request times: a window carried in that ends before ``starts[i]`` but not before the one
-        before it leads to ``resets[i]``; one that ends after all of them is carried on."""
-        import numpy as np
-
-        after = np.searchsorted(at, at + window, "right")
-        resets = at + window
-        more = after < len(at)
+            if held and key_at(held[-1], keys, held[-1].num_rows - 1) != key_at(batch, keys, 0):
+                yield whole(held)
+                held = []
+            change = edges(batch, keys)
+            if len(change):
+                yield whole([*held, batch.slice(0, int(change[-1]))])
+                held = []
+            held.append(batch.slice(int(change[-1])) if len(change) else batch)
+        if held:
+            yield whole(held)
+
+    def numbers(batch, name):
+        return batch.column(name).to_numpy(zero_copy_only=False).astype("int64")
+
+    def grouped(bounds):
+        return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def seeker(at, group):
+        """Finds the first position of a group whose time is later than the one given; the group's end without one."""
+        values, rank = np.unique(at, return_inverse=True)
+        wide = len(values) + 1
+        places = group * wide + rank
+        return lambda groups, times: np.searchsorted(places, groups * wide + np.searchsorted(values, times, "right"), "left")
+
+    def close(starts, ends, bounds, horizon):
+        """The step function of each group of sorted steps, of which ``ends`` tells where a window that ends before ``starts`` is led by that
+        step alone: a window carried in that ends before ``starts[i]`` but not before the one before it leads to ``resets[i]``; one that
+        ends after all of them is carried on. Only steps that a window ending before ``horizon`` can meet are kept, and none that end
+        where the next one ends."""
+        group = grouped(bounds)
+        after, stop, resets = seeker(starts, group)(group, ends), bounds[1:][group], ends.copy()
+        more = after < stop
         while more.any():  # pointer doubling: each round doubles the windows passed
             resets[more] = resets[after[more]]
-            ahead = np.where(more, after[np.minimum(after, len(at) - 1)], after)
-            after, more = ahead, ahead < len(at)
-        return slim(at, resets, horizon)
+            ahead = after.copy()
+            ahead[more] = after[after[more]]
+            after, more = ahead, ahead < stop
+        met = np.empty(len(starts), bool)
+        met[1:] = starts[:-1] < horizon[group[1:]]
+        met[bounds[:-1]] = True
+        starts, resets, group = starts[met], resets[met], group[met]
+        keep = np.append((resets[1:] != resets[:-1]) | (group[1:] != group[:-1]), True)
+        return starts[keep], resets[keep], np.concatenate([[0], np.cumsum(np.bincount(group[keep], minlength=len(bounds) - 1))])
 
-    def follow(reset, starts, resets):
-        import numpy as np
-
-        i = int(np.searchsorted(starts, reset, "right"))
-        return int(resets[i]) if i < len(starts) else reset
+    def functions(clients, blocks, starts, resets, bounds):
+        offsets = pa.array(bounds, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(steps, pa.int64())) for steps in (starts, resets)]
+        return pa.RecordBatch.from_arrays([clients, pa.array(blocks, pa.int64()), *lists], names=["client", "block", "starts", "resets"])
 
-    def compose(first, then):
-        import numpy as np
+    def steps(batch):
+        """Starts, resets and bounds of the functions of a batch."""
+        starts, resets = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "resets"))
+        sizes = pc.list_value_length(batch.column("starts")).to_numpy(zero_copy_only=False)
+        return starts, resets, np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
 
-        if not len(first[0]):
-            return then
-        own = np.array([follow(r, *then) for r in first[1].tolist()], np.int64)
-        late = then[0] > first[0][-1]
-        return np.concatenate([first[0], then[0][late]]), np.concatenate([own, then[1][late]])
+    return pieces, numbers, grouped, seeker, close, functions, steps, edges, key_at
 
-    return groups, slim, describe, follow, compose, never
 
-
-def _functions(ticks: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
-    """One function for each (client, chunk), from the distinct times of its requests."""
-    groups, _, describe, *_ = _tools()
+def _describer(window_ms: int, chunk_ms: int):
+    pieces, numbers, _, _, close, functions, *_ = _tools()
 
     def run(batches):
-        import pandas as pd
+        for batch, bounds in pieces(batches, ["client", "chunk"]):
+            at, heads = numbers(batch, "at_ms"), bounds[:-1]
+            chunks = numbers(batch, "chunk")[heads]
+            yield functions(batch.column("client").take(heads), chunks, *close(at, at + window_ms, bounds, chunks * chunk_ms + window_ms))
 
-        for (client, chunk), c in groups(batches, ["client", "chunk"]):
-            starts, resets = describe(c["at_ms"].astype("int64"), window_ms, int(chunk) * chunk_ms + window_ms)
-            yield pd.DataFrame({"client": [client], "block": [chunk], "starts": [starts], "resets": [resets]})
+    return run
 
-    return ticks.select("client", "chunk", "at_ms").repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms").mapInPandas(run, FUNCTION)
+
+def _functions(ticks: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
+    """One function for each (client, chunk), from the distinct times of its requests."""
+    rows = ticks.select("client", "chunk", "at_ms").repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms")
+    return rows.mapInArrow(_describer(window_ms, chunk_ms), FUNCTION)
 
 
 def _composed(functions: DataFrame, window_ms: int, block_ms: int) -> DataFrame:
-    """Functions of ``FAN`` neighbouring blocks composed to one."""
-    groups, slim, _, _, compose, _ = _tools()
-    fan = FAN
+    """Functions of ``FAN`` neighbouring blocks composed to one: their steps follow one another, as requests do."""
+    pieces, numbers, _, _, close, made, steps, *_ = _tools()
+    wide = block_ms * FAN
 
     def run(batches):
-        import pandas as pd
+        for batch, bounds in pieces(batches, ["client", "upper"]):
+            starts, resets, places = steps(batch)
+            heads = bounds[:-1]
+            upper = numbers(batch, "upper")[heads]
+            yield made(batch.column("client").take(heads), upper, *close(starts, resets, places[bounds], upper * wide + window_ms))
 
-        for (client, upper), c in groups(batches, ["client", "upper"]):
-            made = None
-            for starts, resets in zip(c["starts"], c["resets"]):
-                made = (starts, resets) if made is None else compose(made, (starts, resets))
-            made = slim(*made, int(upper) * block_ms * fan + window_ms)
-            yield pd.DataFrame({"client": [client], "block": [upper], "starts": [made[0]], "resets": [made[1]]})
-
-    rows = functions.withColumn("upper", F.floor(F.col("block") / fan))
-    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInPandas(run, FUNCTION)
+    rows = functions.withColumn("upper", F.floor(F.col("block") / FAN))
+    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInArrow(run, FUNCTION)
 
 
 def _carried(functions: DataFrame, above: DataFrame) -> DataFrame:
     """(client, block, carried): what each block is handed, given what its group of blocks is handed."""
-    groups, _, _, follow, _, _ = _tools()
+    pieces, numbers, grouped, seeker, _, _, steps, *_ = _tools()
 
     def run(batches):
-        import pandas as pd
-
-        for (client, _), c in groups(batches, ["client", "upper"]):
-            reset, out = int(c["carried"][0]), []
-            for starts, resets in zip(c["starts"], c["resets"]):
-                out.append(reset)
-                reset = follow(reset, starts, resets)
-            yield pd.DataFrame({"client": client, "block": c["block"], "carried": out})
+        import numpy as np
+        import pyarrow as pa
+
+        for batch, bounds in pieces(batches, ["client", "upper"]):
+            starts, resets, places = steps(batch)
+            inner, handed = places[bounds], numbers(batch, "carried")
+            find = seeker(starts, grouped(inner))
+            groups, reset = np.arange(len(bounds) - 1), handed[bounds[:-1]]
+            taken = np.full(len(starts), -1)
+            while len(groups):  # a round takes each group on by a block at least
+                at = find(groups, reset)
+                on = at < inner[1:][groups]
+                groups, at = groups[on], at[on]
+                taken[at] = at
+                reset = resets[at]
+            latest = np.concatenate([[-1], np.maximum.accumulate(taken)])[places[:-1]]  # the last step taken before each block
+            own = latest >= inner[:-1][grouped(bounds)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("client"), batch.column("block"), pa.array(np.where(own, resets[latest], handed), pa.int64())], names=["client", "block", "carried"])
 
     rows = functions.withColumn("upper", F.floor(F.col("block") / FAN)).join(above, ["client", "upper"])
-    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInPandas(
+    return rows.repartition("client", "upper").sortWithinPartitions("client", "upper", "block").mapInArrow(
         run, "client string, block bigint, carried bigint")
 
 
@@ -177,21 +214,30 @@ def _scan(ticks: DataFrame, window_ms: int, chunk_ms: int) -> DataFrame:
 
 def _tails(ticks: DataFrame, carried: DataFrame, window_ms: int) -> DataFrame:
     """(client, chunk, before): requests of the open window that were made in the chunk before."""
-    groups, _, _, follow, _, _ = _tools()
+    pieces, numbers, grouped, seeker, *_ = _tools()
 
     def run(batches):
         import numpy as np
-        import pandas as pd
-
-        for (client, chunk), c in groups(batches, ["client", "chunk"]):
-            at, reset = c["at_ms"].astype("int64"), int(c["carried"][0])
-            i = int(np.searchsorted(at, reset, "right"))
-            while i < len(at) and (after := int(np.searchsorted(at, at[i] + window_ms, "right"))) < len(at):
-                i = after
-            yield pd.DataFrame({"client": [client], "chunk": [int(chunk) + 1], "before": [int(c["requests"][i:].sum())]})
+        import pyarrow as pa
+
+        for batch, bounds in pieces(batches, ["client", "chunk"]):
+            at, heads = numbers(batch, "at_ms"), bounds[:-1]
+            find, stop = seeker(at, grouped(bounds)), bounds[1:]
+            groups = np.arange(len(heads))
+            opened = find(groups, numbers(batch, "carried")[heads])
+            groups = groups[opened < stop]
+            while len(groups):
+                after = find(groups, at[opened[groups]] + window_ms)
+                on = after < stop[groups]
+                groups = groups[on]
+                opened[groups] = after[on]
+            upto = np.concatenate([[0], np.cumsum(numbers(batch, "requests"))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("client").take(heads), pa.array(numbers(batch, "chunk")[heads] + 1, pa.int64()), pa.array(upto[stop] - upto[opened], pa.int64())],
+                names=["client", "chunk", "before"])
 
     rows = ticks.join(carried, ["client", "chunk"]).repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms")
-    return rows.mapInPandas(run, "client string, chunk bigint, before bigint")
+    return rows.mapInArrow(run, "client string, chunk bigint, before bigint")
 
 
 def rate_limit(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, chunk_ms: int | None = None) -> DataFrame:
@@ -210,29 +256,46 @@ def rate_limit(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQU
     carried = _scan(ticks, window_ms, chunk_ms)
     known = written(carried.join(_tails(ticks, carried, window_ms), ["client", "chunk"], "left").fillna(0, ["before"]), "limiter")
     placed = rows.join(known, ["client", "chunk"]).repartition("client", "chunk").sortWithinPartitions("client", "chunk", "at_ms", "request_id")
-    walk = _walker()
+    return placed.mapInArrow(_judge(window_ms, limit), OUTPUT)
 
-    def judge(batches):
+
+def _judge(window_ms: int, limit: int):
+    _, numbers, grouped, seeker, *_, edges, key_at = _tools()
+
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        key, count, reset = None, 0, 0
-        for pdf in batches:
-            if pdf.empty:
+        keys, last, state = ["client", "chunk"], None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            client, chunk, at = pdf["client"].to_numpy(), pdf["chunk"].to_numpy(), pdf["at_ms"].to_numpy()
-            change = np.flatnonzero((client[1:] != client[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            bounds = [0, *change.tolist(), len(pdf)]
-            counts, resets = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
-            for lo, hi in zip(bounds, bounds[1:]):
-                if (client[lo], chunk[lo]) != key:
-                    key, count, reset = (client[lo], chunk[lo]), int(pdf["before"].iloc[lo]), int(pdf["carried"].iloc[lo])
-                counts[lo:hi], resets[lo:hi], count, reset = walk(at[lo:hi], count, reset, window_ms)
-            yield pd.DataFrame({
-                "client": client, "at_ms": at, "request_id": pdf["request_id"].to_numpy(), "limited": counts > limit,
-                "remaining": np.maximum(0, limit - counts).astype("int32"), "reset_ms": resets})
-
-    return placed.mapInPandas(judge, OUTPUT)
+            bounds = np.concatenate([[0], edges(batch, keys), [n]]).astype("int64")
+            heads, stop, at = bounds[:-1], bounds[1:], numbers(batch, "at_ms")
+            count, reset = numbers(batch, "before")[heads], numbers(batch, "carried")[heads]
+            if key_at(batch, keys, 0) == last:  # a chunk's requests go on from the batch before
+                count[0], reset[0] = state
+            # each group begins in the window it is handed; every other window begins with the request that opens it
+            begins, before, resets = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            begins[heads], before[heads], resets[heads] = True, count, reset
+            find, groups = seeker(at, grouped(bounds)), np.arange(len(heads))
+            while len(groups):
+                opens = find(groups, reset)
+                on = opens < stop[groups]
+                groups, opens = groups[on], opens[on]
+                reset = at[opens] + window_ms
+                begins[opens], before[opens], resets[opens] = True, 0, reset
+            opened = np.flatnonzero(begins)
+            mine = opened[np.cumsum(begins) - 1]
+            counts, resets = before[mine] + np.arange(n) - mine + 1, resets[mine]
+            last, state = key_at(batch, keys, n - 1), (int(counts[-1]), int(resets[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("client"), batch.column("at_ms"), batch.column("request_id"), pa.array(counts > limit),
+                 pa.array(np.maximum(0, limit - counts), pa.int32()), pa.array(resets, pa.int64())],
+                names=["client", "at_ms", "request_id", "limited", "remaining", "reset_ms"])
+
+    return run
 
 
 def rate_limit_stream(log: DataFrame, window_ms: int = WINDOW_MS, limit: int = MAX_REQUESTS, late: str = "1 minute") -> DataFrame:
