@@ -97,3 +97,13 @@ def test_platforms(spark):
 def test_status_canonical_keeps_double_slash(spark):
     df = spark.createDataFrame([("https://x.com/u/status/12/",)], "u string")
     assert with_platform(df, "u", "i").select("i.canonical_url").first()[0] == "https://x.com//u/status/12"
+
+
+def test_long_names_are_cleaned_once(spark):
+    """A name may be a whole text: the branches that cut and encode it read the cleaned text, they do not clean it again."""
+    for made in (sanitize_file_name(F.col("t"), F.lit("download")), content_disposition(F.col("t"))):
+        df = spark.createDataFrame([("a/b " * 90 + "c.mp4",), ("..",), ("é" * 300,), (None,)], "t string").select(made.alias("n"))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 1
+    names = spark.createDataFrame([("a/b " * 90 + "c.mp4",), ("..",), ("é" * 300,), ("x." + "y" * 300,), (None,)], "t string").select(
+        sanitize_file_name(F.col("t"), F.lit("download"))).collect()
+    assert [r[0] for r in names] == [("a_b " * 90)[:251] + ".mp4", "_", "é" * 255, "x." + "y" * 300, None]

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from weblode.functions.fixed import (
     ALLOWED_CONTENT_TYPES, IMAGE_EXTENSIONS, JS_SPACE, MIME_TO_EXTENSION, VIDEO_EXTENSIONS, VIDEO_SUFFIX,
 )
+from weblode.functions.text import let
 from weblode.functions.urls import path_of, url_extension
 
 MAX_FILE_NAME = 255
@@ -57,23 +58,30 @@ def nfkc(names: pd.Series) -> pd.Series:
 
 
 def sanitize_file_name(name: Column, fallback: Column) -> Column:
-    """Safe file name of at most 255 characters that keeps its extension."""
+    """Safe file name of at most 255 characters that keeps its extension. A name may be a whole text: it is cleaned once, not in every branch."""
     text = F.translate(name, FULL_WIDTH, HALF_WIDTH)
     text = F.regexp_replace(text, r"[\x00-\x1f\x7f]", "")
     text = F.regexp_replace(text, r"[<>:\"/\\|?*]", "_")
     text = F.trim(F.regexp_replace(text, f"[{JS_SPACE}]+", " "))
     text = F.regexp_replace(text, r"\.\.+", "_")
     text = F.regexp_replace(text, rf"^[.{JS_SPACE}]+|[.{JS_SPACE}]+$", "")
-    text = F.when(text == "", fallback).otherwise(text)
-    ext = F.regexp_extract(text, r"(?s)^.+(\.[^.]*)$", 1)
-    room = F.greatest(F.lit(1), F.lit(MAX_FILE_NAME) - F.length(ext))
-    cut = F.when(ext != "", F.concat(F.substring(F.regexp_replace(text, r"\.[^.]*$", ""), F.lit(1), room), ext)).otherwise(
-        F.substring(text, 1, MAX_FILE_NAME))
-    return F.when(F.length(text) <= MAX_FILE_NAME, text).otherwise(cut)
+    return let(text, lambda clean: let(F.when(clean == "", fallback).otherwise(clean), _fitted))
+
+
+def _fitted(text: Column) -> Column:
+    def cut(ext: Column) -> Column:
+        room = F.greatest(F.lit(1), F.lit(MAX_FILE_NAME) - F.length(ext))
+        return F.when(ext != "", F.concat(F.substring(F.regexp_replace(text, r"\.[^.]*$", ""), F.lit(1), room), ext)).otherwise(
+            F.substring(text, 1, MAX_FILE_NAME))
+
+    return F.when(F.length(text) <= MAX_FILE_NAME, text).otherwise(let(F.regexp_extract(text, r"(?s)^.+(\.[^.]*)$", 1), cut))
 
 
 def content_disposition(name: Column) -> Column:
-    safe = sanitize_file_name(name, F.lit("download"))
+    return let(sanitize_file_name(name, F.lit("download")), _disposition)
+
+
+def _disposition(safe: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(safe, r"[^\x20-\x7E]", "_"), r"[\"\\]", "_")
     encoded = F.replace(F.replace(F.url_encode(safe), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
     encoded = F.replace(F.replace(encoded, F.lit("%21"), F.lit("!")), F.lit("%7E"), F.lit("~"))
