@@ -317,3 +317,9 @@ def test_tail_changes_are_appended_and_idle_crawls_forgotten(spark, tmp_path):
     assert sorted((r.crawl_id, r.url[-1]) for r in events.current_tail(spark.table("idle")).collect()) == [(1, "d"), (1, "e"), (2, "z")]
     state = spark.read.format("statestore").option("stateVarName", "tail").load(str(tmp_path / "cp"))
     assert {r.key.crawl_id for r in state.collect()} == {1}
+
+
+def test_payloads_are_parsed_once(spark):
+    rows = spark.range(1).selectExpr("id AS crawl_id", "timestamp'2024-01-01' AS ts", "concat('page_', id) AS event", "concat('{', id) AS data")
+    plan = events.parse_events(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1

@@ -33,9 +33,10 @@ def read_crawl_events(spark: SparkSession, path: str, files_per_trigger: int | N
 def parse_events(events: DataFrame) -> DataFrame:
     """Add the parsed struct ``d``, ``valid`` and ``reason``: what the payload's schema has against it, null for a valid row.
 
-    Malformed rows stay, for a side output. The check is worked out once a row, behind ``settle``.
+    Malformed rows stay, for a side output. The payload is parsed and checked once a row, each behind ``settle``.
     """
-    rows = settle(events, d=F.from_json("data", _READ), reason=fault_of(F.col("event"), F.try_parse_json("data")))
+    parsed = settle(events, _payload=F.try_parse_json("data"))
+    rows = settle(parsed, d=F.from_json("data", _READ), reason=fault_of(F.col("event"), F.col("_payload"))).drop("_payload")
     return rows.withColumn("valid", F.col("reason").isNull())
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weblode.functions.fixed import MAX_URL_CHARS
+from weblode.functions.text import let
 from weblode.functions.urls import host_of, is_private_host, with_scheme
 
 
@@ -86,8 +87,9 @@ def record(**fields: Check) -> Check:
     def fault(v: Column, kind: Column) -> Column:
         faults = []
         for name, inner in fields.items():
-            member = _member(v, name)
-            faults.append(F.concat(F.lit(f".{name}"), inner.fault(member, F.schema_of_variant(member))))
+            # a member is looked up once, however often its tests name it
+            found = let(_member(v, name), lambda member: let(F.schema_of_variant(member), lambda kind: inner.fault(member, kind)))
+            faults.append(F.concat(F.lit(f".{name}"), found))
         return F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.coalesce(*faults)).otherwise(": not an object")
 
     inside = {name: inner for name, inner in fields.items() if inner.addresses}
@@ -116,10 +118,11 @@ def array(inner: Check) -> Check:
 
 
 def _not_public(raw: Column) -> Column:
-    url = with_scheme(F.regexp_replace(raw, r"^\s+|\s+$", ""))
-    host = host_of(url)
-    return _fault((url != "", "empty"), (F.length(url) <= MAX_URL_CHARS, "too long"), (url.rlike("(?i)^https?:"), "not http"), (host != "", "no host"),
-                  (~is_private_host(host), "private host"), (F.contains(host, F.lit(".")) | F.contains(host, F.lit(":")), "undotted host"))
+    def tested(url: Column, host: Column) -> Column:
+        return _fault((url != "", "empty"), (F.length(url) <= MAX_URL_CHARS, "too long"), (url.rlike("(?i)^https?:"), "not http"), (host != "", "no host"),
+                      (~is_private_host(host), "private host"), (F.contains(host, F.lit(".")) | F.contains(host, F.lit(":")), "undotted host"))
+
+    return let(with_scheme(F.regexp_replace(raw, r"^\s+|\s+$", "")), lambda url: let(host_of(url), lambda host: tested(url, host)))
 
 
 # ---- fixed values: the members of every event kind and what makes them acceptable --------------------------------------
