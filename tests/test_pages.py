@@ -231,3 +231,24 @@ def test_implied_body(page):
         '<!DOCTYPE html><title>T</title>\n<a href="/x">go</a> watch live', '<html><head><title>T</title></head><body><a href="/x">go</a> watch live')
     got = {r.page_id: (r.context, r.priority, r.discovery_reason) for r in discover_links(pages).collect()}
     assert got == {i: ("go go watch live", 2, "content-hub") for i in range(4)}
+
+
+def test_pages_are_matched_in_stretches(spark):
+    """A batch's pages are matched a stretch at a time; where the stretches end changes nothing."""
+    import pyarrow as pa
+
+    from weblode.operators.intervals import _matcher
+
+    def token(i, n, k, w=False):
+        return {"i": i, "n": n, "k": k, "w": w, "ad": False, "al": False, "len": i, "sp": False, "es": False}
+
+    page = [token(0, "nav", 1), token(1, "a", 1, True), token(2, "", 0), token(3, "a", 2), token(4, "nav", 2), token(5, "img", 3, True)]
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.string()), ("k", pa.int32()), *[(b, pa.bool_()) for b in ("w", "ad", "al")], ("len", pa.int32()),
+                               *[(b, pa.bool_()) for b in ("sp", "es")]]))
+    pages = pa.array([page, [], page[1:], page * 3, []], kind)
+    whole = _matcher(1, 2, ["p"], 1 << 30)(pages)
+    assert len(whole[0]["out"]) == 2
+    for stretch in (1, 5, 7, 12):
+        assert _matcher(1, 2, ["p"], stretch)(pages).to_pylist() == whole.to_pylist()
+        assert _matcher(1, 2, ["p"], stretch)(pages.slice(1, 3)).to_pylist() == whole.to_pylist()[1:4]
+    assert len(_matcher(1, 2, ["p"])(pages.slice(0, 0))) == 0

@@ -12,18 +12,33 @@ from pyspark.sql import functions as F
 
 from weblode.functions.fixed import CLOSES_P
 
+#: Tokens matched at once; a batch of many pages is taken in stretches of whole pages, so memory does not grow with the pages of a batch.
+STRETCH = 1 << 16
+
 OUT = (
     "struct<t:int,out:array<struct<i:int,n:string,k:int,t:int,e:int,et:int,ei:int,pp:int,pt:int,pet:int,nav:boolean,ad:boolean,inpic:boolean,"
     "pic:int,vid:int,lead:boolean,alt:int>>>")
 
 
-def _matcher(opening: int, closing: int, closes_p: list[str]):
+def _matcher(opening: int, closing: int, closes_p: list[str], stretch: int = STRETCH):
     """The pass over a batch of pages. Nested whole, so that executors need no package of ours."""
 
     fields = [(n, "string" if n == "n" else "bool_" if n in ("nav", "ad", "inpic", "lead") else "int32") for n in (
         "i", "n", "k", "t", "e", "et", "ei", "pp", "pt", "pet", "nav", "ad", "inpic", "pic", "vid", "lead", "alt")]
 
     def run(column):
+        import numpy as np
+        import pyarrow as pa
+
+        offsets = column.offsets.to_numpy()
+        cuts, lo = [], 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + stretch, "right")) - 1)
+            cuts.append((lo, hi - lo))
+            lo = hi
+        return pa.concat_arrays([match(column.slice(*cut)) for cut in cuts or [(0, 0)]])
+
+    def match(column):
         from bisect import bisect_right
 
         import numpy as np
