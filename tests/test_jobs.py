@@ -323,3 +323,17 @@ def test_payloads_are_parsed_once(spark):
     rows = spark.range(1).selectExpr("id AS crawl_id", "timestamp'2024-01-01' AS ts", "concat('page_', id) AS event", "concat('{', id) AS data")
     plan = events.parse_events(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("parsejson") + plan.count("parse_json") == 1
+
+
+def test_members_of_events_are_read_in_one_pass(spark):
+    from weblode.plans.workloads import _members
+
+    data = json.dumps({"url": "u\"é", "pagesDone": 3, "error": None, "media": {"url": "m", "platform": None}, "config": {"maxPages": 50, "followExternal": True},
+                       "results": [{"url": "r", "pageKind": "hub", "mediaCount": 2}, {"url": "s"}]})
+    log = spark.createDataFrame([(1, data), (2, '{"url":"v","results":[]}'), (3, "{}")], "crawl_id long, data string").selectExpr(
+        "crawl_id", "named_struct('depth', 1) AS seq", "'e' AS event", "data")
+    paths = ["url", "pagesDone", "error", "media.url", "media.platform", "config.maxPages", "config.followExternal", "results[0].url", "results[0].mediaCount", "totalMedia"]
+    df = _members(log, {f"f{i}": path for i, path in enumerate(paths)}, "depth")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    want = log.select("crawl_id", "seq.depth", "event", *[F.get_json_object("data", f"$.{path}") for path in paths])
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))

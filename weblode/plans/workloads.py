@@ -13,6 +13,7 @@ from weblode.functions.files import (
     content_disposition, extension_from_mime, file_name_from_url, is_allowed_content_type, media_type, sanitize_file_name,
 )
 from weblode.functions.platforms import is_platform_domain, with_platform
+from weblode.functions.text import settle
 from weblode.functions.urls import (
     canonical_url, compact_url, host_of, is_private_host, is_subdomain, same_domain, strip_fragment, truncate_url,
     url_extension, with_resolved,
@@ -201,9 +202,24 @@ def crawl_events_logged(spark, sf_dir):
     found, page_results = _logged_results(spark, sf_dir)
     shown = found.select("crawl_id", "depth", "claim", F.lit(1).alias("ord"), F.col("url").alias("page_url"), *[F.lit(None).cast("string").alias(m) for m in crawl.MEDIA if m != "url"], "url").limit(0)
     log = crawl.emit_crawl_events(found, page_results, shown, CRAWL).filter("event IN ('page_error', 'crawl_complete')")
-    return log.select("crawl_id", *[F.col(f"seq.{k}").alias(k) for k in ("depth", "a")], "event", *[
-        F.get_json_object("data", f"$.{path}").alias(name) for name, path in {
-            "url": "url", "error": "error", "total_pages": "totalPages", "with_errors": "pagesWithErrors", "duration": "crawlDurationMs"}.items()])
+    return _members(log, {
+        "url": "url", "error": "error", "total_pages": "totalPages", "with_errors": "pagesWithErrors", "duration": "crawlDurationMs"}, "depth", "a")
+
+
+#: Members of the events' payloads that the queries show, as texts.
+_SHOWN = ("url STRING, category STRING, source STRING, fromUrl STRING, discoveryReason STRING, pagesDone STRING, pagesTotal STRING, mediaCount STRING, "
+          "error STRING, pageUrl STRING, media STRUCT<url:STRING,platform:STRING>, originalUrl STRING, totalPages STRING, pagesWithErrors STRING, "
+          "totalMedia STRING, config STRUCT<maxPages:STRING,followExternal:STRING>, crawlDurationMs STRING, "
+          "results ARRAY<STRUCT<url:STRING,pageKind:STRING,mediaCount:STRING>>")
+
+
+def _members(log: DataFrame, fields: dict[str, str], *seq: str) -> DataFrame:
+    """Events with members of their payloads, which are parsed once a row and not once a member."""
+    def member(path: str):
+        return F.get(F.col("_d.results"), 0)[path.split(".")[1]] if path.startswith("results[0].") else F.col(f"_d.{path}")
+
+    parsed = settle(log, _d=F.from_json("data", _SHOWN))
+    return parsed.select("crawl_id", *[F.col(f"seq.{k}").alias(k) for k in seq], "event", *[member(path).alias(name) for name, path in fields.items()])
 
 
 def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -258,8 +274,7 @@ def emit_crawl_events(spark, sf_dir):
         "media_platform": "media.platform", "original_url": "originalUrl", "total_pages": "totalPages", "with_errors": "pagesWithErrors",
         "total_media": "totalMedia", "max_pages": "config.maxPages", "external": "config.followExternal", "first_url": "results[0].url",
         "first_kind": "results[0].pageKind", "first_media": "results[0].mediaCount"}
-    return log.select("crawl_id", *[F.col(f"seq.{k}").alias(k) for k in ("depth", "stage", "a", "b", "c")], "event",
-                      *[F.get_json_object("data", f"$.{path}").alias(name) for name, path in fields.items()])
+    return _members(log, fields, "depth", "stage", "a", "b", "c")
 
 
 def crawl_event_counts(spark, sf_dir):
